@@ -98,6 +98,14 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
+def gram_hashes_rows(values: np.ndarray) -> np.ndarray:
+    """One hash for the last axis of an integer array."""
+    out = np.zeros(values.shape[:-1], U64)
+    for j in range(values.shape[-1]):
+        out = out * U64(_BASE) + mix64(values[..., j].astype(U64) + U64(1))
+    return mix64(out)
+
+
 def chunks(texts: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows i:j of a string array with about ``target`` bytes: (i, j, bytes, offsets). Null reads as empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -6,15 +6,29 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .line_dedup import line_dedup
+from .near_dedup import near_duplicates
 from .packing import pack
 from .repetition import repetition_rules
+from .warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on two-word shingles."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=2)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-array repetition verdicts of every document."""
     return repetition_rules(_table(spark, sf_dir, "documents")).select(
@@ -27,6 +41,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_quality_rules": op5_quality_rules, "op6_packing": op6_packing}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after deletion of later repeated runs of lines."""
+    kept = line_dedup(_table(spark, sf_dir, "documents"))
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    return kept.select("doc_id", "lines_removed", lines.alias("lines_kept"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dedup": op2_near_dedup,
+    "op3_warc": op3_warc,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_packing": op6_packing,
+    "op8_line_dedup": op8_line_dedup,
+}
 
 ORACLE_SQL: dict[str, str] = {}
