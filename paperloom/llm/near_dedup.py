@@ -8,8 +8,9 @@ both set sizes; pairs less than five standard deviations below the threshold are
 
 Hot groups: documents with the same shingle set are one class, represented by its least doc_id, so exact copies never meet in a
 bucket.  Buckets are never expanded into all pairs at first: in each round every member of a bucket meets only one
-hub, by aggregation and join (AQE splits a hot bucket), and confirmed links merge components.  Only pairs that are still in
-different components after the rounds are compared exhaustively, so no link between different components is lost to the hubs.
+hub, by aggregation and join (AQE splits a hot bucket), and confirmed links merge components.  Only members that are still in
+different components after the rounds meet each other, so no link between different components is lost to the hubs.  The join itself only lets
+pairs through whose sizes and packed register bits allow the threshold.
 Components are found by alternating large-star and small-star steps on tables cut through the shared checkpoint folder.
 
 At J = 0.8, 32 bands of 5 registers miss a pair with probability 3e-6, the estimate's filter with 3e-7.
@@ -37,8 +38,9 @@ REGISTERS = BANDS * ROWS
 BASE = 1.001
 RATE = 20.0
 LIMIT = 65_534
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 SIGMAS = 5.0
+BIT_WORDS = -(-REGISTERS // 64)
 
 _RANDOM = np.random.default_rng(20_240_229)
 _FACTOR = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * V.U64(2) + V.U64(1)
@@ -135,6 +137,36 @@ def _band_keys(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sketch").mapInArrow(run, f"rep {ident}, key bigint")
 
 
+def _with_bits(reps: DataFrame) -> DataFrame:
+    """rep, n_shingles, sketch, and the registers' lowest bits packed into words b0, b1, ..."""
+    ident = reps.schema["rep"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            bits = np.zeros((len(sketch), BIT_WORDS * 64), np.uint8)
+            bits[:, :REGISTERS] = sketch & 1
+            words = np.packbits(bits, axis=1).view(np.int64).reshape(-1, BIT_WORDS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(words[:, i].copy()) for i in range(BIT_WORDS))], names=[*batch.schema.names, *(f"b{i}" for i in range(BIT_WORDS))])
+
+    columns = ", ".join(f"b{i} bigint" for i in range(BIT_WORDS))
+    return reps.select("rep", "n_shingles", "sketch").mapInArrow(run, f"rep {ident}, n_shingles bigint, sketch binary, {columns}")
+
+
+def _may_link(x: str, y: str, percent: int) -> F.Column:
+    """Whether two members may reach the threshold, by their sizes and their registers' lowest bits.
+
+    Bits of registers differ with probability (1 - J) / 2; pairs at the threshold pass with all but 1e-6.
+    """
+    n = F.least(f"{x}.n_shingles", f"{y}.n_shingles"), F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
+    p = (1 - percent / 100) / 2
+    most = int(REGISTERS * p + SIGMAS * np.sqrt(REGISTERS * p * (1 - p)) + 1)
+    differ = F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0")))
+    for i in range(1, BIT_WORDS):
+        differ = differ + F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}")))
+    return (100 * n[0] >= percent * n[1]) & (differ <= most)
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     ident = docs.schema["rep"].dataType.simpleString()
 
@@ -179,9 +211,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     )
     keys = _band_keys(reps)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    member = cut(keys.join(shared, "key").distinct(), "op2-buckets")
-    some = member.select("rep").distinct()
-    sketch = cut(reps.join(some, "rep", "left_semi").dropDuplicates(["rep"]), "op2-candidates")
+    bucket = cut(keys.join(shared, "key").distinct(), "op2-buckets")
+    some = bucket.select("rep").distinct()
+    sketch = cut(_with_bits(reps.join(some, "rep", "left_semi")).dropDuplicates(["rep"]), "op2-candidates")
+    bits = [f"b{i}" for i in range(BIT_WORDS)]
+    member = cut(bucket.join(sketch.select("rep", "n_shingles", *bits), "rep"), "op2-members")
+    drop(bucket)
     sets = cut(_sets(docs.withColumnRenamed("doc_id", "rep").join(sketch.select("rep"), "rep", "left_semi"), k), "op2-sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -200,14 +235,15 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
         else:
             own = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         if turn < STAR_ROUNDS:
-            hub = own.groupBy("key").agg(
-                F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h")
-            )
-            hub = hub.filter("low < high").select("key", "h.hub", "h.hub_comp")
-            met = own.join(hub, "key").filter("comp <> hub_comp").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+            facts = F.struct(F.xxhash64("rep", F.lit(turn)).alias("r"), F.col("rep").alias("hub"), "comp", "n_shingles", *bits)
+            hub = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(facts).alias("h")).filter("low < high").select("key", "h.*")
+            met = own.alias("x").join(hub.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent))
+            met = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         else:
-            other = own.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
-            met = own.join(other, "key").filter("comp < comp2").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+            mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+            own = own.join(mixed, "key", "left_semi")
+            met = own.alias("x").join(own.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x", "y", percent))
+            met = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         met = met.distinct()
         if tested is not None:
             met = met.join(tested.select("a", "b"), ["a", "b"], "left_anti")

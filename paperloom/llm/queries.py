@@ -8,17 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import byte_bpe, toxicity
+from .bm25_search import search
+from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
+from .oracles import ORACLE_SQL
 from .packing import pack
 from .repetition import repetition_rules
+from .substring_dedup import find_repeats
 from .warc import round_trip
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fragment of a passage of at least 50 words that an earlier document holds as well."""
+    found = find_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode("repeats").alias("r")).select(
+        "doc_id", F.col("r.source_id").alias("source_id"), F.col("r.start").alias("first_word"), F.col("r.words").alias("n_words"), F.col("r.source_start").alias("source_word"), F.col("r.edits").alias("edits")
+    )
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on two-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2)
@@ -29,10 +44,17 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score")).withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-array repetition verdicts of every document."""
     return repetition_rules(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words", "longest_repeat"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words"
     )
 
 
@@ -41,6 +63,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level BPE ids and of the decoded bytes."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.replace("ids", F.lit(","), F.lit(""))) + 1).cast("long")
+    return byte_bpe.decode(encoded, path).select("doc_id", n.alias("n_tokens"), F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after deletion of later repeated runs of lines."""
     kept = line_dedup(_table(spark, sf_dir, "documents"))
@@ -48,12 +78,30 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "lines_removed", lines.alias("lines_kept"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose doc_id is divisible by 100, taken as a query with its whole text."""
+    docs = _table(spark, sf_dir, "documents")
+    return search(docs, docs.filter(F.col("doc_id") % 100 == 0))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices that every document holds."""
+    found = license_scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("found").alias("n_licenses"), F.array_join("found.name", ",").alias("licenses"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_near_dedup": op2_near_dedup,
-    "op3_warc": op3_warc,
-    "op5_quality_rules": op5_quality_rules,
-    "op6_packing": op6_packing,
-    "op8_line_dedup": op8_line_dedup,
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_near_dedup,
+        op3_warc,
+        op4_toxicity,
+        op5_quality_rules,
+        op6_packing,
+        op7_byte_bpe,
+        op8_line_dedup,
+        op9_search,
+        op10_license_scan,
+    )
 }
-
-ORACLE_SQL: dict[str, str] = {}
