@@ -94,7 +94,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     out = np.full(len(words), k, U64)
     for j in range(k):
         out *= U64(_BASE)
-        out[: len(words) - j if j else None] += words[j:]
+        out[: max(0, len(words) - j)] += words[j:]
     return mix64(out)
 
 

@@ -31,6 +31,7 @@ IDENTITY = 0.8
 GAP_COST = 0.25
 TOUCH = 2
 MARGIN = WINDOW + K - 1
+REACH = 64
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -159,7 +160,7 @@ def _chains(matches: DataFrame) -> DataFrame:
                 first, last = a + path[0], a + path[-1]
                 if d[last] + n[last] - d[first] >= LEAST_FRAGMENT:
                     flat = [x for i in path for x in (d[a + i], s[a + i], n[a + i])]
-                    rows.append((int(doc[a]), int(src[a]), max(0, s[first] - MARGIN), s[last] + n[last] + MARGIN, flat))
+                    rows.append((int(doc[a]), int(src[a]), max(0, s[first] - REACH), s[last] + n[last] + REACH, flat))
         if not rows:
             return None
         x = list(zip(*rows, strict=True))
