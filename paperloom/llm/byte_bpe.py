@@ -25,7 +25,7 @@ from . import _vec as V
 from .bpe_fold import PairRanks, fold_merges
 
 LONG_WORD = 512
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 18
 BLOCK_ROWS = 500
 
 
