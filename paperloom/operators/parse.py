@@ -26,7 +26,10 @@ def envelope(reply: Column | str) -> Column:
         return F.when(both, F.substring(text, first, F.greatest(last - first + 1, F.lit(0)))).otherwise(text)
 
     def judge(body: Column) -> Column:
-        parsed = F.try_parse_json(body).isNotNull() | F.from_json(body, "map<string,variant>").isNotNull()
+        # parsers pass over what follows a value, but not inside an object; an object with equal keys is JSON as well, though not as a variant
+        wrapped = F.concat(F.lit('{"x":'), body, F.lit("}"))
+        inside = F.from_json(wrapped, "x map<string,variant>, bad string", {"columnNameOfCorruptRecord": "bad"})
+        parsed = F.try_parse_json(wrapped).isNotNull() | (inside["x"].isNotNull() & inside["bad"].isNull())
         return F.struct(body.alias("body"), (F.coalesce(parsed, F.lit(False)) & (body != "")).alias("good"))
 
     def record(x: Column) -> Column:
@@ -48,7 +51,7 @@ def extraction(reply: Column | str, url: str = "") -> Column:
     reply that is not JSON gives its first 1000 characters; one whose ``native_json`` is not an object gives the failure record.
     """
     reply = F.col(reply) if isinstance(reply, str) else reply
-    kind = "struct<native_json:string,native_layout_text:string,english_layout_text:string,metadata:string>"
+    kind = "struct<native_json:string,native_layout_text:string,english_layout_text:string,metadata:variant>"
 
     def parts(env: Column) -> Column:
         return F.struct(F.coalesce(env["is_comprehensive"], F.lit(False)).alias("good"), F.from_json(env["fields"], kind).alias("shape"))
@@ -70,7 +73,7 @@ def _extraction(reply: Column, is_json: Column, shape: Column, own: Column, url:
     added = F.array(
         F.concat(F.lit('"full_extraction":'), quoted(F.coalesce(shape["native_layout_text"], F.lit("")))),
         F.concat(F.lit('"english_extraction":'), quoted(F.coalesce(shape["english_layout_text"], F.lit("")))),
-        F.concat(F.lit('"metadata":'), F.coalesce(shape["metadata"], F.lit("{}"))),
+        F.concat(F.lit('"metadata":'), F.coalesce(F.to_json(shape["metadata"]), F.lit("{}"))),
     )
     record = F.concat(F.lit("{"), F.array_join(F.concat(items, added), ","), F.lit("}"))
     source = "kaggle_remote_vlm" if REMOTE_MARK in url else "local_vlm"

@@ -24,15 +24,15 @@ def _python_normal(key: str) -> str:
 
 
 def find_value(items: Column | str, aliases: tuple[str, ...]) -> Column:
-    """The first usable value whose key equals an alias, contains it or is contained in it, aliases in order; null for none.
+    """The first value whose key equals an alias, contains it or is contained in it, aliases in order; null for none.
 
-    ``items`` are entries with distinct normal keys.
+    ``items`` are usable entries with distinct normal keys.
     """
     found = F.lit(None).cast("string")
 
     def step(got: Column, alias: Column) -> Column:
-        direct = F.get(F.filter(items, lambda e: (e["nk"] == alias) & usable(e)), F.lit(0))["v"]
-        near = F.get(F.filter(items, lambda e: (F.contains(e["nk"], alias) | F.contains(alias, e["nk"])) & usable(e)), F.lit(0))["v"]
+        direct = F.get(F.filter(items, lambda e: e["nk"] == alias), F.lit(0))["v"]
+        near = F.get(F.filter(items, lambda e: F.contains(e["nk"], alias) | F.contains(alias, e["nk"])), F.lit(0))["v"]
         return F.coalesce(got, direct, near)
 
     return F.aggregate(F.array(*(F.lit(_python_normal(a)) for a in aliases)), found, step)
@@ -78,7 +78,7 @@ def map_to_template(df: DataFrame, record: str = "record", mode: str = "compatib
     """
     all_ = entries(record)
     df = df.withColumn("__all", F.coalesce(all_, F.array().cast("array<struct<k:string,nk:string,v:string,full:boolean>>")))
-    df = df.withColumn("__items", by_normal_key("__all"))
+    df = df.withColumn("__items", F.filter(by_normal_key("__all"), usable))
     text = F.get(F.filter("__all", lambda e: (e["k"] == "full_extraction") & e["full"]), F.lit(0))["v"]
     df = df.withColumn("__text", text).withColumn("__blob", F.col("__text").isNotNull() & (F.size("__all") <= 4))
     values = []

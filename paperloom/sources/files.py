@@ -27,7 +27,7 @@ def read_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> D
 
 def read_alphabets(spark: SparkSession, path: str) -> DataFrame:
     """language (the file's stem) and content of every alphabet file."""
-    files = spark.read.option("wholetext", "true").text(path).withColumn("file", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return files.select(F.regexp_extract("file", r"([^/]*)\.[^./]*$", 1).alias("language"), F.col("value").alias("content"))
 
 

@@ -22,6 +22,7 @@ ENVELOPES = [
     ("} x {", (None, "")),
     ('{"a":1} {"b":2}', (None, '{"a":1} {"b":2}')),
     ('ERROR: HTTP Error 500: {"error":"x"}', ('{"error":"x"}', None)),
+    ('{"a":1,"b":2,"a":3}', ('{"a":1,"b":2,"a":3}', None)),
     ("12", ("12", None)),
 ]
 
