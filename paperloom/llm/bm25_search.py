@@ -192,6 +192,18 @@ class Shard:
         return out
 
 
+def _even_numbers(spark, shards: int) -> F.Column:
+    """A literal array of shard numbers, one that hash partitioning sends to each of as many partitions."""
+    found: dict[int, int] = {}
+    start, step = 0, 16 * shards
+    while len(found) < shards:
+        ids = spark.range(start, start + step).select(F.col("id").cast("int").alias("id"))
+        for row in ids.groupBy(F.pmod(F.hash("id"), F.lit(shards)).alias("p")).agg(F.min("id").alias("id")).collect():
+            found.setdefault(row["p"], row["id"])
+        start += step
+    return F.array(*(F.lit(found[p]) for p in range(shards)))
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, words_per_shard: int = WORDS_PER_SHARD) -> DataFrame:
     """query_id, rank, doc_id, score: the k best documents for every query (both frames have doc_id and text)."""
     ident = docs.schema["doc_id"].dataType.simpleString()
@@ -206,12 +218,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, words_per_shard: in
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = _query_terms(queries).join(df, "term").select("query_id", F.struct("term", idf.alias("w")).alias("t"))
     asked = asked.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    number = _even_numbers(docs.sparkSession, shards)
     none = F.lit(None)
     index_rows = docs.filter("doc_id is not null").select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text", none.cast("array<bigint>").alias("terms"), none.cast("array<double>").alias("weights")
+        F.get(number, F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text", none.cast("array<bigint>").alias("terms"), none.cast("array<double>").alias("weights")
     )
     query_rows = asked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), none.cast("string").alias("text"), F.col("ts.term").alias("terms"), F.col("ts.w").alias("weights")
+        F.explode(number).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), none.cast("string").alias("text"), F.col("ts.term").alias("terms"), F.col("ts.w").alias("weights")
     )
 
     def run(batches):
