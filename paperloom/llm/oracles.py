@@ -19,7 +19,8 @@ def _covered(m: int) -> str:
     return f"""c{m} AS (
   SELECT doc_id, count(*) FILTER (covered) AS n FROM (
     SELECT doc_id, coalesce(max(dup) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {m - 1} PRECEDING AND CURRENT ROW), false) AS covered FROM (
-      SELECT doc_id, p, p + {m} <= n AND count(*) OVER (PARTITION BY doc_id, list_slice(ws, p + 1, p + {m}), p + {m} <= n) > 1 AS dup FROM w)) GROUP BY doc_id)"""
+      SELECT doc_id, p, ok AND count(*) OVER (PARTITION BY doc_id, g, ok) > 1 AS dup FROM (
+        SELECT doc_id, p, p + {m} <= n AS ok, hash(list_slice(ws, p + 1, p + {m})) AS g FROM w))) GROUP BY doc_id)"""
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -60,9 +61,9 @@ r AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered_words <= {MAX_COVERED_PERCENT} * n_words AND long_ = 0 AS kept, n_covered_words FROM r""",
     "op8_line_dedup": rf"""
-WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS at FROM documents),
+WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 l AS (
-  SELECT doc_id, at, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS p, count(*) OVER (PARTITION BY doc_id) AS n, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h
+  SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p, count(*) OVER (PARTITION BY doc_id) AS n, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h
   FROM a WHERE regexp_matches(line, '{_WORD}')),
 g AS (SELECT doc_id, p, h AS h1, lead(h) OVER (PARTITION BY doc_id ORDER BY p) AS h2 FROM l WHERE n >= {LEAST_LINES}),
 v AS (
@@ -76,11 +77,11 @@ e AS (
   FROM (SELECT DISTINCT doc_id, src, shift FROM m) k JOIN l x ON x.doc_id = k.doc_id JOIN l y ON y.doc_id = k.src AND y.p = x.p + k.shift AND y.h = x.h),
 r AS (SELECT doc_id, src, shift, min(p) AS start, max(p) AS stop FROM e GROUP BY doc_id, src, shift, island HAVING count(*) >= {LEAST_LINES}),
 gone AS (
-  SELECT DISTINCT l.doc_id, l.at FROM r JOIN l ON l.doc_id = r.doc_id AND l.p BETWEEN r.start AND r.stop
+  SELECT DISTINCT l.doc_id, l.i FROM r JOIN l ON l.doc_id = r.doc_id AND l.p BETWEEN r.start AND r.stop
   WHERE EXISTS (SELECT 1 FROM m WHERE m.doc_id = r.doc_id AND m.src = r.src AND m.shift = r.shift AND m.p >= r.start AND m.p < r.stop)),
 t AS (
-  SELECT a.doc_id, count(gone.at) AS removed, coalesce(string_agg(a.line, chr(10) ORDER BY a.at) FILTER (gone.at IS NULL), '') AS text
-  FROM a LEFT JOIN gone ON gone.doc_id = a.doc_id AND gone.at = a.at GROUP BY a.doc_id)
+  SELECT a.doc_id, count(gone.i) AS removed, coalesce(string_agg(a.line, chr(10) ORDER BY a.i) FILTER (gone.i IS NULL), '') AS text
+  FROM a LEFT JOIN gone ON gone.doc_id = a.doc_id AND gone.i = a.i GROUP BY a.doc_id)
 SELECT doc_id, removed::INTEGER AS lines_removed, len(string_split(text, chr(10)))::INTEGER AS lines_kept, md5(text) AS text_md5 FROM t""",
     "op9_search": rf"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_WORD}')) AS t FROM documents),
