@@ -2,7 +2,7 @@
 
 Seeds are eight-word k-mers picked by winnowing windows of sixteen, so every shared run of 23 words has one.  A seed's owner is its first
 place in the corpus by (doc_id, word); every other place is joined with the owner only, which keeps a passage in a third of all
-documents linear.  The matches of a document with one owner document are merged along diagonals into blocks, blocks are chained by
+documents linear; the owners are cut before the join, so that AQE can split a hot seed's rows.  The matches of a document with one owner document are merged along diagonals into blocks, blocks are chained by
 dynamic programming with a linear gap cost, the best predecessor coming from a Fenwick tree over source positions, and chains are aligned word
 by word: blocks are extended, gaps are aligned by edit distance, ends are extended past small edits.  Aligned fragments of at least 16 words and 80 % identity
 that touch or overlap form passages; passages of at least 50 words are repeats.
@@ -294,9 +294,10 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
     ident = docs.schema["doc_id"].dataType.simpleString()
     seeds = cut(_seeds(docs), "op1-seeds")
     owner = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("o"), F.max("doc_id").alias("last")).filter("o.doc_id < last")
-    owner = owner.select("seed", F.col("o.doc_id").alias("src"), F.col("o.place").alias("other"))
+    owner = cut(owner.select("seed", F.col("o.doc_id").alias("src"), F.col("o.place").alias("other")), "op1-owners")
     chains = cut(_chains(seeds.join(owner, "seed").filter("doc_id <> src")), "op1-chains")
     drop(seeds)
+    drop(owner)
     regions = _regions(chains.select("src", "low", "high").distinct(), docs)
     per_doc = (
         chains.join(regions, ["src", "low", "high"]).groupBy("doc_id").agg(F.collect_list(F.struct("src", "low", "blocks", "codes")).alias("chains"))
