@@ -4,7 +4,8 @@ Seeds are eight-word k-mers picked by winnowing windows of sixteen, so every sha
 place in the corpus by (doc_id, word); every other place is joined with the owner only, which keeps a passage in a third of all
 documents linear; the owners are cut before the join, so that AQE can split a hot seed's rows.  The matches of a document with one owner document are merged along diagonals into blocks, blocks are chained by
 dynamic programming with a linear gap cost, the best predecessor coming from a Fenwick tree over source positions, and chains are aligned word
-by word: blocks are extended, gaps are aligned by edit distance, ends are extended past small edits.  Aligned fragments of at least 16 words and 80 % identity
+by word: blocks are extended, gaps of any length are aligned by edit distance, ends are extended past small edits.  A chain whose identity is too low
+is split at its worst gaps and its parts are judged alone.  Aligned fragments of at least 16 words and 80 % identity
 that touch or overlap form passages; passages of at least 50 words are repeats.
 
 Documents are compared with other documents only, never with themselves.  Of a repeated passage the document with the least doc_id keeps its copy.
@@ -32,6 +33,7 @@ GAP_COST = 0.25
 TOUCH = 2
 MARGIN = WINDOW + K - 1
 REACH = 64
+ANCHOR = 4
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -216,17 +218,28 @@ def _regions(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def edit_distance(a: list[int], b: list[int]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+    """Myers' bit vectors over one integer of any length: exact, a few steps a word of ``b``."""
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    plus, minus, out = full, 0, len(a)
+    for y in b:
+        eq = where.get(y, 0)
+        xv = eq | minus
+        xh = (((eq & plus) + plus) ^ plus) | eq
+        up, down = minus | ~(xh | plus) & full, plus & xh
+        out += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        plus, minus = down | ~(xv | up) & full, up & xv
+    return out
 
 
 def _grow(a: list[int], b: list[int], i: int, j: int, step: int) -> tuple[int, int, int]:
     """Extend from a[i], b[j] (the next pair to compare) in one direction past edits of up to three words: new i, j and edits."""
-    edits, anchor = 0, 4
+    edits = 0
 
     def same(x: int, y: int) -> bool:
         return 0 <= x < len(a) and 0 <= y < len(b) and a[x] == b[y]
@@ -235,7 +248,7 @@ def _grow(a: list[int], b: list[int], i: int, j: int, step: int) -> tuple[int, i
         while same(i, j):
             i, j = i + step, j + step
         for p, q in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3), (3, 0), (0, 3)):
-            if all(same(i + step * (p + k), j + step * (q + k)) for k in range(anchor)):
+            if all(same(i + step * (p + k), j + step * (q + k)) for k in range(ANCHOR)):
                 i, j, edits = i + step * p, j + step * q, edits + max(p, q)
                 break
         else:
@@ -259,18 +272,58 @@ def align(own: list[int], other: list[int], shift: int, blocks: list[int]) -> tu
             while i < to_i and j < to_j and own[to_i - 1] == other[to_j - 1]:
                 to_i, to_j = to_i - 1, to_j - 1
             a, b = own[i:to_i], other[j:to_j]
-            edits += edit_distance(a, b) if len(a) * len(b) <= 4096 else max(len(a), len(b))
+            edits += edit_distance(a, b)
     end_i, end_j, more = _grow(own, other, i, j, 1)
     return start_i + 1, end_i, start_j + 1 + shift, end_j + shift, edits + more
 
 
+def exact_runs(own: list[int], other: list[int], shift: int, blocks: list[int]) -> list[tuple[int, int, int]]:
+    """The runs of at least ``ANCHOR`` equal words in a chain's blocks, as blocks."""
+    out = []
+    for k in range(0, len(blocks), 3):
+        i, j, n = blocks[k], blocks[k + 1] - shift, blocks[k + 2]
+        run = 0
+        for t in range(n + 1):
+            if t < n and i + t < len(own) and j + t < len(other) and own[i + t] == other[j + t]:
+                run += 1
+                continue
+            if run >= ANCHOR:
+                out.append((i + t - run, j + t - run + shift, run))
+            run = 0
+    return out
+
+
+def fragments(own: list[int], other: list[int], shift: int, blocks: list[int], identity: float) -> list[tuple[int, int, int, int, int]]:
+    """What ``align`` gives for a chain, or, where its identity is too low, for the parts that it falls into at its worst gaps."""
+    out, seen = [], set()
+    todo = [exact_runs(own, other, shift, blocks)]
+    while todo:
+        runs = todo.pop()
+        if not runs:
+            continue
+        found = align(own, other, shift, [x for r in runs for x in r])
+        if found[4] <= (1 - identity) * (found[1] - found[0]):
+            if found not in seen:
+                seen.add(found)
+                out.append(found)
+            continue
+        if len(runs) == 1:
+            i, j, n = runs[0]
+            out.append((i, i + n, j, j + n, 0))
+            continue
+        cost = [edit_distance(own[a + m : c], other[b + m - shift : d - shift]) - (1 - identity) * (c - a - m) for (a, b, m), (c, d, _) in zip(runs, runs[1:], strict=False)]
+        at = int(np.argmax(cost)) + 1
+        todo += [runs[:at], runs[at:]]
+    return out
+
+
 def passages_of(own: list[int], chains: list[tuple], least_words: int, identity: float) -> list[tuple]:
     """Fragments (start, words, source, source start, edits) that lie in passages of at least ``least_words``."""
     found = []
     for src, low, blocks, codes in chains:
-        a, b, c, _, edits = align(own, codes, low, blocks)
-        if b - a >= LEAST_FRAGMENT and edits <= (1 - identity) * (b - a):
-            found.append((a, b - a, src, c, edits))
+        for a, b, c, _, edits in fragments(own, codes, low, blocks, identity):
+            if b - a >= LEAST_FRAGMENT:
+                found.append((a, b - a, src, c, edits))
     found.sort(key=lambda f: (f[0], -f[1], str(f[2]), f[3]))
     out, run, end = [], [], -1
     for f in [*found, None]:

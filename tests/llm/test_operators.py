@@ -19,7 +19,7 @@ from paperloom.llm.components import components
 from paperloom.llm.license_scan import NOTICES, license_scan
 from paperloom.llm.line_dedup import line_dedup
 from paperloom.llm.near_dedup import REGISTERS, estimate, merge, near_duplicates, registers
-from paperloom.llm.substring_dedup import MaxTree, align, chain, find_repeats, substring_dedup
+from paperloom.llm.substring_dedup import MaxTree, align, chain, edit_distance, find_repeats, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -381,6 +381,32 @@ def test_chain_and_align():
     assert align(own, other, 100, [1, 100, 5]) == (1, 12, 100, 110, 1)
 
 
+def test_passages_split_at_a_bad_gap(spark):
+    """Two exact passages with other words between them are two fragments; a long gap with few edits is aligned."""
+    rng = np.random.default_rng(8)
+
+    def text(n):
+        return [f"s{x}" for x in rng.integers(0, 50_000, n)]
+
+    p, q = text(60), text(60)
+    docs = {1: text(30) + p + text(40) + q + text(30), 2: text(20) + p + text(40) + q + text(25)}
+    found = {r["doc_id"]: r["repeats"] for r in find_repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id bigint, text string")).collect()}
+    assert [(f["start"], f["words"], f["source_start"], f["edits"]) for f in found[2]] == [(20, 60, 30, 0), (120, 60, 130, 0)]
+    own = rng.integers(0, 1000, 600).tolist()
+    other = list(own)
+    for at in range(103, 500, 7):
+        other[at] = -at
+    assert align(own, other, 0, [0, 0, 100, 500, 500, 100]) == (0, 600, 0, 600, 57)
+    for _ in range(50):
+        a, b = rng.integers(0, 4, rng.integers(0, 30)).tolist(), rng.integers(0, 4, rng.integers(0, 30)).tolist()
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            diagonal, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+        assert edit_distance(a, b) == row[-1]
+
+
 # --- WARC (3)
 
 
