@@ -1,6 +1,6 @@
 """Substring dedup by collinear chaining (operator 1).
 
-Seeds are eight-word k-mers picked by winnowing windows of sixteen, so every shared run of 23 words has one.  A seed's owner is its first
+Seeds are five-word k-mers picked by winnowing windows of four, so every shared run of eight words has one.  A seed's owner is its first
 place in the corpus by (doc_id, word); every other place is joined with the owner only, which keeps a passage in a third of all
 documents linear; the owners are cut before the join, so that AQE can split a hot seed's rows.  The matches of a document with one owner document are merged along diagonals into blocks, blocks are chained by
 dynamic programming with a linear gap cost, the best predecessor coming from a Fenwick tree over source positions, and chains are aligned word
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import _vec as V
 from ._store import cut, drop
 
-K = 8
-WINDOW = 16
+K = 5
+WINDOW = 4
 LEAST_WORDS = 50
 LEAST_FRAGMENT = 16
 IDENTITY = 0.8
@@ -33,7 +33,10 @@ GAP_COST = 0.25
 TOUCH = 2
 MARGIN = WINDOW + K - 1
 REACH = 64
+GRID = 32
 ANCHOR = 4
+#: Words passed over in the document and in the source at an edit.
+_STEPS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3), (3, 0), (0, 3), *((p, p) for p in range(4, 17)))
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -160,9 +163,9 @@ def _chains(matches: DataFrame) -> DataFrame:
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(doc)], strict=True):
             for path in chain(d[a:b], s[a:b], n[a:b]):
                 first, last = a + path[0], a + path[-1]
-                if d[last] + n[last] - d[first] >= LEAST_FRAGMENT:
-                    flat = [x for i in path for x in (d[a + i], s[a + i], n[a + i])]
-                    rows.append((int(doc[a]), int(src[a]), max(0, s[first] - REACH), s[last] + n[last] + REACH, flat))
+                flat = [x for i in path for x in (d[a + i], s[a + i], n[a + i])]
+                low, high = max(0, s[first] - REACH) // GRID * GRID, -(-(s[last] + n[last] + REACH) // GRID) * GRID
+                rows.append((int(doc[a]), int(src[a]), low, high, flat))
         if not rows:
             return None
         x = list(zip(*rows, strict=True))
@@ -202,18 +205,32 @@ def _word_codes(buf: np.ndarray, offs: np.ndarray) -> tuple[V.Words, np.ndarray]
 
 
 def _regions(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """src, low, high and the word codes there."""
+    """src, low, high and the word codes there; a source's text is read once for all its regions, whose bounds lie on a grid."""
     ident = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for i, j, buf, offs in V.chunks(batch.column(3)):
+            for i, j, buf, offs in V.chunks(batch.column(2)):
                 words, codes = _word_codes(buf, offs)
-                low, high = (batch.column(c).slice(i, j - i).to_numpy() for c in (1, 2))
-                out = [codes[f + a : min(f + b, g)].tobytes() for f, g, a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), low.tolist(), high.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(out, pa.binary())], names=["src", "low", "high", "codes"])
-
-    joined = wanted.join(docs.select(F.col("doc_id").alias("src"), "text"), "src").select("src", "low", "high", "text")
+                which, lows, highs, out = [], [], [], []
+                for r, spans in enumerate(batch.column(1).slice(i, j - i).to_pylist()):
+                    f, g = int(words.first[r]), int(words.first[r + 1])
+                    for span in spans:
+                        which.append(i + r)
+                        lows.append(span["low"])
+                        highs.append(span["high"])
+                        out.append(codes[f + span["low"] : min(f + span["high"], g)].tobytes())
+                        if len(out) == 4096:
+                            yield emit(batch, which, lows, highs, out)
+                            which, lows, highs, out = [], [], [], []
+                yield emit(batch, which, lows, highs, out)
+
+    def emit(batch, which, lows, highs, out):
+        columns = [batch.column(0).take(pa.array(which, pa.int32())), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(out, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["src", "low", "high", "codes"])
+
+    spans = wanted.groupBy("src").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    joined = spans.join(docs.select(F.col("doc_id").alias("src"), "text").dropDuplicates(["src"]), "src").select("src", "spans", "text")
     return joined.mapInArrow(run, f"src {ident}, low int, high int, codes binary")
 
 
@@ -238,8 +255,11 @@ def edit_distance(a: list[int], b: list[int]) -> int:
 
 
 def _grow(a: list[int], b: list[int], i: int, j: int, step: int) -> tuple[int, int, int]:
-    """Extend from a[i], b[j] (the next pair to compare) in one direction past edits of up to three words: new i, j and edits."""
-    edits = 0
+    """Extend from a[i], b[j] (the next pair to compare) in one direction past edits of a few words: new i, j and edits.
+
+    Of all the places where the extension could stop, the last that leaves it at ``IDENTITY`` is taken.
+    """
+    from_i, edits, best = i, 0, (i, j, 0)
 
     def same(x: int, y: int) -> bool:
         return 0 <= x < len(a) and 0 <= y < len(b) and a[x] == b[y]
@@ -247,12 +267,15 @@ def _grow(a: list[int], b: list[int], i: int, j: int, step: int) -> tuple[int, i
     while True:
         while same(i, j):
             i, j = i + step, j + step
-        for p, q in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3), (3, 0), (0, 3)):
+        if edits <= (1 - IDENTITY) * abs(i - from_i):
+            best = i, j, edits
+        for p, q in _STEPS:
             if all(same(i + step * (p + k), j + step * (q + k)) for k in range(ANCHOR)):
-                i, j, edits = i + step * p, j + step * q, edits + max(p, q)
+                edits += sum(not same(i + step * k, j + step * k) for k in range(p)) if p == q else max(p, q)
+                i, j = i + step * p, j + step * q
                 break
         else:
-            return i, j, edits
+            return best
 
 
 def align(own: list[int], other: list[int], shift: int, blocks: list[int]) -> tuple[int, int, int, int, int]:
@@ -351,7 +374,7 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
     chains = cut(_chains(seeds.join(owner, "seed").filter("doc_id <> src")), "op1-chains")
     drop(seeds)
     drop(owner)
-    regions = _regions(chains.select("src", "low", "high").distinct(), docs)
+    regions = _regions(chains.select("src", "low", "high"), docs)
     per_doc = (
         chains.join(regions, ["src", "low", "high"]).groupBy("doc_id").agg(F.collect_list(F.struct("src", "low", "blocks", "codes")).alias("chains"))
     )

@@ -407,6 +407,22 @@ def test_passages_split_at_a_bad_gap(spark):
         assert edit_distance(a, b) == row[-1]
 
 
+@pytest.mark.parametrize("every", [20, 12, 10, 8])
+def test_passages_with_many_edits(spark, every):
+    rng = np.random.default_rng(every)
+
+    def text(n):
+        return [f"m{x}" for x in rng.integers(0, 50_000, n)]
+
+    docs = {}
+    for i in range(20):
+        passage = text(60)
+        docs[i] = text(30) + passage + text(30)
+        docs[100 + i] = text(25) + [f"new{i}" if n % every == every // 2 else w for n, w in enumerate(passage)] + text(35)
+    found = {r["doc_id"]: r["words_removed"] for r in find_repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id bigint, text string")).collect()}
+    assert set(found) == set(range(100, 120)) and all(50 <= n <= 61 for n in found.values())
+
+
 # --- WARC (3)
 
 
