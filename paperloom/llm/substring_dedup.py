@@ -2,7 +2,8 @@
 
 Seeds are five-word k-mers picked by winnowing windows of four, so every shared run of eight words has one.  A seed's owner is its first
 place in the corpus by (doc_id, word); every other place is joined with the owner only, which keeps a passage in a third of all
-documents linear; the owners are cut before the join, so that AQE can split a hot seed's rows.  The matches of a document with one owner document are merged along diagonals into blocks, blocks are chained by
+documents linear.  Seeds that several documents hold are also keyed by seed and following seed, at three distances, with the first owner of each such
+pair, so that a passage is met whole where the owner of its seeds holds only a stock phrase of it.  In either join the owners are cut before the join, so that AQE can split a hot seed's rows.  The matches of a document with one owner document are merged along diagonals into blocks, blocks are chained by
 dynamic programming with a linear gap cost, the best predecessor coming from a Fenwick tree over source positions, and chains are aligned word
 by word: blocks are extended, gaps of any length are aligned by edit distance, ends are extended past small edits.  A chain whose identity is too low
 is split at its worst gaps and its parts are judged alone.  Aligned fragments of at least 16 words and 80 % identity
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _vec as V
@@ -34,6 +35,7 @@ TOUCH = 2
 MARGIN = WINDOW + K - 1
 REACH = 64
 GRID = 32
+CONTEXTS = (1, 4, 12)
 ANCHOR = 4
 #: Words passed over in the document and in the source at an edit.
 _STEPS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3), (3, 0), (0, 3), *((p, p) for p in range(4, 17)))
@@ -78,6 +80,25 @@ def _seeds(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"seed bigint, doc_id {ident}, place int")
 
 
+def _matches(shared: DataFrame) -> DataFrame:
+    """doc_id, place, src, other: the seeds with their first owner, and with the first owners of what follows them in context.
+
+    ``shared`` are all places of seeds that several documents hold.  The first owner of a seed may hold no more of a passage than that seed.  So each
+    place is also keyed by its seed and another one, ``CONTEXTS`` shared seeds on: inside a passage that two documents share, the shared seeds are the
+    same ones in the same order, so the earliest document with both is met as well.
+    """
+    after = Window.partitionBy("doc_id").orderBy("place")
+    ahead = [F.struct(F.xxhash64(F.col("seed"), F.col(f"seed{n}"), F.lit(n)).alias("key"), F.col(f"seed{n}").isNotNull().alias("there")) for n in CONTEXTS]
+    once = shared.repartition("doc_id").dropDuplicates(["doc_id", "place"])
+    rows = once.select("seed", "doc_id", "place", "src", *(F.lead("seed", n).over(after).alias(f"seed{n}") for n in CONTEXTS))
+    rows = rows.select("doc_id", "place", "src", F.explode(F.array(*ahead)).alias("x")).filter("x.there")
+    rows = cut(rows.select(F.col("x.key").alias("key"), "doc_id", "place", F.col("src").alias("known")), "op1-contexts")
+    owner = rows.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("o"), F.max("doc_id").alias("last")).filter("o.doc_id < last")
+    owner = cut(owner.select("key", F.col("o.doc_id").alias("src"), F.col("o.place").alias("other")), "op1-context-owners")
+    more = rows.join(owner, "key").filter("doc_id <> src and src <> known").select("doc_id", "place", "src", "other")
+    return shared.filter("doc_id <> src").select("doc_id", "place", "src", "other").unionByName(more)
+
+
 class MaxTree:
     """A Fenwick tree for the greatest value, and who has it, among keys up to a bound."""
 
@@ -142,6 +163,10 @@ def _blocks(doc: np.ndarray, src: np.ndarray, place: np.ndarray, other: np.ndarr
     shift = other - place
     by = np.lexsort((place, shift, src, doc))
     doc, src, place, shift = doc[by], src[by], place[by], shift[by]
+    fresh = np.ones(len(by), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (src[1:] != src[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] != place[:-1])
+    by = by[fresh]
+    doc, src, place, shift = doc[fresh], src[fresh], place[fresh], shift[fresh]
     new = np.ones(len(by), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (src[1:] != src[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] - place[:-1] > MARGIN)
     first = np.flatnonzero(new)
@@ -371,9 +396,11 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
     seeds = cut(_seeds(docs), "op1-seeds")
     owner = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("o"), F.max("doc_id").alias("last")).filter("o.doc_id < last")
     owner = cut(owner.select("seed", F.col("o.doc_id").alias("src"), F.col("o.place").alias("other")), "op1-owners")
-    chains = cut(_chains(seeds.join(owner, "seed").filter("doc_id <> src")), "op1-chains")
+    shared = cut(seeds.join(owner, "seed"), "op1-shared")
     drop(seeds)
     drop(owner)
+    chains = cut(_chains(_matches(shared)), "op1-chains")
+    drop(shared)
     regions = _regions(chains.select("src", "low", "high"), docs)
     per_doc = (
         chains.join(regions, ["src", "low", "high"]).groupBy("doc_id").agg(F.collect_list(F.struct("src", "low", "blocks", "codes")).alias("chains"))

@@ -423,6 +423,27 @@ def test_passages_with_many_edits(spark, every):
     assert set(found) == set(range(100, 120)) and all(50 <= n <= 61 for n in found.values())
 
 
+def test_passages_with_stock_phrases(spark):
+    """Passages of later documents whose seeds all belong to earlier documents that hold just a phrase of them."""
+    rng = np.random.default_rng(9)
+
+    def text(n):
+        return [f"q{x}" for x in rng.integers(0, 50_000, n)]
+
+    docs, want = {}, {}
+    for i in range(10):
+        core, sides = text(40), (text(10), text(10))
+        docs[i], docs[100 + i], docs[200 + i] = (text(30) + x + text(30) for x in (core, sides[0] + core + sides[1], sides[0] + core + sides[1]))
+        want[200 + i] = 60
+        phrases = [text(12) for _ in range(5)]
+        for n, x in enumerate(phrases):
+            docs[1000 + 10 * i + n] = text(30) + x + text(30)
+        docs[2000 + i], docs[3000 + i] = (text(30) + sum(phrases, []) + text(30) for _ in range(2))
+        want[3000 + i] = 60
+    found = {r["doc_id"]: r["words_removed"] for r in find_repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id bigint, text string")).collect()}
+    assert found == want
+
+
 # --- WARC (3)
 
 
