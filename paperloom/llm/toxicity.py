@@ -1,9 +1,9 @@
 """Toxicity scores from a learned lexicon (operator 4).
 
 The lexicon is learned from labelled documents: whole words, and word beginnings of four to nine letters, that toxic
-documents hold far more often than others.  Its ``MAX_FUZZY`` best supported whole words form a trie.  A word that is not in the lexicon is run as a Levenshtein automaton
-through the trie: all terms within one edit (terms of at least five letters) are found together, branches being left as soon as the
-automaton has no live state.  Words that share neither half of any term are passed over, as they can't be within one edit.  Variants that clean labelled documents use are left out, so plain words near a term do not count.
+documents hold far more often than others.  Its whole words of at least five letters form a trie.  A word that is not in the lexicon is run as a Levenshtein automaton
+through the trie: all terms within one edit are found together, branches being left as soon as the
+automaton has no live state.  Words that, whole or less a letter, are no term, whole or less a letter, are passed over, as they can't be within one edit.  Variants that clean labelled documents use are left out, so plain words near a term do not count.
 
 Each hit is judged in a window of eight words to either side: inside quotation marks, or with a word of reporting and a
 quotation mark nearby, it counts a quarter.  A logistic model on the hits' weight, as a share of all words and as a total, gives the score.
@@ -36,8 +36,6 @@ THRESHOLD = 0.3
 LEAST_DOCS, LEAST_SHARE = 3, 0.0005
 LEAST_ODDS = 2.0
 FUZZY_LETTERS = 5
-CROWDED = 3
-MAX_FUZZY = 64
 STEMS = range(4, 10)
 CONTEXT = 8
 QUOTED = 0.25
@@ -105,6 +103,10 @@ class Trie:
         return out
 
 
+def _shorter(word: str) -> list[str]:
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
 class Lexicon(dict):
     """Weight of a word, memoised; emptied when it holds ``most`` words."""
 
@@ -114,12 +116,11 @@ class Lexicon(dict):
         terms = model["fuzzy"]
         self.trie = Trie({w: self.words[w] for w in terms})
         self.lengths = {len(w) + d for w in terms for d in (-1, 0, 1)}
-        self.heads, self.tails = {w[: len(w) // 2] for w in terms}, {w[len(w) // 2 :] for w in terms}
-        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+        self.shorter = {x for w in terms for x in (w, *_shorter(w))}
 
     def may_be_near(self, word: str) -> bool:
-        """Whether a term can be within one edit: the edit leaves the first or the second half of the term as it is."""
-        return len(word) in self.lengths and (any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes))
+        """Whether a term can be within one edit: less a letter each, or one of them less a letter, the two are the same then."""
+        return len(word) in self.lengths and (word in self.shorter or any(x in self.shorter for x in _shorter(word)))
 
     def __missing__(self, word: str) -> float:
         if len(self) >= self.most:
@@ -230,19 +231,18 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
 
     model["words"] = best(good.filter("term like '%$'"))
     model["stems"] = best(good.filter("term not like '%$'"))
-    long_ = [w for w in model["words"] if len(w) >= FUZZY_LETTERS][:MAX_FUZZY]
+    long_ = [w for w in model["words"] if len(w) >= FUZZY_LETTERS]
     probe = Lexicon(model | {"fuzzy": long_})
 
     def nearby(batches):
         for batch in batches:
             words = [t[:-1] for t in batch.column(0).to_pylist()]
-            pairs = [(w, term) for w in words if probe.may_be_near(w) for term, _, _ in probe.trie.near(w) if term != w]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], names=["word", "term"])
+            near = [w for w in words if probe.may_be_near(w) and any(term != w for term, _, _ in probe.trie.near(w))]
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], names=["word"])
 
     used = counts.filter("term like '%$' and clean >= 1 and clean * 4 >= toxic").filter((F.length("term") - 1).isin(sorted({len(w) + d for w in long_ for d in (-1, 0, 1)})))
-    beside = used.select("term").mapInArrow(nearby, "word string, term string").collect()
-    crowd = Counter(r["term"] for r in beside)
-    model["fuzzy"] = [w for w in long_ if crowd[w] < CROWDED]
+    beside = used.select("term").mapInArrow(nearby, "word string").collect()
+    model["fuzzy"] = long_
     model["plain"] = {r["word"] for r in beside} - model["words"].keys()
 
     def measure(batches):

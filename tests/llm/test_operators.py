@@ -647,3 +647,36 @@ def test_query_equals_sql(spark, name):
         return columns, sorted(map(str, frame[columns].astype(object).where(frame[columns].notna(), None).values.tolist()))
 
     assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(c.execute(queries.ORACLE_SQL[name]).fetchdf())
+
+
+# --- toxicity (4): misspelt terms
+
+
+def test_toxicity_matches_every_long_term_with_an_edit(spark):
+    """Over 64 terms, and a term with three neighbours among clean words: misspelt terms still count, the clean neighbours don't."""
+    rng = np.random.default_rng(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def word(n):
+        return "".join(rng.choice(list(letters), n))
+
+    terms, plain = ["x" + word(9) for _ in range(150)], ["a" + word(6) for _ in range(400)]
+    beside = [terms[0][:5] + c + terms[0][6:] for c in letters if c != terms[0][5]][:3]
+    rows = []
+    for i in range(1200):
+        text = list(rng.choice(plain, 40))
+        if i % 3 == 0:
+            text += list(rng.choice(terms, 12, replace=False))
+        elif i % 3 == 1:
+            text.append(beside[i // 3 % 3])
+        rows.append((i, " ".join(text), int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    lexicon = toxicity.Lexicon(model | {"stems": {}})
+    long_ = [w for w in model["words"] if len(w) >= 5]
+    assert len(long_) > 100 and set(model["fuzzy"]) == set(long_) and terms[0] in long_
+    assert all(lexicon[w[:6] + "é" + w[7:]] > 0 and lexicon[w[:6] + w[7:]] > 0 and lexicon[w[:6] + "é" + w[6:]] > 0 for w in long_)
+    assert not any(lexicon[w] for w in beside)
+    for w in [*plain[:50], *terms[:20]]:
+        v = w[:3] + "q" + w[4:]
+        assert lexicon.may_be_near(v) or not lexicon.trie.near(v)
