@@ -5,6 +5,9 @@ shingles the lesser one (the later on a tie) is a fingerprint, so any shared run
 = 3 lines has one at the same place in both texts.  Each fingerprint is joined with its first position in the corpus, by (doc_id, position).
 The match is then extended both ways line by line, and a run of at least 3 lines is deleted from the later place.
 
+The first place of a pair may share just that pair, and then a run of 3 lines that an earlier text holds is missed.  With ``every_run`` the fingerprints are
+all runs of 3 lines, so every run of at least 3 lines that stands at an earlier place is deleted.  The SQL of op8 defines the first form; the pipeline uses ``every_run``.
+
 Only lines' 60-bit hashes and positions are shuffled, and the text once at the end.  The first position of a fingerprint is an
 aggregate (pre-aggregated on the map side), not a list, so a line in a third of all documents costs one row per occurrence.
 Deletions refer to the original texts: a run is deleted even where the first occurrence itself lies in a deleted run of its own document.
@@ -55,6 +58,12 @@ def fingerprints(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", shingle.alias("g")).select("doc_id", F.explode(taken).alias("x")).select("doc_id", "x.p", "x.g")
 
 
+def triples(lines: DataFrame) -> DataFrame:
+    """As fingerprints, with all runs of 3 lines."""
+    run = F.transform(F.sequence(F.lit(0), F.size("h") - LEAST_LINES), lambda i: F.struct(i.alias("p"), F.struct(*(F.get("h", i + n).alias(f"h{n}") for n in range(LEAST_LINES))).alias("g")))
+    return lines.select("doc_id", F.explode(run).alias("x")).select("doc_id", "x.p", "x.g")
+
+
 def equal_runs(own: np.ndarray, other: np.ndarray, shift: int, seeds: np.ndarray) -> list[tuple[int, int]]:
     """Runs [start, stop) of at least 3 lines equal to the lines ``shift`` further on in the other text, that hold a seed."""
     low, high = max(0, -shift), min(len(own), len(other) - shift)
@@ -95,7 +104,7 @@ def _extend(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {ident}, source_id {ident}, first_line int, n_lines int, source_line int, from_line int, to_line int")
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, every_run: bool = False) -> DataFrame:
     """The runs to delete, one row per run and source.
 
     doc_id, first_line, n_lines, source_id, source_line (indices among the lines with a word), from_line, to_line (the same run as
@@ -103,7 +112,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     lines = cut(hashed_lines(docs).dropDuplicates(["doc_id"]), "op8-lines")
-    seeds = fingerprints(lines)
+    seeds = triples(lines) if every_run else fingerprints(lines)
     first = seeds.groupBy("g").agg(F.min(F.struct("doc_id", "p")).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", F.col("o.doc_id").alias("source_id"), F.col("o.p").alias("q"))
     first = cut(first, "op8-first")
     later = seeds.join(first, "g").filter("doc_id > source_id or p > q")
@@ -112,9 +121,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return _extend(diagonals.join(lines, "doc_id").join(other, "source_id"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, every_run: bool = False) -> DataFrame:
     """The rows of docs with repeated runs deleted from ``text``, and ``lines_removed``, the number of lines deleted."""
-    runs = repeated_runs(docs).groupBy(F.col("doc_id").alias("__run_doc")).agg(F.collect_set(F.struct(F.col("from_line").alias("a"), F.col("to_line").alias("b"))).alias("__runs"))
+    runs = repeated_runs(docs, every_run).groupBy(F.col("doc_id").alias("__run_doc")).agg(F.collect_set(F.struct(F.col("from_line").alias("a"), F.col("to_line").alias("b"))).alias("__runs"))
     joined = docs.withColumn("text", F.col("text").cast("string")).join(cut(runs, "op8-runs").hint("merge"), F.col("doc_id") == F.col("__run_doc"), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~(F.exists("__runs", lambda r: (i >= r["a"]) & (i <= r["b"])) & x.rlike(r"[^\x20\x09-\x0D]")))

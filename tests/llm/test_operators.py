@@ -298,6 +298,25 @@ def test_lines(spark, texts):
     assert any(got[i] != t for i, t in docs.items())
 
 
+def test_lines_every_run(spark):
+    """Against all shared runs of 3 lines, whichever document holds their pairs first; the pipeline's stage does the same."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(14)
+    docs = {i: "\n".join(f"line {x}" if x else "" for x in rng.integers(0, 8, rng.integers(0, 14))) for i in range(80)}
+    docs |= {101: "x\ny\np", 102: "x\ny\nz", 103: "x\ny\nz", 104: "q\ny\nz\nr"}
+    first, gone = {}, defaultdict(set)
+    for i in sorted(docs):
+        own = [(n, x) for n, x in enumerate(docs[i].split("\n")) if WORD.search(x)]
+        for p in range(len(own) - 2):
+            if first.setdefault(tuple(x for _, x in own[p : p + 3]), (i, p)) != (i, p):
+                gone[i].update(n for n, _ in own[p : p + 3])
+    want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in docs.items()}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup(df, every_run=True).collect()} == want and want[103] == ""
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()} == want
+
+
 def test_lines_odd(odd, empty):
     out = line_dedup(odd)
     assert out.columns == [*odd.columns, "lines_removed"]
