@@ -480,6 +480,12 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(empty_).count() == 0
 
 
+def test_warc_long_url(spark):
+    pages = [(1, "u" * 70_000, "b" * 200), (2, "v" * 100_000, "b" * 200), (3, "u", "c")]
+    rows = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert {i: (r["payload_bytes"], r["record_type"]) for i, r in rows.items()} == {1: (200, "response"), 2: (200, "revisit"), 3: (1, "response")}
+
+
 def record(n, payload, digest=True):
     head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:paperloom:page:{n}>\r\n"
     head += f"WARC-Block-Digest: sha256:{hashlib.sha256(payload).hexdigest()}\r\n" if digest else ""
