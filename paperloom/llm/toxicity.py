@@ -19,6 +19,7 @@ Null or empty texts get the model's score for no hits.  Repeated rows are scored
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,6 +44,7 @@ FUZZY = 0.7
 SLOT, HELD_OUT = 4, 2
 
 _WORD = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"\S+")
 _OPEN, _CLOSE = set("\"“„«‹‘"), set("\"”“»›’")
 #: Words of reporting (fixed values).
 _REPORTING = frozenset("said says called calls quoted quote wrote writes claimed asked dit écrit sagte schrieb dijo escribió".split())
@@ -134,10 +136,24 @@ class Lexicon(dict):
         return weight
 
 
-def _quoted(text: str, start: int, stop: int) -> bool:
+def _lower(text: str) -> str:
+    """Lower case letter by letter, so that places stay the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[:1] for c in text)
+
+
+def _spans(text: str) -> tuple[list[int], list[int]]:
+    """Where the words between blanks start and end."""
+    found = [m.span() for m in _TOKEN.finditer(text)]
+    return [a for a, _ in found], [b for _, b in found]
+
+
+def _quoted(text: str, start: int, stop: int, spans: tuple[list[int], list[int]] | None = None) -> bool:
     """Whether the hit at start:stop stands in quotation marks, or is reported, within its window of words."""
-    before = text[max(0, start - 200) : start].split()[-CONTEXT:]
-    after = text[stop : stop + 200].split()[:CONTEXT]
+    starts, ends = spans or _spans(text)
+    first, last = max(0, bisect_left(starts, start) - CONTEXT), bisect_right(ends, stop) + CONTEXT - 1
+    before = text[starts[first] if first < len(starts) else start : start].split()
+    after = text[stop : ends[min(last, len(ends) - 1)] if ends else stop].split()
     left, right = " ".join(before), " ".join(after)
     touches = text[max(0, start - 1) : start], text[stop : stop + 1]
     opened = any(c in _OPEN for c in left) or touches[0] in _OPEN and bool(touches[0])
@@ -151,16 +167,17 @@ def _quoted(text: str, start: int, stop: int) -> bool:
 
 def features(text: str, lexicon: Lexicon) -> tuple[float, float, float, float]:
     """Weight of hits per hundred words, log of their total, log of the number of different terms, and 1."""
-    low = text.lower()
+    low = _lower(text)
     words = _WORD.findall(low)
     weights = [lexicon[w] for w in words]
     mass, kinds = 0.0, set()
     if any(weights):
-        if len(low) == len(text) and any(c in _OPEN or c in _CLOSE for c in text):
+        if any(c in _OPEN or c in _CLOSE for c in text):
+            spans = _spans(text)
             for m in _WORD.finditer(low):
                 x = lexicon[m.group()]
                 if x:
-                    mass += x * (QUOTED if _quoted(text, *m.span()) else 1.0)
+                    mass += x * (QUOTED if _quoted(text, *m.span(), spans) else 1.0)
                     kinds.add(m.group())
         else:
             mass = float(sum(weights))
@@ -181,7 +198,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = set()
-                for w in set(_WORD.findall((text or "").lower())):
+                for w in set(_WORD.findall(_lower(text or ""))):
                     own.add(w + "$")
                     own.update(w[:k] for k in STEMS if k <= len(w))
                 (toxic if label else clean).update(own)

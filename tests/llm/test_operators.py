@@ -705,3 +705,20 @@ def test_toxicity_matches_every_long_term_with_an_edit(spark):
     for w in [*plain[:50], *terms[:20]]:
         v = w[:3] + "q" + w[4:]
         assert lexicon.may_be_near(v) or not lexicon.trie.near(v)
+
+
+def test_toxicity_window_of_words():
+    lexicon = toxicity.Lexicon({"words": {"vile": 1.0}, "stems": {}, "plain": set(), "fuzzy": []})
+    long_ = " ".join(["a" * 60] * 6)
+    for text in ('he said "vile" then', 'İ he said "vile" then', f'"{long_} vile {long_}"', f'he said "{long_} vile then'):
+        assert toxicity.features(text, lexicon)[1] == pytest.approx(math.log1p(0.25))
+    for text in ("vile", "a vile b", 'c " ' + "b " * 9 + "vile " + "b " * 9 + '"'):
+        assert toxicity.features(text, lexicon)[1] == pytest.approx(math.log1p(1.0))
+    rng = np.random.default_rng(15)
+    for _ in range(500):
+        text = "".join(rng.choice(list('ab "\n“”:,'), 80)) + "vile" + "".join(rng.choice(list('ab "\n“”:,'), 80))
+        at = text.index("vile")
+        before, after = text[:at].split()[-8:], text[at + 4 :].split()[:8]
+        marks = [c for w in before for c in w]
+        opened, closed = any(c in toxicity._OPEN for c in marks) or text[at - 1] in toxicity._OPEN, any(c in toxicity._CLOSE for w in after for c in w)
+        assert toxicity._quoted(text, at, at + 4) == (opened and closed and (marks.count('"') % 2 == 1 or '"' not in marks))
