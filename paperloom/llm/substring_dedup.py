@@ -372,7 +372,7 @@ def passages_of(own: list[int], chains: list[tuple], least_words: int, identity:
         for a, b, c, _, edits in fragments(own, codes, low, blocks, identity):
             if b - a >= LEAST_FRAGMENT:
                 found.append((a, b - a, src, c, edits))
-    found.sort(key=lambda f: (f[0], -f[1], str(f[2]), f[3]))
+    found = sorted(set(found), key=lambda f: (f[0], -f[1], str(f[2]), f[3]))
     out, run, end = [], [], -1
     for f in [*found, None]:
         if run and (f is None or f[0] > end + TOUCH):
