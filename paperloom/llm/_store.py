@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Exchange files of a frame that is written and read back serve no one after the write.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is configured (tests)."""
+    """The folder named by spark.checkpoint.dir; where none is set, a temporary one in a single local process (tests), else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -25,16 +32,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: short lineage, computed once, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._paperloom_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files behind a frame made by cut() that nothing will read again."""
-    spark, path = df.sparkSession, getattr(df, "_paperloom_path", None)
-    if path:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*frames: DataFrame) -> None:
+    """Delete the files behind frames made by cut() that nothing will read again."""
+    for df in frames:
+        spark, path = df.sparkSession, getattr(df, "_paperloom_path", None)
+        if path:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

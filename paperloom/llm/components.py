@@ -20,7 +20,7 @@ def _print(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp (the least node reachable) for every node of the links (their two columns, in any order)."""
+    """node, comp (the least node reachable) for every node of the links (their two columns, in any order); drop() deletes the table behind it."""
     a, b = links.columns
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     seen = _print(edges)
@@ -39,4 +39,6 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+    out._paperloom_path = edges._paperloom_path
+    return out

@@ -6,14 +6,16 @@ registers of similar sets agree with a probability close to their Jaccard simila
 gather candidates.  A candidate pair's similarity is estimated by maximum likelihood from both register lists and
 both set sizes; pairs less than five standard deviations below the threshold are confirmed on the full sets.
 
-Hot groups: documents with the same shingle set are one class, represented by its least doc_id, so exact copies never meet in a
-bucket.  Buckets are never expanded into all pairs at first: in each round every member of a bucket meets only one
-hub, by aggregation and join (AQE splits a hot bucket), and confirmed links merge components.  Only members that are still in
-different components after the rounds meet each other, so no link between different components is lost to the hubs.  The join itself only lets
-pairs through whose sizes and packed register bits allow the threshold.
+Hot groups: documents with the same shingle set (128 bits of hash and its size) are one class, represented by its least doc_id, so exact
+copies never meet in a bucket.  Buckets are never expanded into all pairs.  In each round every member of a bucket meets only one
+hub, by aggregation and join (AQE splits a hot bucket), and confirmed links merge components.  The first hub is the bucket's most central member, the one
+whose own buckets are largest: the text that most copies were made from.  Members of buckets that still hold several components then meet by
+exact prefix filtering of their full sets: shingles are ordered from the rarest on, and a pair is a candidate only if it shares one so early that the rest of
+both can still reach the threshold.  Entries are keyed by shingle and size class, so sizes that can't fit never meet, and in every key the
+members of its largest component meet only members of others.  No link between members of one bucket is lost.
 Components are found by alternating large-star and small-star steps on tables cut through the shared checkpoint folder.
 
-At J = 0.8, 32 bands of 5 registers miss a pair with probability 3e-6, the estimate's filter with 3e-7.
+At J = 0.8, 32 bands of 5 registers miss a pair with probability 3e-6, the estimate's filter with 3e-7.  Shingles are compared as 64-bit hashes.
 
 Null or empty texts have no shingles and are linked with nothing.  Texts with fewer than k words have one shingle, the whole sequence.  Rows
 that share a doc_id are one document.  Rows with a null doc_id get a null component and stay.  Very long texts only need memory for
@@ -40,12 +42,15 @@ RATE = 20.0
 LIMIT = 65_534
 STAR_ROUNDS = 2
 SIGMAS = 5.0
+SIZE_STEP = 1.05
 BIT_WORDS = -(-REGISTERS // 64)
 
 _RANDOM = np.random.default_rng(20_240_229)
 _FACTOR = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * V.U64(2) + V.U64(1)
 _SHIFT = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 _BAND_SALT = V.mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
+_SET_SALT = V.mix64(np.arange(101, 103, dtype=np.uint64))
+SET_KEY = ["set_key", "set_key2"]
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
@@ -105,7 +110,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (a hash of the set) and the registers of each row."""
+    """doc_id, n_shingles, set_key and set_key2 (128 bits of hash of the set) and the registers of each row."""
     ident = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -116,13 +121,13 @@ def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
                     [
                         batch.column(0).slice(i, j - i),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(np.array([V.mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
+                        *(pa.array(np.array([V.mix64(s ^ salt).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for salt in _SET_SALT),
                         pa.array([registers(s).tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "sketch"],
+                    names=["doc_id", "n_shingles", *SET_KEY, "sketch"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {ident}, n_shingles bigint, set_key bigint, sketch binary")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {ident}, n_shingles bigint, set_key bigint, set_key2 bigint, sketch binary")
 
 
 def _band_keys(reps: DataFrame) -> DataFrame:
@@ -201,23 +206,106 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(fits).select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(run, f"a {ident}, b {ident}")
 
 
+def prefix_entries(n: int, rare: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where a set of n shingles, the first ``rare`` of which no other set holds, is entered to find partners.
+
+    Returns the places as the smaller set, the places as the larger set, the size class of the smaller for each of the latter, and for each of the
+    former.  Two sets of a and b shingles
+    reach the threshold with an overlap of at least percent * (a + b) / (100 + percent); at their first common shingle, at places
+    i and j, the overlap is at most min(a - i, b - j).
+    """
+    whole = 100 + percent
+
+    def need(a, b):
+        return -(-percent * (a + b) // whole)
+
+    small = np.arange(rare, n - need(n, n) + 1)
+    least = -(-percent * n // 100)
+    large = np.arange(rare, n - need(n, least) + 1)
+    most = np.minimum(n, whole * (n - large) // percent - n)
+    low, high = size_class(np.full(len(large), least)), size_class(most)
+    count = np.maximum(0, high - low + 1)
+    return small, np.repeat(large, count), V.ranges(low, count), size_class(np.full(len(small), n))
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(SIZE_STEP) + 1e-9).astype(np.int64)
+
+
+def _entries(ordered: DataFrame, percent: int) -> DataFrame:
+    """key, place, larger (whether as the larger set), rep, comp, n_shingles for the prefix join."""
+    ident = ordered.schema["rep"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            n, lists = batch.column(names.index("n_shingles")).to_numpy(), batch.column(names.index("common"))
+            values, offs = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            for at in range(0, batch.num_rows, 256):
+                which, keys, places, larger = [], [], [], []
+                for r in range(at, min(at + 256, batch.num_rows)):
+                    own = values[offs[r] : offs[r + 1]]
+                    rare = int(n[r]) - len(own)
+                    small, large, sizes, size = prefix_entries(int(n[r]), rare, percent)
+                    for place, part, flag in ((small, size, False), (large, sizes, True)):
+                        keys.append(V.mix64(own[place - rare] + part.astype(np.uint64)))
+                        places.append(place)
+                        which.append(np.full(len(place), r))
+                        larger.append(np.full(len(place), flag))
+                which = pa.array(np.concatenate(which), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(larger)), *(batch.column(names.index(c)).take(which) for c in ("rep", "comp", "n_shingles"))],
+                    names=["key", "place", "larger", "rep", "comp", "n_shingles"],
+                )
+
+    return ordered.mapInArrow(run, f"key bigint, place bigint, larger boolean, rep {ident}, comp {ident}, n_shingles bigint")
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of members (rep, comp, n_shingles) in different components that may reach the threshold, by exact prefix filtering."""
+    tokens = members.join(sets, "rep").select("rep", "comp", "n_shingles", F.explode("shingles").alias("t"))
+    df = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ordered = tokens.join(df, "t").groupBy("rep", "comp", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("df", "t")))["t"].alias("common"))
+    ordered = ordered.filter(100 * F.size("common") >= percent * F.col("n_shingles"))
+    entry = cut(_entries(ordered, percent), "op2-entries")
+    per = entry.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = cut(per.groupBy("key").agg(F.max_by("comp", "n").alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("key", "main"), "op2-mixed")
+    entry_ = cut(entry.join(mixed, "key"), "op2-mixed-entries")
+    drop(entry, mixed)
+    x, y = entry_.filter("larger").alias("x"), entry_.filter("not larger").alias("y")
+
+    def c(name):
+        return F.col(f"x.{name}"), F.col(f"y.{name}")
+
+    (n_x, n_y), (i, j) = c("n_shingles"), c("place")
+    fits = (n_y <= n_x) & ((100 + percent) * F.least(n_x - i, n_y - j) >= percent * (n_x + n_y)) & (F.col("x.comp") != F.col("y.comp"))
+    met = [
+        x.filter("comp <> main").alias("x").join(y, (F.col("x.key") == F.col("y.key")) & fits),
+        x.filter("comp = main").alias("x").join(y.filter("comp <> main").alias("y"), (F.col("x.key") == F.col("y.key")) & fits),
+    ]
+    pairs = [m.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")) for m in met]
+    out = cut(pairs[0].union(pairs[1]).distinct(), "op2-met")
+    drop(entry_)
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sketched = cut(sketch_documents(docs, k), "op2-sketches")
-    classes = cut(sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep")), "op2-classes")
-    reps = sketched.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "n_shingles", "doc_id"], "left_semi").select(
+    classes = cut(sketched.filter("n_shingles > 0 and doc_id is not null").groupBy(*SET_KEY, "n_shingles").agg(F.min("doc_id").alias("rep")), "op2-classes")
+    reps = sketched.join(classes.withColumnRenamed("rep", "doc_id"), [*SET_KEY, "n_shingles", "doc_id"], "left_semi").select(
         F.col("doc_id").alias("rep"), "n_shingles", "sketch"
     )
     keys = _band_keys(reps)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     bucket = cut(keys.join(shared, "key").distinct(), "op2-buckets")
-    some = bucket.select("rep").distinct()
-    sketch = cut(_with_bits(reps.join(some, "rep", "left_semi")).dropDuplicates(["rep"]), "op2-candidates")
+    central = bucket.groupBy("rep").agg(F.sum("n").alias("weight"))
+    sketch = cut(_with_bits(reps.join(central.select("rep"), "rep", "left_semi")).dropDuplicates(["rep"]), "op2-candidates")
     bits = [f"b{i}" for i in range(BIT_WORDS)]
-    member = cut(bucket.join(sketch.select("rep", "n_shingles", *bits), "rep"), "op2-members")
+    member = cut(bucket.select("rep", "key").join(sketch.select("rep", "n_shingles", *bits).join(central, "rep"), "rep"), "op2-members")
     drop(bucket)
-    sets = cut(_sets(docs.withColumnRenamed("doc_id", "rep").join(sketch.select("rep"), "rep", "left_semi"), k), "op2-sets")
+    sets = cut(_sets(docs.withColumnRenamed("doc_id", "rep").join(sketch.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), k), "op2-sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs with ``linked``, confirmed on full sets."""
@@ -228,42 +316,43 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
         linked = likely.join(full[0], "a").join(full[1], "b").filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b", F.lit(True).alias("linked")).distinct()
         return pairs.join(linked, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"))
 
-    label, tested = None, None
+    label, tested = None, []
     for turn in range(STAR_ROUNDS + 1):
         if label is None:
             own = member.withColumn("comp", F.col("rep"))
         else:
             own = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         if turn < STAR_ROUNDS:
-            facts = F.struct(F.xxhash64("rep", F.lit(turn)).alias("r"), F.col("rep").alias("hub"), "comp", "n_shingles", *bits)
+            rank = F.xxhash64("rep", F.lit(turn)) if turn else -F.col("weight")
+            facts = F.struct(rank.alias("r"), F.col("rep").alias("hub"), "comp", "n_shingles", *bits)
             hub = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(facts).alias("h")).filter("low < high").select("key", "h.*")
             met = own.alias("x").join(hub.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent))
-            met = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+            met = cut(met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "op2-met")
         else:
             mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-            own = own.join(mixed, "key", "left_semi")
-            met = own.alias("x").join(own.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x", "y", percent))
-            met = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        met = met.distinct()
-        if tested is not None:
-            met = met.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        met = cut(met, "op2-met")
-        if met.isEmpty():
-            break
-        result = cut(confirm(met), "op2-tested")
+            left = cut(own.join(mixed, "key", "left_semi").select("rep", "comp", "n_shingles").distinct(), "op2-left")
+            met = prefix_pairs(left, sets, percent)
+            drop(left)
+        fresh = met
+        for done in tested:
+            fresh = fresh.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        result = cut(confirm(fresh), "op2-tested")
         drop(met)
-        tested = result if tested is None else tested.unionByName(result)
+        tested.append(result)
         links = result.filter("linked").select("a", "b")
         if label is not None:
             links = links.union(label.filter("node <> comp").select("node", "comp"))
-        label = components(links)
-    if label is None:
-        label = classes.limit(0).select(F.col("rep").alias("node"), F.col("rep").alias("comp"))
-    drop(sets)
-    return (
-        sketched.select("doc_id", "n_shingles", "set_key")
-        .join(classes, ["set_key", "n_shingles"], "left")
+        before, label = label, components(links)
+        if before is not None:
+            drop(before)
+    drop(sets, member, sketch, *tested)
+    out = cut(
+        sketched.select("doc_id", "n_shingles", *SET_KEY)
+        .join(classes, [*SET_KEY, "n_shingles"], "left")
         .join(label.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))),
+        "op2-result",
     )
+    drop(sketched, classes, label)
+    return out
