@@ -1,19 +1,20 @@
 """Exact top-k BM25 search with block-max pruning, per shard (operator 9).
 
 Document frequencies, the number of documents and their mean length are computed over the whole corpus first, so scores do not depend on the
-sharding.  Documents are dealt into shards of about ``words_per_shard`` words; each shard builds an inverted index of (term, document, impact) postings
-with the greatest impact of every term in every block of 64 documents.  Documents are numbered by their most frequent word and length, so
-that blocks hold similar documents.
+sharding.  Documents are dealt into shards of about ``words_per_shard`` words, one task each.  A task turns its documents, some two million words at
+a time, into inverted indexes: per term the postings (document, frequency) in two small integers each, cut into blocks of 64 documents with the greatest
+impact of each.  Documents are numbered by their most frequent word and length, so that blocks hold similar documents.
 
-Queries run in the manner of WAND with block maxima.  A query's lists are split: short lists are walked exactly; long lists only give a
-bound, the sum of their block maxima.  The blocks with the greatest bounds are scored first and give the threshold, the k-th best score so far;
-every block whose bound is below it is skipped, and the others are scored exactly.  Long lists are scored for many queries at a time, as
-products with the block's impacts.  The shards' lists of k are merged by (score, doc_id).
+Queries run as block-max WAND does, a block at a time: the maxima of a query's lists in a block add up to a bound for all its documents, and a block is a
+pivot only if that bound reaches the threshold, the k-th best score so far.  The blocks with the greatest bounds are scored first and raise
+the threshold, which is carried from one index of a task to the next; postings of all other blocks are never read.  Lists that more than
+one document in 20 has are scored for many queries at a time, as products with the block's impacts.  The shards' lists of k are merged by (score, doc_id).
 
-Index rows and queries of a shard reach its task as one sorted stream: first the shard's documents, which become the index, then all queries in batches.
-A task holds one shard's index and one batch, however many queries there are; nothing is broadcast or collected.
+Index rows and queries of a shard reach its task as one sorted stream: first the shard's documents, which become the indexes, then all queries in batches.
+A task holds its shard's indexes, about 13 bytes a posting, and one batch of queries, however many queries there are; nothing is broadcast or collected.
 
-A document's words are the lower-cased (A-Z) runs outside white space, hashed to 64 bits; a query is the set of its words.  Score: the sum over shared words of
+A document's words are the lower-cased (A-Z) runs outside white space, hashed to 64 bits (two words with one hash would count as one); a query is the
+set of its words, of all rows where several share a doc_id.  Score: the sum over shared words of
 ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)), rounded to six decimals; equal scores
 rank by doc_id.  Null or empty texts find nothing and are never found.  Repeated rows are found each on its own; rows with a null doc_id count in the statistics
 but are neither found nor asked.  Other columns are ignored.  An empty table gives an empty result.
@@ -29,12 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._store import cut
+from ._store import cut, drop
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-WORDS_PER_SHARD = 6_000_000
-BATCH = 64
+WORDS_PER_SHARD = 16_000_000
+WORDS_PER_INDEX = 2_000_000
+BATCH = 128
 LONG_LIST = 0.05
 DECIMALS = 6
 _DF, _DOCS, _WORDS = 0, 1, 2
@@ -103,105 +105,148 @@ def _query_terms(queries: DataFrame) -> DataFrame:
     return queries.mapInArrow(run, f"query_id {ident}, term bigint")
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same non-negative integers in two bytes each, or in four where they need it."""
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32)
+
+
 class Shard:
-    """The index of one shard and its exact top-k."""
+    """The inverted index of some documents and its exact top-k.
+
+    Postings lie by term and document; ``e_*`` are their runs within one term and block: where a run starts, its block and its greatest impact.
+    """
 
     def __init__(self, texts: list[pa.Array], ids: list[pa.Array], mean_length: float):
         self.ids = pa.concat_arrays(ids)
-        terms, lengths = [], []
+        parts, lengths, base = [], [], 0
         for column in texts:
-            for _, _, buf, offs in V.chunks(column):
+            for i, j, buf, offs in V.chunks(column):
                 term, first = _hashed_words(buf, offs)
-                terms.append(term)
                 lengths.append(np.diff(first))
-        term, length = np.concatenate(terms), np.concatenate(lengths)
+                doc = np.repeat(np.arange(base, base + j - i), lengths[-1])
+                by = np.argsort(term, kind="stable")
+                term, doc = term[by], doc[by]
+                at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))) if len(term) else np.zeros(0, np.int64)
+                parts.append((term[at], doc[at].astype(np.int32), np.diff(np.append(at, len(term))).astype(np.int32)))
+                base += j - i
+        length = np.concatenate(lengths)
+        term, doc, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         n = self.n = len(length)
-        doc = np.repeat(np.arange(n), length)
-        by = np.argsort(term, kind="stable")
-        term, doc = term[by], doc[by]
-        new = np.append(True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])) if len(term) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        tf = np.diff(np.append(at, len(term)))
-        term, doc = term[at], doc[at]
-        fresh = np.append(True, term[1:] != term[:-1]) if len(term) else new
-        self.vocabulary = term[fresh]
-        number = np.cumsum(fresh) - 1
+        self.vocabulary, number = np.unique(term, return_inverse=True)
+        del term
         top = np.full(n, -1, np.int64)
         np.maximum.at(top, doc, tf * np.int64(1 << 32) + number)
         order = np.lexsort((length, top & 0xFFFFFFFF))
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         self.ids = self.ids.take(pa.array(order))
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean_length))
-        doc = place[doc]
-        by = np.argsort(number * n + doc, kind="stable")
-        self.doc, self.impact = doc[by], impact[by]
-        self.start = np.append(np.flatnonzero(fresh), len(doc))
+        self.norm = K1 * (1 - B + B * length[order] / mean_length)
+        key = number * np.int64(max(1, n)) + place[doc]
+        by = np.argsort(key)
+        key, tf = key[by], tf[by]
+        number, doc = key // max(1, n), key % max(1, n)
+        self.doc, self.tf = _small(doc), _small(tf)
         self.blocks = -(-n // BLOCK)
-        size = np.diff(self.start)
-        long_ = np.flatnonzero(size > max(BLOCK, LONG_LIST * n))
-        self.row = np.full(len(size), -1, np.int64)
-        self.row[long_] = np.arange(len(long_))
-        self.dense = np.zeros((len(long_), self.blocks * BLOCK))
-        for r, t in enumerate(long_.tolist()):
-            a, b = self.start[t], self.start[t + 1]
-            self.dense[r, self.doc[a:b]] = self.impact[a:b]
-        self.block_max = self.dense.reshape(len(long_), self.blocks, BLOCK).max(axis=2)
+        impact = self._impact(doc, tf)
+        run = number * self.blocks + doc // BLOCK
+        at = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
+        self.e_start = np.append(at, len(run)).astype(np.int32)
+        self.e_block = _small(doc[at] // BLOCK)
+        self.e_max = np.nextafter(np.maximum.reduceat(impact, at).astype(np.float32), np.float32(np.inf)) if len(at) else np.zeros(0, np.float32)
+        self.first = np.searchsorted(number[at], np.arange(len(self.vocabulary) + 1)).astype(np.int32)
+        size = self.e_start[self.first[1:]] - self.e_start[self.first[:-1]]
+        self.long = np.flatnonzero(size > max(BLOCK, LONG_LIST * n))
+        self.row = np.full(len(size), -1, np.int32)
+        self.row[self.long] = np.arange(len(self.long))
         self.scored_blocks = 0
 
-    def top(self, terms: list[np.ndarray], weights: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(document numbers, scores) of the k best for each query."""
-        b = len(terms)
-        width = self.blocks * BLOCK
-        query = np.zeros((b, len(self.dense)))
-        short = np.zeros((b, width))
-        for q in range(b):
-            at = np.searchsorted(self.vocabulary, terms[q])
-            at[at == len(self.vocabulary)] = 0
-            hit = self.vocabulary[at] == terms[q] if len(self.vocabulary) else np.zeros(len(at), bool)
-            at, weight = at[hit], weights[q][hit]
-            dense = self.row[at] >= 0
-            query[q, self.row[at[dense]]] = weight[dense]
-            start, size = self.start[at[~dense]], self.start[at[~dense] + 1] - self.start[at[~dense]]
-            post = V.ranges(start, size)
-            if len(post):
-                short[q] = np.bincount(self.doc[post], self.impact[post] * np.repeat(weight[~dense], size), width)
-        bound = query @ self.block_max + short.reshape(b, self.blocks, BLOCK).max(axis=2)
+    def _impact(self, doc: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (tf + self.norm[doc])
+
+    def _runs(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the terms' runs: which term (its place in ``terms``) and the run's number."""
+        count = self.first[terms + 1] - self.first[terms]
+        return np.repeat(np.arange(len(terms)), count), V.ranges(self.first[terms].astype(np.int64), count.astype(np.int64))
+
+    def top(self, terms: list[np.ndarray], weights: list[np.ndarray], k: int, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(document numbers, scores) of the k best for each query, ties included; what scores below ``least`` may be left out."""
+        b, width = len(terms), self.blocks * BLOCK
+        owner = np.repeat(np.arange(b), [len(t) for t in terms])
+        term, weight = np.concatenate([*terms, np.zeros(0, np.uint64)]), np.concatenate([*weights, np.zeros(0)])
+        at = np.searchsorted(self.vocabulary, term)
+        at[at == len(self.vocabulary)] = 0
+        hit = self.vocabulary[at] == term if len(self.vocabulary) else np.zeros(len(at), bool)
+        owner, weight, at = owner[hit], weight[hit], at[hit]
+        dense = self.row[at] >= 0
+        query = np.zeros((b, len(self.long)))
+        query[owner[dense], self.row[at[dense]]] = weight[dense]
+        tile, ceiling = np.zeros((len(self.long), width)), np.zeros((len(self.long), self.blocks))
+        row, run = self._runs(self.long)
+        ceiling[row, self.e_block[run]] = self.e_max[run]
+        size = (self.e_start[run + 1] - self.e_start[run]).astype(np.int64)
+        post = V.ranges(self.e_start[run].astype(np.int64), size)
+        tile[np.repeat(row, size), self.doc[post]] = self._impact(self.doc[post], self.tf[post])
+        owner, weight, at = owner[~dense], weight[~dense], at[~dense]
+        which, run = self._runs(at)
+        owner, weight, block = owner[which], weight[which], self.e_block[run].astype(np.int64)
+        bound = query @ ceiling + np.bincount(owner * self.blocks + block, weight * self.e_max[run], b * self.blocks).reshape(b, self.blocks)
+
         score = np.full((b, width), -1.0)
+
+        def evaluate(wanted: np.ndarray) -> None:
+            take = wanted[owner, block]
+            size = (self.e_start[run[take] + 1] - self.e_start[run[take]]).astype(np.int64)
+            post = V.ranges(self.e_start[run[take]].astype(np.int64), size)
+            doc = self.doc[post].astype(np.int64)
+            value = np.repeat(weight[take], size) * self._impact(doc, self.tf[post])
+            part = np.bincount(np.repeat(owner[take], size) * width + doc, value, b * width).reshape(b, width)
+            for k_ in np.flatnonzero(wanted.any(axis=0)).tolist():
+                span, rows = slice(k_ * BLOCK, (k_ + 1) * BLOCK), np.flatnonzero(wanted[:, k_])
+                score[rows, span] = part[rows, span] + query[rows] @ tile[:, span]
+            self.scored_blocks += int(wanted.sum())
+
         lead = min(self.blocks, 1 + -(-k // BLOCK))
-        first = np.argpartition(-bound, lead - 1, axis=1)[:, :lead] if self.blocks > lead else np.tile(np.arange(self.blocks), (b, 1))
-        done = np.zeros((b, self.blocks), bool)
-        for q in range(b):
-            own = np.flatnonzero(query[q])
-            for block in first[q].tolist():
-                span = slice(block * BLOCK, (block + 1) * BLOCK)
-                score[q, span] = short[q, span] + query[q, own] @ self.dense[own, span]
-            done[q, first[q]] = True
-        least = np.partition(score, -min(k, width), axis=1)[:, -min(k, width)]
-        todo = (bound >= least[:, None] - 1e-6) & (bound > 0) & ~done
-        self.scored_blocks += int(todo.sum()) + b * lead
-        for block in np.flatnonzero(todo.any(axis=0)).tolist():
-            span, rows = slice(block * BLOCK, (block + 1) * BLOCK), np.flatnonzero(todo[:, block])
-            score[rows, span] = short[rows, span] + query[rows] @ self.dense[:, span]
+        first = np.zeros((b, self.blocks), bool)
+        np.put_along_axis(first, np.argpartition(-bound, lead - 1, axis=1)[:, :lead], True, axis=1)
+        first &= bound > 0
+        if least is not None:
+            first &= bound >= least[:, None] - 1e-6
+        evaluate(first)
+        kth = np.partition(score, width - min(k, width), axis=1)[:, width - min(k, width)]
+        if least is not None:
+            kth = np.maximum(kth, least)
+        rest = (bound >= kth[:, None] - 1e-6) & (bound > 0) & ~first
+        if rest.any():
+            evaluate(rest)
         out = []
         score = np.round(score[:, : self.n], DECIMALS)
         for q in range(b):
-            least_ = np.partition(score[q], -min(k, self.n))[-min(k, self.n)]
-            keep = np.flatnonzero((score[q] >= least_) & (score[q] > 0))
-            out.append((keep, score[q, keep]))
+            good = np.flatnonzero(score[q] > 0)
+            if len(good) > k:
+                good = good[score[q, good] >= np.partition(score[q, good], -k)[-k]]
+            out.append((good, score[q, good]))
         return out
 
 
-def _even_numbers(spark, shards: int) -> F.Column:
-    """A literal array of shard numbers, one that hash partitioning sends to each of as many partitions."""
-    found: dict[int, int] = {}
-    start, step = 0, 16 * shards
-    while len(found) < shards:
-        ids = spark.range(start, start + step).select(F.col("id").cast("int").alias("id"))
-        for row in ids.groupBy(F.pmod(F.hash("id"), F.lit(shards)).alias("p")).agg(F.min("id").alias("id")).collect():
-            found.setdefault(row["p"], row["id"])
-        start += step
-    return F.array(*(F.lit(found[p]) for p in range(shards)))
+def _answers(shards: list[Shard], piece: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """query_id, doc_id, score: the k best documents of all the indexes for a batch of queries."""
+    terms = [np.array(x.values.to_numpy(), np.int64).view(np.uint64) for x in piece.column("terms")]
+    weights = [np.array(x.values.to_numpy()) for x in piece.column("weights")]
+    best, tables = np.full((len(terms), k), -1.0), []
+    for shard in shards:
+        found = shard.top(terms, weights, k, best.min(axis=1))
+        which = np.repeat(np.arange(len(terms)), [len(f[0]) for f in found])
+        doc, score = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        tables.append(pa.table({"q": which, "score": score, "doc_id": shard.ids.take(pa.array(doc))}))
+        for q, (_, own) in enumerate(found):
+            if len(own):
+                best[q] = np.sort(np.concatenate([best[q], own]))[-k:]
+    table = pa.concat_tables(tables).sort_by([("q", "ascending"), ("score", "descending"), ("doc_id", "ascending")])
+    q = table["q"].to_numpy()
+    table = table.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k)).combine_chunks()
+    ids = piece.column("id").take(table["q"].combine_chunks().cast(pa.int32()))
+    return pa.RecordBatch.from_arrays([ids, table["doc_id"].combine_chunks(), table["score"].combine_chunks()], names=["query_id", "doc_id", "score"])
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, words_per_shard: int = WORDS_PER_SHARD) -> DataFrame:
@@ -217,52 +262,41 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, words_per_shard: in
     df = stats.filter(F.col("kind") == _DF).groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = _query_terms(queries).join(df, "term").select("query_id", F.struct("term", idf.alias("w")).alias("t"))
-    asked = asked.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    number = _even_numbers(docs.sparkSession, shards)
+    asked = cut(asked.groupBy("query_id").agg(F.array_sort(F.collect_set("t")).alias("ts")), "op9-queries")
+    drop(stats)
     none = F.lit(None)
     index_rows = docs.filter("doc_id is not null").select(
-        F.get(number, F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text", none.cast("array<bigint>").alias("terms"), none.cast("array<double>").alias("weights")
+        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text", none.cast("array<bigint>").alias("terms"), none.cast("array<double>").alias("weights")
     )
     query_rows = asked.select(
-        F.explode(number).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), none.cast("string").alias("text"), F.col("ts.term").alias("terms"), F.col("ts.w").alias("weights")
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), none.cast("string").alias("text"), F.col("ts.term").alias("terms"), F.col("ts.w").alias("weights")
     )
 
     def run(batches):
-        number, texts, ids, index = None, [], [], None
+        texts, ids, held, shards = [], [], 0, []
+
+        def build():
+            if texts:
+                shards.append(Shard(texts, ids, mean_length))
+
         for batch in batches:
-            edge = np.flatnonzero(np.diff(batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy())) + 1
-            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
-                shard, kind = part.column(0)[0].as_py(), part.column(1)[0].as_py()
-                if shard != number:
-                    number, texts, ids, index = shard, [], [], None
-                if kind == 0:
-                    texts.append(part.column(3))
-                    ids.append(part.column(2))
-                    continue
-                if index is None:
-                    if not texts:
-                        continue
-                    index, texts, ids = Shard(texts, ids, mean_length), [], []
-                for i in range(0, part.num_rows, BATCH):
-                    piece = part.slice(i, BATCH)
-                    terms = [np.array(x.values.to_numpy(), np.int64).view(np.uint64) for x in piece.column(4)]
-                    weights = [np.array(x.values.to_numpy()) for x in piece.column(5)]
-                    order = [np.argsort(t) for t in terms]
-                    found = index.top([t[o] for t, o in zip(terms, order, strict=True)], [w[o] for w, o in zip(weights, order, strict=True)], k)
-                    which = np.repeat(np.arange(piece.num_rows), [len(f[0]) for f in found])
-                    doc, score = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                    table = pa.table({"q": which, "score": score, "doc_id": index.ids.take(pa.array(doc))}).sort_by([("q", "ascending"), ("score", "descending"), ("doc_id", "ascending")])
-                    q = table["q"].to_numpy()
-                    rank = np.arange(len(q)) - np.searchsorted(q, q)
-                    table = table.filter(pa.array(rank < k))
-                    yield pa.RecordBatch.from_arrays(
-                        [piece.column(2).take(table["q"].combine_chunks().cast(pa.int32())), table["doc_id"].combine_chunks(), table["score"].combine_chunks()], names=["query_id", "doc_id", "score"]
-                    )
-
-    stream = index_rows.unionByName(query_rows).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
-    best = stream.mapInArrow(run, f"query_id {ident}, doc_id {ident}, score double")
+            n_index = int(np.searchsorted(batch.column(1).to_numpy(), 1))
+            for at in range(0, n_index, 256):
+                part = batch.slice(at, min(256, n_index - at))
+                texts.append(part.column(3))
+                ids.append(part.column(2))
+                held += part.column(3).nbytes
+                if held >= 6 * WORDS_PER_INDEX:
+                    build()
+                    texts, ids, held = [], [], 0
+            for at in range(n_index, batch.num_rows, BATCH):
+                build()
+                texts, ids = [], []
+                if shards:
+                    yield _answers(shards, batch.slice(at, BATCH), k)
+
+    stream = index_rows.unionByName(query_rows).repartitionById(shards, "shard").sortWithinPartitions("kind", "id")
+    best = cut(stream.mapInArrow(run, f"query_id {ident}, doc_id {ident}, score double"), "op9-best")
+    drop(asked)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
