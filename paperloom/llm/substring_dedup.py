@@ -1,14 +1,17 @@
 """Substring dedup by collinear chaining (operator 1).
 
-Seeds are five-word k-mers picked by winnowing windows of four, so every shared run of eight words has one.  A seed's owner is its first
+Seeds are five-word k-mers: those whose hash lies in the lowest quarter, which are the same ones in every copy whatever stands beside them, and the
+least of every 32, so every shared run of 36 words has one even where few k-mers differ.  A seed's owner is its first
 place in the corpus by (doc_id, word); every other place is joined with the owner only, which keeps a passage in a third of all
-documents linear.  Seeds that several documents hold are also keyed by seed and following seed, at three distances, with the first owner of each such
-pair, so that a passage is met whole where the owner of its seeds holds only a stock phrase of it.  In either join the owners are cut before the join, so that AQE can split a hot seed's rows.  The matches of a document with one owner document are merged along diagonals into blocks, blocks are chained by
+documents linear.  Seeds that several documents hold are also keyed by seed and following seed, at two distances, with the first owner of each such
+pair, so that a passage is met whole where the owner of its seeds holds only a stock phrase of it.  In either join the owners are cut before the join, so
+that AQE can split a hot seed's rows.  The matches of a document with one owner document are merged along diagonals into blocks, blocks are chained by
 dynamic programming with a linear gap cost, the best predecessor coming from a Fenwick tree over source positions, and chains are aligned word
-by word: blocks are extended, gaps of any length are aligned by edit distance, ends are extended past small edits.  A chain whose identity is too low
-is split at its worst gaps and its parts are judged alone.  Aligned fragments of at least 16 words and 80 % identity
+by word: blocks are extended, gaps of any length are aligned by edit distance, ends are extended past small edits, up to 64 words beyond a chain's last
+seed.  A chain whose identity is too low is split at its worst gaps and its parts are judged alone.  Aligned fragments of at least 16 words and 80 % identity
 that touch or overlap form passages; passages of at least 50 words are repeats.
 
+Of an exact passage of 50 words in ordinary text, seeds miss 2e-6.  Words are compared by 32-bit codes in alignments that 64-bit seeds led to.
 Documents are compared with other documents only, never with themselves.  Of a repeated passage the document with the least doc_id keeps its copy.
 
 Null text reads as empty and stays null; texts under 50 words have no repeats.  Rows that share a doc_id are one document and must
@@ -26,16 +29,17 @@ from . import _vec as V
 from ._store import cut, drop
 
 K = 5
-WINDOW = 4
+WINDOW = 32
+LOWEST = np.uint64(1 << 62)
 LEAST_WORDS = 50
 LEAST_FRAGMENT = 16
 IDENTITY = 0.8
 GAP_COST = 0.25
 TOUCH = 2
-MARGIN = WINDOW + K - 1
+MARGIN = 12
 REACH = 64
 GRID = 32
-CONTEXTS = (1, 4, 12)
+CONTEXTS = (1, 4)
 ANCHOR = 4
 #: Words passed over in the document and in the source at an edit.
 _STEPS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3), (3, 0), (0, 3), *((p, p) for p in range(4, 17)))
@@ -43,7 +47,7 @@ _NONE = np.iinfo(np.uint64).max
 
 
 def seed_places(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, word place) of the winnowed k-mers of a block of texts.
+    """(hash, document, word place) of the chosen k-mers of a block of texts.
 
     Windows that run over the end of a document only add seeds.
     """
@@ -62,7 +66,7 @@ def seed_places(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     while step < WINDOW:
         most[step:] = np.maximum(most[step:], most[:-step])
         step *= 2
-    at = np.flatnonzero((most == grams) & (grams != _NONE))
+    at = np.flatnonzero(((most == grams) | (grams < LOWEST)) & (grams != _NONE))
     doc = np.searchsorted(words.first, at, side="right") - 1
     return grams[at], doc, at - words.first[doc]
 
@@ -365,13 +369,73 @@ def fragments(own: list[int], other: list[int], shift: int, blocks: list[int], i
     return out
 
 
+def hopeless(own: np.ndarray, bounds: np.ndarray, other: np.ndarray, ends: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Which chains of one block can't grow to ``LEAST_FRAGMENT`` words: ``_grow`` stops on both sides before, for many chains at a time.
+
+    Columns of ``bounds`` and ``ends`` are where a chain's document and region begin and end in ``own`` and ``other``, of ``block`` where the block starts in
+    either and its words.  A block with unequal words in it is never hopeless.
+    """
+    i, j, n = block.T
+
+    def same(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        inside = (x >= bounds[:, 0]) & (x < bounds[:, 1]) & (y >= ends[:, 0]) & (y < ends[:, 1])
+        return inside & (own[np.where(inside, x, 0)] == other[np.where(inside, y, 0)])
+
+    out = n < LEAST_FRAGMENT
+    for t in range(LEAST_FRAGMENT):
+        out &= (t >= n) | same(i + t, j + t)
+    length = n.copy()
+    for step, x, y in ((-1, i - 1, j - 1), (1, i + n, j + n)):
+        going = out.copy()
+        for _ in range(LEAST_FRAGMENT):
+            going &= same(x, y)
+            x, y, length = x + step * going, y + step * going, length + going
+        for p, q in _STEPS:
+            hit = out.copy()
+            for k in range(ANCHOR):
+                hit &= same(x + step * (p + k), y + step * (q + k))
+            out &= ~hit
+    return out & (length < LEAST_FRAGMENT)
+
+
+def _worth_aligning(chains: pa.ListArray, first: np.ndarray, codes: np.ndarray) -> list[list[tuple]]:
+    """(source, low, blocks, bytes of the source's codes) of each document's chains, without those of one block that are hopeless."""
+    flat, row = chains.flatten(), np.repeat(np.arange(len(chains)), np.diff(chains.offsets.to_numpy()))
+    source, low, blocks, raw = (flat.field(c) for c in ("src", "low", "blocks", "codes"))
+    at, values = blocks.offsets.to_numpy(), blocks.values.to_numpy().astype(np.int64)
+    words = raw.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    other = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32) if len(words) and ends[-1] > ends[0] else np.zeros(1, np.uint32)
+    ends = (ends - ends[0]) // 4
+    keep = np.ones(len(flat), bool)
+    one = np.flatnonzero(np.diff(at) == 3)
+    if len(one) and len(codes):
+        block, start, low_ = values[at[one][:, None] + np.arange(3)], first[row[one]], low.to_numpy()[one]
+        block = np.stack([block[:, 0] + start, block[:, 1] - low_ + ends[one], block[:, 2]], axis=1)
+        keep[one] = ~hopeless(codes, np.stack([start, first[row[one] + 1]], axis=1), other, np.stack([ends[one], ends[one + 1]], axis=1), block)
+    out: list[list[tuple]] = [[] for _ in range(len(chains))]
+    chosen = np.flatnonzero(keep)
+    picked = flat.take(pa.array(chosen))
+    for r, c in zip(row[chosen].tolist(), picked.to_pylist(), strict=True):
+        out[r].append((c["src"], c["low"], c["blocks"], c["codes"]))
+    return out
+
+
 def passages_of(own: list[int], chains: list[tuple], least_words: int, identity: float) -> list[tuple]:
-    """Fragments (start, words, source, source start, edits) that lie in passages of at least ``least_words``."""
-    found = []
-    for src, low, blocks, codes in chains:
-        for a, b, c, _, edits in fragments(own, codes, low, blocks, identity):
+    """Fragments (start, words, source, source start, edits) that lie in passages of at least ``least_words``.
+
+    ``chains`` are (source, low, blocks, bytes of the source's word codes from ``low`` on).  Longer chains go first; a chain that lies inside a whole
+    passage already found, of whatever source, is not aligned again.
+    """
+    found, whole = [], []
+    for src, low, blocks, codes in sorted(chains, key=lambda c: (-sum(c[2][2::3]), str(c[0]), c[2])):
+        if any(a <= blocks[0] and blocks[-3] + blocks[-1] <= b for a, b in whole):
+            continue
+        for a, b, c, _, edits in fragments(own, np.frombuffer(codes, np.uint32).tolist(), low, blocks, identity):
             if b - a >= LEAST_FRAGMENT:
                 found.append((a, b - a, src, c, edits))
+            if b - a >= least_words:
+                whole.append((a, b))
     found = sorted(set(found), key=lambda f: (f[0], -f[1], str(f[2]), f[3]))
     out, run, end = [], [], -1
     for f in [*found, None]:
@@ -411,10 +475,10 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
             ids, out_rows, out, cuts, gone = batch.column(0), [], [], [], []
             for i, j, buf, offs in V.chunks(batch.column(1)):
                 words, codes = _word_codes(buf, offs)
+                chains_ = _worth_aligning(batch.column(2).slice(i, j - i), words.first, codes)
                 for r in range(i, j):
                     first, last = int(words.first[r - i]), int(words.first[r - i + 1])
-                    chains_ = [(c["src"], c["low"], c["blocks"], np.frombuffer(c["codes"], np.uint32).tolist()) for c in batch.column(2)[r].as_py()]
-                    got = passages_of(codes[first:last].tolist(), chains_, least_words, identity)
+                    got = passages_of(codes[first:last].tolist(), chains_[r - i], least_words, identity) if chains_[r - i] else []
                     if not got:
                         continue
                     out_rows.append(r)
