@@ -99,7 +99,8 @@ def _matches(shared: DataFrame) -> DataFrame:
     rows = cut(rows.select(F.col("x.key").alias("key"), "doc_id", "place", F.col("src").alias("known")), "op1-contexts")
     owner = rows.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("o"), F.max("doc_id").alias("last")).filter("o.doc_id < last")
     owner = cut(owner.select("key", F.col("o.doc_id").alias("src"), F.col("o.place").alias("other")), "op1-context-owners")
-    more = rows.join(owner, "key").filter("doc_id <> src and src <> known").select("doc_id", "place", "src", "other")
+    more = cut(rows.join(owner, "key").filter("doc_id <> src and src <> known").select("doc_id", "place", "src", "other"), "op1-more")
+    drop(rows, owner)
     return shared.filter("doc_id <> src").select("doc_id", "place", "src", "other").unionByName(more)
 
 
@@ -465,10 +466,10 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
     drop(owner)
     chains = cut(_chains(_matches(shared)), "op1-chains")
     drop(shared)
-    regions = _regions(chains.select("src", "low", "high"), docs)
-    per_doc = (
-        chains.join(regions, ["src", "low", "high"]).groupBy("doc_id").agg(F.collect_list(F.struct("src", "low", "blocks", "codes")).alias("chains"))
-    )
+    regions = cut(_regions(chains.select("src", "low", "high"), docs), "op1-regions")
+    placed = cut(chains.join(regions, ["src", "low", "high"]).select("doc_id", F.struct("src", "low", "blocks", "codes").alias("c")), "op1-placed")
+    drop(chains, regions)
+    per_doc = placed.groupBy("doc_id").agg(F.collect_list("c").alias("chains"))
 
     def run(batches):
         for batch in batches:
@@ -501,7 +502,9 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
 
     joined = docs.join(per_doc, "doc_id").select("doc_id", "text", "chains")
     kind = f"doc_id {ident}, repeats {_FOUND.format(ident)}, cuts array<struct<a:int,b:int>>, words_removed int"
-    return cut(joined.mapInArrow(run, kind).dropDuplicates(["doc_id"]), "op1-repeats")
+    out = cut(joined.mapInArrow(run, kind).dropDuplicates(["doc_id"]), "op1-repeats")
+    drop(placed)
+    return out
 
 
 def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, identity: float = IDENTITY) -> DataFrame:
