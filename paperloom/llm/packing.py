@@ -4,7 +4,7 @@ Each map task tokenises its documents, cuts those longer than a window into full
 by best-fit decreasing: longest first, each into the open window with the least room that still holds it, found
 in a segment tree indexed by remaining capacity.  Packing within map tasks needs no shuffle and no driver state; the cost is
 at most a few under-filled windows per task, against thousands of windows in a task of usual size.  Only
-piece lengths are held while packing: about 100 bytes a document of the task.
+pieces' numbers are held while packing: 32 bytes a piece of the task, and as much again for its place.
 
 Null text reads as empty: a document of the end id alone.  Repeated rows are packed each on its own; a null doc_id passes through; other columns
 are ignored; an empty table gives no pieces.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +79,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
 
 
 #: Code points that the block path handles: Latin letters up to U+024F and general punctuation.  They are stable under the
-#: tokenizer's normaliser but for lower case; texts with any other code point are encoded by the library itself.
+#: tokenizer's normaliser but for lower case; texts with any other code point, or one whose lower case is another, are encoded by the library itself.
 _SPACE, _LETTER, _NUMBER, _OTHER, _FOREIGN = range(5)
 
 
@@ -94,6 +95,7 @@ def _character_tables() -> tuple[np.ndarray, np.ndarray]:
         lower[c] = ord(low)
         what = unicodedata.category(chr(c))[0]
         kind[c] = _SPACE if c in (32, 0xA0, *range(9, 14)) else _LETTER if what == "L" else _NUMBER if what == "N" else _OTHER
+    kind[kind[lower] == _FOREIGN] = _FOREIGN
     return kind, lower
 
 
@@ -225,7 +227,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
     def run(batches):
         codec = encoder(tokenizer_path)
-        ids_parts, start, length, crc, total, raws = [], [], [], [], [], []
+        ids_parts, raws = [], []
+        start, length, crc, total = (array("q") for _ in range(4))
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
@@ -248,9 +251,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         if not start:
             return
         context = TaskContext.get()
-        bins, offsets = best_fit_decreasing(np.array(length, np.int64), window)
+        bins, offsets = best_fit_decreasing(np.frombuffer(length, np.int64), window)
         sequence = bins + ((context.partitionId() if context else 0) << 40)
-        columns = [pa.concat_arrays(ids_parts).cast(kind), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, sequence, offsets))]
+        columns = [pa.concat_arrays(ids_parts).cast(kind), *(pa.array(np.frombuffer(x, np.int64)) for x in (start, length, crc, total)), pa.array(sequence), pa.array(offsets)]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         if with_ids:
             columns.append(pa.array([np.frombuffer(r, "<u4").astype(np.int32) for r in raws], pa.list_(pa.int32())))
