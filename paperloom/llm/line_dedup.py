@@ -1,15 +1,15 @@
 """Line dedup by winnowing over line hashes (operator 8).
 
 A document is its sequence of lines that hold a word.  Every two neighbouring lines form a shingle, the pair of their hashes; of each window of two
-shingles the lesser one (the later on a tie) is a fingerprint, so any shared run of ``WINDOW + SHINGLE - 1``
-= 3 lines has one at the same place in both texts.  Each fingerprint is joined with its first position in the corpus, by (doc_id, position).
-The match is then extended both ways line by line, and a run of at least 3 lines is deleted from the later place.
-
-The first place of a pair may share just that pair, and then a run of 3 lines that an earlier text holds is missed.  With ``every_run`` the fingerprints are
-all runs of 3 lines, so every run of at least 3 lines that stands at an earlier place is deleted.  The SQL of op8 defines the first form; the pipeline uses ``every_run``.
+shingles the lesser one (the later on a tie) is a fingerprint, so any shared run of ``WINDOW + SHINGLE - 1`` = 3 lines has one at the same place in both
+texts.  The first text with a fingerprint may share no more than its two lines, so a fingerprint stands with the third line of the window that chose it.
+Each is joined with its first position in the corpus, by (doc_id, position), and the match is extended both ways line by line.  What is deleted is every run
+of at least 3 lines that stands at an earlier place as well.
 
 Only lines' 60-bit hashes and positions are shuffled, and the text once at the end.  The first position of a fingerprint is an
-aggregate (pre-aggregated on the map side), not a list, so a line in a third of all documents costs one row per occurrence.
+aggregate (pre-aggregated on the map side), not a list, so a line in a third of all documents costs one row per occurrence.  A document's lines are
+carried once per source it meets, and of the source only the lines within reach; a match inside a run already found is not extended again, so
+a text of n equal lines takes one extension.
 Deletions refer to the original texts: a run is deleted even where the first occurrence itself lies in a deleted run of its own document.
 
 Null text stays null.  Empty texts and texts with under three lines stay as they are.  Rows that share a doc_id are one document in positions
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, drop
 
 SHINGLE = 2
 WINDOW = 2
@@ -49,49 +49,57 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """doc_id, p (place among the lines), g (the pair of line hashes): the winnowed shingles."""
-    shingle = F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.struct(F.get("h", i).alias("h1"), F.get("h", i + 1).alias("h2")))
-    taken = F.filter(
-        F.transform("g", lambda g, i: F.struct(i.alias("p"), g.alias("g"), F.get("g", i - 1).alias("before"), F.get("g", i + 1).alias("after"))),
-        lambda x: (x["g"] <= x["before"]) | (x["g"] < x["after"]),
-    )
-    return lines.select("doc_id", shingle.alias("g")).select("doc_id", F.explode(taken).alias("x")).select("doc_id", "x.p", "x.g")
-
-
-def triples(lines: DataFrame) -> DataFrame:
-    """As fingerprints, with all runs of 3 lines."""
-    run = F.transform(F.sequence(F.lit(0), F.size("h") - LEAST_LINES), lambda i: F.struct(i.alias("p"), F.struct(*(F.get("h", i + n).alias(f"h{n}") for n in range(LEAST_LINES))).alias("g")))
-    return lines.select("doc_id", F.explode(run).alias("x")).select("doc_id", "x.p", "x.g")
-
-
-def equal_runs(own: np.ndarray, other: np.ndarray, shift: int, seeds: np.ndarray) -> list[tuple[int, int]]:
-    """Runs [start, stop) of at least 3 lines equal to the lines ``shift`` further on in the other text, that hold a seed."""
-    low, high = max(0, -shift), min(len(own), len(other) - shift)
-    same = np.zeros(max(0, high - low) + 2, np.int8)
-    same[1:-1] = own[low:high] == other[low + shift : high + shift]
-    edge = np.flatnonzero(np.diff(same)) + low
-    start, stop = edge[::2], edge[1::2]
-    seeds = np.sort(seeds)
-    held = np.searchsorted(seeds, stop - SHINGLE, side="right") > np.searchsorted(seeds, start)
-    keep = held & (stop - start >= LEAST_LINES)
-    return list(zip(start[keep].tolist(), stop[keep].tolist(), strict=True))
+    """doc_id, p (where the window starts among the lines), g (the fingerprint that it chose, its side in the window, and the window's other line)."""
+
+    def window(i: Column) -> Column:
+        h = [F.get("h", i + n) for n in range(LEAST_LINES)]
+        left, right = F.struct(h[0].alias("h1"), h[1].alias("h2")), F.struct(h[1].alias("h1"), h[2].alias("h2"))
+        chosen = F.when(right <= left, F.struct(right.alias("pair"), F.lit(1).alias("side"), h[0].alias("third")))
+        return F.struct(i.alias("p"), chosen.otherwise(F.struct(left.alias("pair"), F.lit(0).alias("side"), h[2].alias("third"))).alias("g"))
+
+    windows = F.transform(F.sequence(F.lit(0), F.size("h") - LEAST_LINES), window)
+    return lines.select("doc_id", F.explode(windows).alias("x")).select("doc_id", "x.p", "x.g")
+
+
+def runs_of(own: np.ndarray, other: np.ndarray, low: int, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, stop, source start) of the runs around matches (p, q) of three lines; ``other`` begins at the source's line ``low``."""
+    out, end = [], 0
+    for p, q in sorted(seeds):
+        if p + LEAST_LINES <= end:
+            continue
+        a, b, step = p, p + LEAST_LINES, 64
+        while True:
+            n = min(step, len(own) - b, len(other) + low - (b + q - p))
+            same = own[b : b + n] == other[b + q - p - low : b + q - p - low + n]
+            stop = n if same.all() else int(np.argmin(same))
+            b += stop
+            if stop < n or not n:
+                break
+            step *= 2
+        while a and a + q - p > low and own[a - 1] == other[a - 1 + q - p - low]:
+            a -= 1
+        out.append((a, b, a + q - p))
+        end = max(end, b)
+    return out
 
 
 def _extend(rows: DataFrame) -> DataFrame:
-    """doc_id, source_id, first_line, n_lines, source_line, from_line, to_line of the runs around seeds on each row's diagonal."""
+    """doc_id, source_id, first_line, n_lines, source_line, from_line, to_line of the runs around each row's matches."""
     ident = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "source_id", "first_line", "n_lines", "source_line", "from_line", "to_line"]
 
     def run(batches):
         for batch in batches:
-            shift = batch.column(2).to_numpy()
-            lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in batch.columns[3:]]
+            low = batch.column(2).to_numpy()
+            lists = [(c.values, c.offsets.to_numpy()) for c in batch.columns[3:]]
             which, first, last = [], [], []
             for r in range(batch.num_rows):
-                seeds, own, at, other = (v[o[r] : o[r + 1]] for v, o in lists)
-                for a, b in equal_runs(own, other, int(shift[r]), seeds):
+                seeds, own, at, other = (v.slice(o[r], o[r + 1] - o[r]) for v, o in lists)
+                places = list(zip(*(x.to_pylist() for x in seeds.flatten()), strict=True))
+                at = at.to_numpy()
+                for a, b, source in runs_of(own.to_numpy(), other.to_numpy(), int(low[r]), places):
                     which.append(r)
-                    first.append((a, b - a, a + int(shift[r])))
+                    first.append((a, b - a, source))
                     last.append((int(at[a]), int(at[b - 1])))
             whole = np.array(first, np.int64).reshape(-1, 3)
             ends = np.array(last, np.int64).reshape(-1, 2)
@@ -100,11 +108,11 @@ def _extend(rows: DataFrame) -> DataFrame:
                 [batch.column(0).take(ids), batch.column(1).take(ids), *(pa.array(c, pa.int64()).cast(pa.int32()) for c in (*whole.T, *ends.T))], names=names
             )
 
-    rows = rows.select("doc_id", "source_id", "shift", "seeds", "h", "at", "other")
+    rows = rows.select("doc_id", "source_id", "low", "seeds", "h", "at", "other")
     return rows.mapInArrow(run, f"doc_id {ident}, source_id {ident}, first_line int, n_lines int, source_line int, from_line int, to_line int")
 
 
-def repeated_runs(docs: DataFrame, every_run: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame) -> DataFrame:
     """The runs to delete, one row per run and source.
 
     doc_id, first_line, n_lines, source_id, source_line (indices among the lines with a word), from_line, to_line (the same run as
@@ -112,19 +120,26 @@ def repeated_runs(docs: DataFrame, every_run: bool = False) -> DataFrame:
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     lines = cut(hashed_lines(docs).dropDuplicates(["doc_id"]), "op8-lines")
-    seeds = triples(lines) if every_run else fingerprints(lines)
+    seeds = fingerprints(lines)
     first = seeds.groupBy("g").agg(F.min(F.struct("doc_id", "p")).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", F.col("o.doc_id").alias("source_id"), F.col("o.p").alias("q"))
     first = cut(first, "op8-first")
     later = seeds.join(first, "g").filter("doc_id > source_id or p > q")
-    diagonals = later.groupBy("doc_id", "source_id", (F.col("q") - F.col("p")).alias("shift")).agg(F.collect_set("p").alias("seeds"))
+    pairs = later.groupBy("doc_id", "source_id").agg(F.collect_list(F.struct("p", "q")).alias("seeds"), F.min(F.col("q") - F.col("p")).alias("low"), F.max(F.col("q") - F.col("p")).alias("high"))
+    pairs = cut(pairs, "op8-pairs")
     other = lines.select(F.col("doc_id").alias("source_id"), F.col("h").alias("other"))
-    return _extend(diagonals.join(lines, "doc_id").join(other, "source_id"))
+    low = F.greatest("low", F.lit(0))
+    sized = pairs.join(lines.select("doc_id", F.size("h").alias("n")), "doc_id")
+    reach = F.slice("other", low + 1, F.greatest(F.col("high") + F.col("n") - low, F.lit(0)))
+    met = sized.join(other, "source_id").select("doc_id", "source_id", "seeds", low.alias("low"), reach.alias("other"))
+    out = cut(_extend(met.join(lines, "doc_id")), "op8-runs")
+    drop(lines, first, pairs)
+    return out
 
 
-def line_dedup(docs: DataFrame, every_run: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs with repeated runs deleted from ``text``, and ``lines_removed``, the number of lines deleted."""
-    runs = repeated_runs(docs, every_run).groupBy(F.col("doc_id").alias("__run_doc")).agg(F.collect_set(F.struct(F.col("from_line").alias("a"), F.col("to_line").alias("b"))).alias("__runs"))
-    joined = docs.withColumn("text", F.col("text").cast("string")).join(cut(runs, "op8-runs").hint("merge"), F.col("doc_id") == F.col("__run_doc"), "left")
+    runs = repeated_runs(docs).groupBy(F.col("doc_id").alias("__run_doc")).agg(F.collect_set(F.struct(F.col("from_line").alias("a"), F.col("to_line").alias("b"))).alias("__runs"))
+    joined = docs.withColumn("text", F.col("text").cast("string")).join(cut(runs, "op8-deleted").hint("merge"), F.col("doc_id") == F.col("__run_doc"), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~(F.exists("__runs", lambda r: (i >= r["a"]) & (i <= r["b"])) & x.rlike(r"[^\x20\x09-\x0D]")))
     out = joined.withColumn("__kept", F.when(F.col("__runs").isNotNull(), kept))

@@ -65,20 +65,10 @@ WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
 l AS (
   SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p, count(*) OVER (PARTITION BY doc_id) AS n, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h
   FROM a WHERE regexp_matches(line, '{_WORD}')),
-g AS (SELECT doc_id, p, h AS h1, lead(h) OVER (PARTITION BY doc_id ORDER BY p) AS h2 FROM l WHERE n >= {LEAST_LINES}),
-v AS (
-  SELECT *, lag(h1) OVER w AS b1, lag(h2) OVER w AS b2, lead(h1) OVER w AS a1, lead(h2) OVER w AS a2 FROM g WHERE h2 IS NOT NULL
-  WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
-f AS (SELECT doc_id, p, h1, h2 FROM v WHERE h1 < b1 OR h1 = b1 AND h2 <= b2 OR h1 < a1 OR h1 = a1 AND h2 < a2),
-o AS (SELECT h1, h2, doc_id AS src, p AS q FROM f QUALIFY row_number() OVER (PARTITION BY h1, h2 ORDER BY doc_id, p) = 1),
-m AS (SELECT f.doc_id, src, q - f.p AS shift, f.p FROM f JOIN o USING (h1, h2) WHERE f.doc_id > src OR f.p > q),
-e AS (
-  SELECT k.doc_id, k.src, k.shift, x.p, x.p - row_number() OVER (PARTITION BY k.doc_id, k.src, k.shift ORDER BY x.p) AS island
-  FROM (SELECT DISTINCT doc_id, src, shift FROM m) k JOIN l x ON x.doc_id = k.doc_id JOIN l y ON y.doc_id = k.src AND y.p = x.p + k.shift AND y.h = x.h),
-r AS (SELECT doc_id, src, shift, min(p) AS start, max(p) AS stop FROM e GROUP BY doc_id, src, shift, island HAVING count(*) >= {LEAST_LINES}),
-gone AS (
-  SELECT DISTINCT l.doc_id, l.i FROM r JOIN l ON l.doc_id = r.doc_id AND l.p BETWEEN r.start AND r.stop
-  WHERE EXISTS (SELECT 1 FROM m WHERE m.doc_id = r.doc_id AND m.src = r.src AND m.shift = r.shift AND m.p >= r.start AND m.p < r.stop)),
+g AS (
+  SELECT doc_id, p, h AS h1, lead(h) OVER w AS h2, lead(h, 2) OVER w AS h3 FROM l WHERE n >= {LEAST_LINES} WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT doc_id, p FROM g WHERE h3 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY h1, h2, h3 ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT l.doc_id, l.i FROM r JOIN l ON l.doc_id = r.doc_id AND l.p BETWEEN r.p AND r.p + 2),
 t AS (
   SELECT a.doc_id, count(gone.i) AS removed, coalesce(string_agg(a.line, chr(10) ORDER BY a.i) FILTER (gone.i IS NULL), '') AS text
   FROM a LEFT JOIN gone ON gone.doc_id = a.doc_id AND gone.i = a.i GROUP BY a.doc_id)
