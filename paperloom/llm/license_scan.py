@@ -5,9 +5,10 @@ shingles), at every word of the text, gets one MinHash value per band.  Template
 that share a value in a band.  Each retrieved template is verified exactly: the share of its shingles found in the text around the window,
 its own length to either side, must reach ``least_containment``.
 
-With one row per band, windows of Jaccard similarity J share a band with probability 1 - (1 - J)^4.  A text that contains 80 % of a
-template's shingles in place has an unbroken run of five of its words (an edit breaks two shingles, so edits are at least nine words apart on average),
-where J = 1 and retrieval is certain.
+With one row per band, windows of Jaccard similarity J share a band with probability 1 - (1 - J)^4: 0.998 at 0.8, and 1 where five words of a template stand
+unbroken.  A template is retrieved by any of its windows, so one is missed only if every window of it misses; a notice that keeps 80 % of its shingles by
+replaced words has an unbroken run of five, as a replaced word breaks two shingles; inserted words break one each, and then retrieval is as
+probable as said, not certain.
 
 Everything is a row-wise projection: no shuffle, no join, no Python.  Templates and their band values are literals of fixed size.  Null or empty
 texts, and texts under five words, have no license.  Repeated rows are scanned each on its own; a null doc_id passes through; other
@@ -52,22 +53,27 @@ def _shingles(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.lower(text), PUNCTUATION, ""), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _hashed(words: str) -> Column:
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once a row, however often it stands in the result."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _hashed(words: Column) -> Column:
     pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1)))
     return F.when(F.size(words) > WINDOW_SHINGLES, pairs)
 
 
-def _value(hashes: str, at: Column, band: int) -> Column:
+def _value(hashes: Column, at: Column, band: int) -> Column:
     """The MinHash value of the window at a place: the least shingle hash after the band's permutation."""
     return F.least(*(F.get(hashes, at + s).bitwiseXOR(F.lit(_MASK[band])) for s in range(WINDOW_SHINGLES)))
 
 
 def _templates(spark: SparkSession, notices) -> list[dict]:
-    frame = spark.createDataFrame(list(notices), "name string, text string").withColumn("w", _shingles(F.col("text"))).withColumn("h", _hashed("w"))
+    frame = spark.createDataFrame(list(notices), "name string, text string").withColumn("w", _shingles(F.col("text"))).withColumn("h", _hashed(F.col("w")))
     windows = F.sequence(F.lit(0), F.size("h") - WINDOW_SHINGLES)
 
     def values(b: int) -> Column:
-        return F.transform(windows, lambda i: _value("h", i, b)).alias(f"k{b}")
+        return F.transform(windows, lambda i: _value(F.col("h"), i, b)).alias(f"k{b}")
 
     keys = [values(b) for b in range(BANDS)]
     return [{"name": r["name"], "h": sorted(set(r["h"])), **{f"k{b}": r[f"k{b}"] for b in range(BANDS)}} for r in frame.select("name", "h", *keys).collect()]
@@ -80,32 +86,31 @@ def license_scan(docs: DataFrame, notices=NOTICES, least_containment: float = LE
     literal = F.from_json(F.lit(json.dumps(known)), kind)
     hit = [sorted({k for t in known for k in t[f"k{b}"]}) for b in range(BANDS)]
 
-    def retrieved(i: Column) -> Column:
+    def retrieved(h: Column, i: Column) -> Column:
         out = F.lit(False)
         for b in range(BANDS):
-            out = out | _value("__h", i, b).isin(hit[b])
+            out = out | _value(h, i, b).isin(hit[b])
         return out
 
-    def verified(i: Column) -> Column:
-        shares = F.filter(
-            literal,
-            lambda t: F.array_contains(t["k0"], _value("__h", i, 0))
-            | F.array_contains(t["k1"], _value("__h", i, 1))
-            | F.array_contains(t["k2"], _value("__h", i, 2))
-            | F.array_contains(t["k3"], _value("__h", i, 3)),
-        )
+    def verified(h: Column, i: Column) -> Column:
+        def shares(k: Column) -> Column:
+            return F.filter(literal, lambda t: F.array_contains(t["k0"], k["k0"]) | F.array_contains(t["k1"], k["k1"]) | F.array_contains(t["k2"], k["k2"]) | F.array_contains(t["k3"], k["k3"]))
 
         def share(t: Column) -> Column:
             low = F.greatest(i - F.size(t["h"]), F.lit(0))
-            around = F.slice("__h", low + 1, i + F.size(t["h"]) + WINDOW_SHINGLES - low)
+            around = F.slice(h, low + 1, i + F.size(t["h"]) + WINDOW_SHINGLES - low)
             return F.struct(t["name"].alias("name"), (F.size(F.array_intersect(t["h"], around)) / F.size(t["h"])).alias("containment"))
 
-        return F.filter(F.transform(shares, share), lambda m: m["containment"] >= least_containment)
+        keys = F.struct(*(_value(h, i, b).alias(f"k{b}") for b in range(BANDS)))
+        return F.filter(_let(keys, lambda k: F.transform(shares(k), share)), lambda m: m["containment"] >= least_containment)
+
+    def best(all_: Column) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform(all_, lambda m: m["name"])))
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.array_max(F.transform(F.filter(all_, lambda m: m["name"] == n), lambda m: m["containment"])).alias("containment")))
+
+    def scan(h: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(h) - WINDOW_SHINGLES), lambda i: retrieved(h, i))
+        return F.when(h.isNotNull(), _let(F.flatten(F.transform(at, lambda i: verified(h, i))), best))
 
-    rows = docs.select("doc_id", _shingles(F.col("text").cast("string")).alias("__w")).withColumn("__h", _hashed("__w"))
-    places = F.when(F.col("__h").isNotNull(), F.filter(F.sequence(F.lit(0), F.size("__h") - WINDOW_SHINGLES), retrieved))
-    rows = rows.select("doc_id", "__h", places.alias("__at"))
-    rows = rows.withColumn("__all", F.flatten(F.transform("__at", verified)))
-    names = F.array_sort(F.array_distinct(F.transform("__all", lambda m: m["name"])))
-    best = F.transform(names, lambda n: F.struct(n.alias("name"), F.array_max(F.transform(F.filter("__all", lambda m: m["name"] == n), lambda m: m["containment"])).alias("containment")))
-    return rows.select("doc_id", F.coalesce(best, F.array().cast("array<struct<name:string,containment:double>>")).alias("found"))
+    found = _let(_shingles(F.col("text").cast("string")), lambda w: _let(_hashed(w), scan))
+    return docs.select("doc_id", F.coalesce(found, F.array().cast("array<struct<name:string,containment:double>>")).alias("found"))
