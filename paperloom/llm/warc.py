@@ -1,12 +1,14 @@
 """WARC archives: writing with revisit records, and a salvage reader (operator 3).
 
-Writing stays in Spark: a record is one string, and Spark's text writer with the record separator as its line separator makes
-each part file a valid WARC archive, gzip-compressed by default.  Equal payloads are found by SHA-256; the least page_id of a digest is an
-aggregate, so a digest shared by a third of all pages is pre-aggregated and its join is split by AQE.
+Every record is a gzip member of its own, as the format asks, so damage to one leaves the others readable.  Members are made in Arrow
+batches and written by Spark's text writer as they are, an empty member standing between two.  Equal payloads are found by SHA-256; the least page_id of a
+digest is an aggregate, so a digest shared by a third of all pages is pre-aggregated and its join is split by AQE.  Files are bounded by records and bytes:
+pages are written by size class, with fewer records a file the larger they are.
 
 Reading takes archive files as bytes through Spark's binaryFile source and walks them record by record.  After a failed check (a damaged
 gzip member, header, length or digest) the reader searches for the next valid member or version line, goes on there, and reports the
-skipped bytes as a quarantined gap.  A file's size is bounded by ``records_per_file``.
+skipped bytes as a quarantined gap.  The round trip writes gaps, and revisits whose response is missing or differs, to a quarantine table and fails
+if there are any: nothing is left out silently.
 
 Null html is an empty payload; a null url has no target header; rows with a null page_id are written and come back with a null page_id.  Rows
 that share page_id and payload are all responses where theirs is the least page_id.  An empty table gives no records.
@@ -18,15 +20,18 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from ._store import cut, fresh_path
+from ._store import cut, drop, fresh_path
 
 SEPARATOR = "\r\n\r\n"
 LEAST_REVISIT_BYTES = 100
-RECORDS_PER_FILE = 2000
+#: Files hold at most so many records of pages up to so many bytes: 256 MB in any class, but for single pages that are larger.
+SIZE_CLASSES = ((1 << 17, 2000), (1 << 24, 16), (1 << 62, 1))
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "<urn:paperloom:page:"
 
@@ -43,8 +48,18 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> D
     return pages.join(later, ["page_id", "payload_digest"], "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
-    """Write one record per page into archive files under path."""
+def _gzip(data: bytes = b"") -> bytes:
+    made = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return made.compress(data) + made.flush()
+
+
+@F.pandas_udf(BinaryType())
+def _member(records: pd.Series) -> pd.Series:
+    return records.map(lambda r: _gzip(r.encode()))
+
+
+def write_archives(pages: DataFrame, path: str, compressed: bool = True) -> None:
+    """Write one record per page into archive files in folders under path."""
     rows = with_revisits(pages)
     revisit = F.col("refers_to").isNotNull()
     ident = F.concat(F.lit(_ID), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
@@ -65,7 +80,19 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
     )
     record = F.concat(head, F.lit(SEPARATOR), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    rows.select(record.alias("value")).write.option("lineSep", SEPARATOR).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+    largest = pages.agg(F.max(F.octet_length(F.col("html").cast("string"))).alias("n")).first()["n"] or 0
+    least = -1
+    for n, (most, records_per_file) in enumerate(SIZE_CLASSES):
+        own = rows.filter((F.col("payload_bytes") > least) & (F.col("payload_bytes") <= most))
+        if compressed:
+            own = own.select(_member(F.concat(record, F.lit(SEPARATOR))).cast("string").alias("value"))
+            writer = own.write.option("encoding", "ISO-8859-1").option("lineSep", _gzip().decode("latin-1"))
+        else:
+            writer = own.select(record.alias("value")).write.option("lineSep", SEPARATOR)
+        writer.option("maxRecordsPerFile", records_per_file).text(f"{path}/class-{n}")
+        if largest <= most:
+            break
+        least = most
 
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
@@ -116,16 +143,29 @@ def salvage_plain(data: bytes, base: int = 0) -> Iterator[tuple]:
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, bool]:
     """What a gzip member at ``at`` yields, where it ends, and whether it is whole."""
-    stream, out, i = zlib.decompressobj(31), [], at
+    stream, out, i, view = zlib.decompressobj(31), [], at, memoryview(data)
     try:
         while i < len(data) and not stream.eof:
-            out.append(stream.decompress(data[i : i + 65_536]))
+            out.append(stream.decompress(view[i : i + 65_536]))
             i += 65_536
     except zlib.error:
         return b"".join(out), i, False
     return b"".join(out), min(i, len(data)) - len(stream.unused_data), stream.eof
 
 
+def _next_member(data: bytes, at: int) -> int:
+    """Where the next gzip member begins that opens with a version line, or -1."""
+    view = memoryview(data)
+    while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
+        try:
+            if zlib.decompressobj(31).decompress(view[at : at + 4096], 7) == b"WARC/1.":
+                return at
+        except zlib.error:
+            pass
+        at += 1
+    return -1
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
     """As salvage_plain, for plain archives and those of gzip members; in members, offsets are the member's own.
 
@@ -145,18 +185,14 @@ def salvage(data: bytes) -> Iterator[tuple]:
                     yield "record", at, *item[2:]
             reason = "damaged member"
         elif _header(data, at):
-            stop = data.find(b"\x1f\x8b\x08", at)
-            while stop >= 0 and not _inflate(data[: stop + 65_536], stop)[0].startswith(b"WARC/1."):
-                stop = data.find(b"\x1f\x8b\x08", stop + 1)
+            stop = _next_member(data, at)
             stop = end if stop < 0 else stop
             yield from salvage_plain(data[at:stop], at)
             at = stop
             continue
         else:
             reason = "no member or version line"
-        member = data.find(b"\x1f\x8b\x08", at + 1)
-        while member >= 0 and not _inflate(data[: member + 65_536], member)[0].startswith(b"WARC/1."):
-            member = data.find(b"\x1f\x8b\x08", member + 1)
+        member = _next_member(data, at + 1)
         plain = data.find(b"WARC/1.", at + 1)
         while plain >= 0 and _header(data, plain) is None:
             plain = data.find(b"WARC/1.", plain + 1)
@@ -207,9 +243,16 @@ def round_trip(pages: DataFrame) -> DataFrame:
     def number(c):
         return F.nullif(F.regexp_extract(c, r"page:([^>]*)>", 1), F.lit("")).cast(ident)
 
-    read = cut(read_archives(spark, path).filter("gap_reason is null").withColumns({"page_id": number("record_id"), "refers_to": number("refers_to")}), "op3-records")
+    read = cut(read_archives(spark, path).withColumns({"page_id": number("record_id"), "refers_to": number("refers_to")}), "op3-records")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     response = read.filter("record_type = 'response'")
     target = response.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d")).dropDuplicates(["refers_to", "d"])
-    revisit = read.filter("record_type = 'revisit'").join(target, "refers_to", "left").filter("d is null or d = claimed_digest")
-    return response.select(columns).unionByName(revisit.select("page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to"))
+    revisit = read.filter("record_type = 'revisit'").join(target.withColumnRenamed("d", "claimed_digest"), ["refers_to", "claimed_digest"], "left")
+    revisit = revisit.select("page_id", F.col("n").alias("payload_bytes"), F.col("claimed_digest").alias("payload_digest"), "record_type", "refers_to")
+    out = cut(response.select(columns).unionByName(revisit), "op3-result")
+    lost = cut(read.filter("gap_reason is not null").select("file", "at", "gap_end", "gap_reason").unionByName(out.filter("payload_bytes is null").select(F.col("page_id").cast("string").alias("record_id"), F.lit("no response for revisit").alias("gap_reason")), allowMissingColumns=True), "op3-quarantine")
+    n = lost.count()
+    if n:
+        raise RuntimeError(f"{n} gaps in the archives under {path}: see {lost._paperloom_path}")
+    drop(read, lost)
+    return out
