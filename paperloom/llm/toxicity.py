@@ -2,14 +2,15 @@
 
 The lexicon is learned from labelled documents: whole words, and word beginnings of four to nine letters, that toxic
 documents hold far more often than others.  Its whole words of at least five letters form a trie.  A word that is not in the lexicon is run as a Levenshtein automaton
-through the trie: all terms within one edit are found together, branches being left as soon as the
-automaton has no live state.  Words that, whole or less a letter, are no term, whole or less a letter, are passed over, as they can't be within one edit.  Variants that clean labelled documents use are left out, so plain words near a term do not count.
+through the trie: all terms within one edit, or two for terms of twelve letters and more, are found together, branches being left as soon as the
+automaton has no live state.  Words that, less as many letters, are no term less as many letters are passed over, as they can't be within those edits.
+Variants that clean labelled documents use are left out, so plain words near a term do not count.
 
 Each hit is judged in a window of eight words to either side: inside quotation marks, or with a word of reporting and a
 quotation mark nearby, it counts a quarter.  A logistic model on the hits' weight, as a share of all words and as a total, gives the score.
 
-Learning reads at most ``max_training`` labelled documents, those with the least hash of doc_id, and keeps at most ``max_terms``
-terms of each kind; both are documented bounds, and what the driver holds and every task receives is bounded by them.  Labels are the only
+Learning reads at most ``max_training`` labelled documents, those with the least hash of doc_id.  Every term of the lexicon stands in at least one in 2,000
+of them, so this bound also bounds what the driver holds and every task receives.  A document with labels of both kinds is toxic.  Labels are the only
 thing read besides text, and doc_id decides only which rows may be learned from.  Scoring is row-wise, without a shuffle.
 
 Null or empty texts get the model's score for no hits.  Repeated rows are scored each on its own; a null doc_id passes through
@@ -19,6 +20,7 @@ Null or empty texts get the model's score for no hits.  Repeated rows are scored
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -32,11 +34,10 @@ from pyspark.sql import functions as F
 from ._store import cut
 
 MAX_TRAINING = 20_000
-MAX_TERMS = 2_000
 THRESHOLD = 0.3
 LEAST_DOCS, LEAST_SHARE = 3, 0.0005
 LEAST_ODDS = 2.0
-FUZZY_LETTERS = 5
+FUZZY_LETTERS, TWICE_LETTERS = 5, 12
 STEMS = range(4, 10)
 CONTEXT = 8
 QUOTED = 0.25
@@ -105,8 +106,13 @@ class Trie:
         return out
 
 
-def _shorter(word: str) -> list[str]:
-    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+def _shorter(words: set[str], most: int) -> set[str]:
+    """The words less up to ``most`` letters."""
+    out, last = set(words), words
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out |= last
+    return out
 
 
 class Lexicon(dict):
@@ -115,14 +121,24 @@ class Lexicon(dict):
     def __init__(self, model: dict, most: int = 600_000):
         super().__init__()
         self.words, self.stems, self.plain, self.most = model["words"], model["stems"], model["plain"], most
-        terms = model["fuzzy"]
-        self.trie = Trie({w: self.words[w] for w in terms})
-        self.lengths = {len(w) + d for w in terms for d in (-1, 0, 1)}
-        self.shorter = {x for w in terms for x in (w, *_shorter(w))}
+        self.tries = []
+        for edits, least in ((1, FUZZY_LETTERS), (2, TWICE_LETTERS)):
+            terms = {w for w in model["fuzzy"] if len(w) >= least}
+            lengths = {len(w) + d for w in terms for d in range(-edits, edits + 1)}
+            self.tries.append((edits, Trie({w: self.words[w] for w in terms}), lengths, _shorter(terms, edits)))
+        self.trie = self.tries[0][1]
 
     def may_be_near(self, word: str) -> bool:
-        """Whether a term can be within one edit: less a letter each, or one of them less a letter, the two are the same then."""
-        return len(word) in self.lengths and (word in self.shorter or any(x in self.shorter for x in _shorter(word)))
+        """Whether a term can be within reach: two words within some edits are the same after as many letters are taken from each, at most."""
+        return any(len(word) in lengths and not shorter.isdisjoint(_shorter({word}, edits)) for edits, _, lengths, shorter in self.tries)
+
+    def near(self, word: str) -> list[tuple[str, float, int]]:
+        """(term, weight, edits) of the terms that the word may be a misspelling of."""
+        found = {}
+        for edits, trie, lengths, shorter in self.tries:
+            if len(word) in lengths and not shorter.isdisjoint(_shorter({word}, edits)):
+                found |= {x[0]: x for x in trie.near(word, edits)}
+        return list(found.values())
 
     def __missing__(self, word: str) -> float:
         if len(self) >= self.most:
@@ -130,12 +146,23 @@ class Lexicon(dict):
         weight = self.words.get(word, 0.0)
         if not weight:
             weight = max((self.stems.get(word[:k], 0.0) for k in STEMS if k <= len(word)), default=0.0)
-        if not weight and word not in self.plain and self.may_be_near(word):
-            weight = FUZZY * max((x for _, x, _ in self.trie.near(word)), default=0.0)
+        if not weight and word not in self.plain:
+            weight = max((x * FUZZY**edits for _, x, edits in self.near(word)), default=0.0)
         self[word] = weight
         return weight
 
 
+_LEXICONS: dict[str, Lexicon] = {}
+
+
+def lexicon_of(model: dict) -> Lexicon:
+    """The model's lexicon and its memo, one per Python worker."""
+    if model["key"] not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[model["key"]] = Lexicon(model)
+    return _LEXICONS[model["key"]]
+
+
 def _lower(text: str) -> str:
     """Lower case letter by letter, so that places stay the same."""
     low = text.lower()
@@ -228,14 +255,14 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return b / scale
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING, max_terms: int = MAX_TERMS) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) -> dict:
     """The lexicon and the model's coefficients, from labelled rows that are not held out."""
-    marked = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    marked = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = marked.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_training)
     rows = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("boolean").alias("toxic")), "op4-training")
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = total.get(True, 0), total.get(False, 0)
-    model = {"words": {}, "stems": {}, "fuzzy": [], "plain": set(), "coef": None, "prior": n_toxic / max(1, n_toxic + n_clean)}
+    model = {"key": uuid.uuid4().hex, "words": {}, "stems": {}, "fuzzy": [], "plain": set(), "coef": None, "prior": n_toxic / max(1, n_toxic + n_clean)}
     if not n_toxic or not n_clean:
         return model
     counts = cut(_term_counts(rows), "op4-terms")
@@ -244,26 +271,27 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
     good = counts.withColumn("odds", odds).filter((F.col("toxic") >= least) & (F.col("odds") >= LEAST_ODDS) & (F.col("toxic") > F.col("clean")))
 
     def best(frame):
-        return {r["term"].removesuffix("$"): r["odds"] for r in frame.orderBy(F.desc(F.col("odds") * F.col("toxic")), "term").limit(max_terms).collect()}
+        return {r["term"].removesuffix("$"): r["odds"] for r in frame.select("term", "odds").collect()}
 
     model["words"] = best(good.filter("term like '%$'"))
     model["stems"] = best(good.filter("term not like '%$'"))
     long_ = [w for w in model["words"] if len(w) >= FUZZY_LETTERS]
-    probe = Lexicon(model | {"fuzzy": long_})
+    first = model | {"key": uuid.uuid4().hex, "fuzzy": long_}
 
     def nearby(batches):
+        probe = lexicon_of(first)
         for batch in batches:
             words = [t[:-1] for t in batch.column(0).to_pylist()]
-            near = [w for w in words if probe.may_be_near(w) and any(term != w for term, _, _ in probe.trie.near(w))]
+            near = [w for w in words if any(term != w for term, _, _ in probe.near(w))]
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], names=["word"])
 
-    used = counts.filter("term like '%$' and clean >= 1 and clean * 4 >= toxic").filter((F.length("term") - 1).isin(sorted({len(w) + d for w in long_ for d in (-1, 0, 1)})))
+    used = counts.filter("term like '%$' and clean >= 1 and clean * 4 >= toxic")
     beside = used.select("term").mapInArrow(nearby, "word string").collect()
     model["fuzzy"] = long_
     model["plain"] = {r["word"] for r in beside} - model["words"].keys()
 
     def measure(batches):
-        lexicon = Lexicon(model)
+        lexicon = lexicon_of(model)
         for batch in batches:
             x = [features(t or "", lexicon) for t in batch.column(0).to_pylist()]
             columns = [pa.array(c, pa.float64()) for c in zip(*x, strict=True)] if x else [pa.array([], pa.float64())] * 4
@@ -278,7 +306,7 @@ def scorer(model: dict):
     """A column function: the score of a text column, 0 to 1."""
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lexicon = Lexicon(model)
+        lexicon = lexicon_of(model)
         for part in texts:
             if model["coef"] is None:
                 yield pd.Series(np.full(len(part), float(model["prior"])))
