@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import byte_bpe, packing, queries, repetition, toxicity, warc
+from paperloom.llm import byte_bpe, near_dedup, packing, queries, repetition, toxicity, warc
 from paperloom.llm.bm25_search import Shard, search
 from paperloom.llm.components import components
 from paperloom.llm.license_scan import NOTICES, license_scan
@@ -152,6 +152,17 @@ def test_block_encoder_equals_library():
         assert [x.tolist() for x in e.encode(some)] == [e.alone(c).tolist() for c in some]
 
 
+def test_block_encoder_between_letters():
+    """Every code point that the block path takes, and those around, between letters, after a blank and before a digit."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    codec = packing.BlockEncoder(path)
+    texts = [f"ab{chr(c)}cd {chr(c)}x {chr(c)}1 y{chr(c)}" for c in [*range(0x250), *range(0x2000, 0x2070)]]
+    rng = np.random.default_rng(21)
+    texts += ["".join(chr(c) for c in rng.integers(0x100, 0x250, 12)) for _ in range(300)]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids.tolist() == codec.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = np.random.default_rng(0)
     for _ in range(30):
@@ -224,6 +235,46 @@ def test_near_duplicates(spark, texts, chains_of_copies, k):
     assert got == {i: (n, c, i == c) for i, (n, c) in brute_components(docs, k).items()}
 
 
+def test_near_duplicates_prefix_pairs(spark):
+    """Exact prefix filtering loses no pair at the threshold, against all pairs of sets."""
+    rng = np.random.default_rng(23)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(1, 1 << 40, int(rng.integers(1, 60)))
+        for _ in range(12):
+            own = base[rng.random(len(base)) > rng.random() * 0.15]
+            sets.append(sorted({*own.tolist(), *rng.integers(1, 60, int(rng.integers(0, 3))).tolist()}))
+    sets = [x for x in sets if x]
+    frame = spark.createDataFrame(list(enumerate(sets)), "rep bigint, shingles array<bigint>")
+    members = frame.select("rep", F.pmod("rep", F.lit(50)).alias("comp"), F.size("shingles").cast("bigint").alias("n_shingles"))
+    got = {(r["a"], r["b"]) for r in near_dedup.prefix_pairs(members, frame, 80).collect()}
+    want = set()
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len({*x} & {*sets[j]})
+            if 100 * both >= 80 * (len(x) + len(sets[j]) - both) and i % 50 != j % 50:
+                want.add((j, i))
+    assert len(want) > 100 and want <= got and len(got) < 3 * len(want) + 1000
+
+
+def test_near_duplicates_recall(spark):
+    """Pairs linked at five words, 0.8 and more, on made near copies: sketches and their rounds lose none."""
+    rng = np.random.default_rng(24)
+    docs = {}
+    for i in range(40):
+        base = [f"v{x}" for x in rng.integers(0, 3000, 150)]
+        for c in range(6):
+            own = list(base)
+            for at in rng.integers(0, 150, int(rng.integers(0, 5))):
+                own[at] = f"n{rng.integers(10**6)}"
+            docs[10 * i + c] = " ".join(own)
+    rows = near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()
+    comp = {r["doc_id"]: r["component_id"] for r in rows}
+    grams = {i: {tuple(t.split()[p : p + 5]) for p in range(146)} for i, t in docs.items()}
+    links = [(i, j) for i in docs for j in docs if i < j and i // 10 == j // 10 and 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j])]
+    assert len(links) > 150 and all(comp[i] == comp[j] for i, j in links)
+
+
 def test_near_duplicates_odd(odd, empty):
     rows = near_duplicates(odd).collect()
     got = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
@@ -262,30 +313,15 @@ def test_components(spark):
 
 
 def brute_lines(docs):
-    def h(x):
-        return int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
-
-    lines = {i: [(n, h(x)) for n, x in enumerate((t or "").split("\n")) if WORD.search(x)] for i, t in docs.items()}
-    prints = []
-    for i, own in lines.items():
-        if len(own) >= 3:
-            g = [(own[j][1], own[j + 1][1]) for j in range(len(own) - 1)]
-            prints += [(g[j], i, j) for j in {j if g[j] < g[j + 1] else j + 1 for j in range(len(g) - 1)}]
-    first = {}
-    for g, i, j in sorted(prints):
-        first.setdefault(g, (i, j))
-    gone = defaultdict(set)
-    for g, i, j in prints:
-        src, q = first[g]
-        if (i, j) > (src, q):
-            a, b = [x for _, x in lines[i]], [x for _, x in lines[src]]
-            low = high = 0
-            while j - low > 0 and q - low > 0 and a[j - low - 1] == b[q - low - 1]:
-                low += 1
-            while j + high < len(a) and q + high < len(b) and a[j + high] == b[q + high]:
-                high += 1
-            if low + high >= 3:
-                gone[i].update(lines[i][p][0] for p in range(j - low, j + high))
+    """Deletes every run of 3 lines that stands at any earlier place, whichever document holds parts of it first."""
+    seen, gone = set(), defaultdict(set)
+    for i in sorted(docs):
+        own = [(n, x) for n, x in enumerate((docs[i] or "").split("\n")) if WORD.search(x)]
+        for p in range(len(own) - 2):
+            g = tuple(x for _, x in own[p : p + 3])
+            if g in seen:
+                gone[i].update(n for n, _ in own[p : p + 3])
+            seen.add(g)
     return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in docs.items()}
 
 
@@ -299,24 +335,28 @@ def test_lines(spark, texts):
 
 
 def test_lines_every_run(spark):
-    """Against all shared runs of 3 lines, whichever document holds their pairs first; the pipeline's stage does the same."""
+    """Whichever document holds the pairs of a run first, it is deleted where it stands again; the pipeline's stage does the same."""
     import corpus_pipeline
 
     rng = np.random.default_rng(14)
     docs = {i: "\n".join(f"line {x}" if x else "" for x in rng.integers(0, 8, rng.integers(0, 14))) for i in range(80)}
-    docs |= {101: "x\ny\np", 102: "x\ny\nz", 103: "x\ny\nz", 104: "q\ny\nz\nr"}
-    first, gone = {}, defaultdict(set)
-    for i in sorted(docs):
-        own = [(n, x) for n, x in enumerate(docs[i].split("\n")) if WORD.search(x)]
-        for p in range(len(own) - 2):
-            if first.setdefault(tuple(x for _, x in own[p : p + 3]), (i, p)) != (i, p):
-                gone[i].update(n for n, _ in own[p : p + 3])
-    want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in docs.items()}
+    for i in range(0, 120, 3):
+        a, b, c = (f"triple {i} {x}" for x in "abc")
+        docs |= {200 + i: f"{a}\n{b}\nother {i}\n{b}\n{c}", 201 + i: f"{a}\n{b}\n{c}", 202 + i: f"first {i}\n{a}\n{b}\n{c}\nlast {i}"}
+    want = brute_lines(docs)
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    assert {r["doc_id"]: r["text"] for r in line_dedup(df, every_run=True).collect()} == want and want[103] == ""
+    got = {r["doc_id"]: r["text"] for r in line_dedup(df).collect()}
+    assert got == want and all(got[202 + i] == f"first {i}\nlast {i}" for i in range(0, 120, 3))
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()} == want
 
 
+def test_lines_many_equal(spark):
+    docs = {1: "\n".join(["same"] * 20_000), 2: "\n".join(["x", *["same"] * 5, "y"]), 3: "\n".join(f"l{i % 7}" for i in range(5_000))}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup(df).collect()}
+    assert got == {1: ("same", 19_999), 2: ("x\ny", 5), 3: ("\n".join(f"l{i}" for i in range(7)), 4_993)}
+
+
 def test_lines_odd(odd, empty):
     out = line_dedup(odd)
     assert out.columns == [*odd.columns, "lines_removed"]
@@ -511,6 +551,22 @@ def test_salvage(member):
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_of_own_archives(spark, tmp_path):
+    """Damage to one record of an archive that was written here costs that record alone; an undamaged one has no gaps."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i} " * 50) for i in range(40)] + [(99, "u", "b" * 200_000)], "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "whole"))
+    assert warc.read_archives(spark, str(tmp_path / "whole")).filter("gap_reason is null").count() == 41
+    (file,) = (tmp_path / "whole" / "class-0").glob("part-*")
+    data = bytearray(file.read_bytes())
+    at = data.find(b"\x1f\x8b\x08", len(data) // 2) + 60
+    data[at : at + 40] = b"#" * 40
+    (tmp_path / "hurt").mkdir()
+    (tmp_path / "hurt" / "a.warc.gz").write_bytes(bytes(data))
+    rows = warc.read_archives(spark, str(tmp_path / "hurt")).collect()
+    assert sum(r["gap_reason"] is None for r in rows) == 39 and [r["gap_reason"] for r in rows if r["gap_reason"]] == ["damaged member"]
+    assert len(list((tmp_path / "whole" / "class-1").glob("part-*"))) == 1
+
+
 def test_salvage_reads_files(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(1, b"x" * 200) + b"broken" + record(2, b"y" * 200))
     rows = warc.read_archives(spark, str(tmp_path), with_payload=True).collect()
@@ -639,9 +695,56 @@ def test_search_odd(odd, empty):
     assert search(empty, empty).count() == 0
 
 
+def test_search_repeated_queries(spark):
+    """Rows that share a doc_id are one query, whose words count once."""
+    docs = [(1, "red fox"), (2, "red hen"), (3, "grey fox fox"), (100, "red fox runs"), (100, "red fox runs")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["score"]) for r in search(df, df.filter("doc_id = 100")).orderBy("rank").collect()]
+    once = [(r["doc_id"], r["score"]) for r in search(df, df.filter("doc_id = 100").limit(1)).orderBy("rank").collect()]
+    assert got == once and [i for i, _ in got] == [100, 100, 1, 3, 2] or got == once and len(got) == 5
+
+
 # --- licenses (10)
 
 
+def brute_licenses(text, least=0.8):
+    def shingles(x):
+        ws = re.split(r"[\x20\x09-\x0D]+", x.lower().translate({ord(c): None for c in ".,;:()\"'*#%&$!|<>"}))
+        ws = [w for w in ws if w]
+        return list(zip(ws, ws[1:], strict=False)) if len(ws) > 4 else []
+
+    own, out = shingles(text), set()
+    for name, notice in NOTICES:
+        known = set(shingles(notice))
+        for i in range(len(own) - 3):
+            if set(own[i : i + 4]) & known:
+                around = own[max(0, i - len(known)) : i + len(known) + 4]
+                if len(known & set(around)) >= least * len(known):
+                    out.add(name)
+    return sorted(out)
+
+
+def test_licenses_against_brute_force(spark):
+    """Notices with words replaced, dropped and inserted at random; the output also under a filter, a join and an aggregate."""
+    rng = np.random.default_rng(22)
+    texts = []
+    for n in range(400):
+        ws = NOTICES[n % len(NOTICES)][1].split()
+        for _ in range(int(rng.integers(0, 5))):
+            at = int(rng.integers(0, len(ws)))
+            ws[at : at + int(rng.integers(0, 2))] = [f"w{rng.integers(99)}"] * int(rng.integers(0, 2))
+        texts.append(" ".join([f"f{x}" for x in rng.integers(0, 99, 30)] + ws + [f"f{x}" for x in rng.integers(0, 99, 300)]))
+    found = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = {r["doc_id"]: [f["name"] for f in r["found"]] for r in found.collect()}
+    want = {i: brute_licenses(t) for i, t in enumerate(texts)}
+    links = [(i, n) for i in want for n in want[i]]
+    assert all(set(got[i]) <= set(want[i]) for i in got)
+    assert len(links) > 200 and sum(n in got[i] for i, n in links) >= 0.99 * len(links)
+    some = found.filter(F.size("found") > 0)
+    assert some.count() == sum(bool(x) for x in got.values())
+    assert some.join(found.select("doc_id", F.size("found").alias("n")), "doc_id").agg(F.sum("n")).first()[0] == sum(map(len, got.values()))
+
+
 def test_licenses(spark, odd, empty):
     filler = " ".join(f"f{i}" for i in range(40))
     long_ = dict(NOTICES)["MIT-grant"]
@@ -707,6 +810,12 @@ def test_toxicity_matches_every_long_term_with_an_edit(spark):
         assert lexicon.may_be_near(v) or not lexicon.trie.near(v)
 
 
+def test_toxicity_two_edits_of_long_terms():
+    lexicon = toxicity.Lexicon({"words": {"contemptible": 1.0, "stupid": 1.0}, "stems": {}, "plain": {"contemptibly"}, "fuzzy": ["contemptible", "stupid"]})
+    assert lexicon["contemptble"] == pytest.approx(0.7) and lexicon["contmptble"] == pytest.approx(0.49) and lexicon["cxntemptiblye"] == pytest.approx(0.49)
+    assert lexicon["stupd"] == pytest.approx(0.7) and lexicon["stpd"] == 0 and lexicon["contemptibly"] == 0 and lexicon["cntmptble"] == 0
+
+
 def test_toxicity_window_of_words():
     lexicon = toxicity.Lexicon({"words": {"vile": 1.0}, "stems": {}, "plain": set(), "fuzzy": []})
     long_ = " ".join(["a" * 60] * 6)
