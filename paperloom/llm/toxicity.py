@@ -118,7 +118,7 @@ def _shorter(words: set[str], most: int) -> set[str]:
 class Lexicon(dict):
     """Weight of a word, memoised; emptied when it holds ``most`` words."""
 
-    def __init__(self, model: dict, most: int = 600_000):
+    def __init__(self, model: dict, most: int = 120_000):
         super().__init__()
         self.words, self.stems, self.plain, self.most = model["words"], model["stems"], model["plain"], most
         self.tries = []
