@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_key, strip
+from .text import let, normalize_key, strip
 
 ENTRY = "array<struct<k:string,nk:string,v:string,full:boolean>>"
 
@@ -23,9 +23,11 @@ def _text(value: Column) -> Column:
 
 
 def _full(value: Column) -> Column:
-    json = F.to_json(value)
-    empty = json.isin("null", '""', "false", "[]", "{}") | json.rlike(r"^-?0+(\.0*)?([eE][+-]?\d+)?$")
-    return ~F.coalesce(empty, F.lit(True))
+    def full(json: Column) -> Column:
+        zero = json.rlike(r"^-?0+(\.0*)?([eE][+-]?\d+)?$")
+        return ~F.coalesce(json.isin("null", '""', "false", "[]", "{}") | zero, F.lit(True))
+
+    return let(F.to_json(value), full)
 
 
 def entries(raw: Column | str) -> Column:
@@ -38,8 +40,11 @@ def entries(raw: Column | str) -> Column:
 
 def by_normal_key(items: Column | str) -> Column:
     """Entries with equal normal keys as one: the last value at the first place."""
-    keys = F.array_distinct(F.transform(items, lambda e: e["nk"]))
-    return F.transform(keys, lambda k: F.element_at(F.filter(items, lambda e: e["nk"] == k), -1))
+    def last(keys: Column) -> Column:
+        several = F.transform(F.array_distinct(keys), lambda k: F.element_at(F.filter(items, lambda e: e["nk"] == k), -1))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), items).otherwise(several)
+
+    return let(F.transform(items, lambda e: e["nk"]), last)
 
 
 def usable(entry: Column) -> Column:
@@ -51,6 +56,4 @@ def hide_private(fields: Column | str) -> Column:
     return F.map_filter(fields, lambda k, v: ~k.startswith("_"))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+__all__ = ["ENTRY", "by_normal_key", "entries", "hide_private", "let", "usable", "variants"]

@@ -35,8 +35,17 @@ LANGUAGE_RULES = {
 }
 
 
+#: Characters with the Unicode property White_Space.
+_BLANKS = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(value: Column | str) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(_BLANKS))
 
 
 def split_lines(value: Column | str) -> Column:
@@ -57,7 +66,7 @@ def normalize_key(key: Column | str) -> Column:
 def normalize_scalar(value: Column | str) -> Column:
     """A text with single blanks and without blanks and colons at its ends, or the mark for missing values."""
     clean = F.btrim(F.regexp_replace(F.col(value) if isinstance(value, str) else value, r"(?U)\s+", " "), F.lit(" :"))
-    return F.when(clean.isNull() | (clean == "") | F.lower(clean).isin(*MISSING_WORDS), NOT_DETECTED).otherwise(clean)
+    return let(clean, lambda c: F.when(c.isNull() | (c == "") | F.lower(c).isin(*MISSING_WORDS), NOT_DETECTED).otherwise(c))
 
 
 def title_case(value: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 LEAST_LENGTH = 10
 LEAST_WORDS = 5
@@ -16,16 +16,19 @@ def _words(text: Column | str) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
-def top_word_count(text: Column | str) -> Column:
+def _top_count(words: Column) -> Column:
     """How often the most frequent word occurs, by the longest run of equal words in sorted order."""
-    words = F.array_sort(_words(text))
     start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("best"))
 
     def step(s: Column, w: Column) -> Column:
-        n = F.when(s["w"] == w, s["n"] + 1).otherwise(1)
-        return F.struct(w.alias("w"), n.alias("n"), F.greatest(s["best"], n).alias("best"))
+        return let(F.when(s["w"] == w, s["n"] + 1).otherwise(1), lambda n: F.struct(w.alias("w"), n.alias("n"), F.greatest(s["best"], n).alias("best")))
+
+    return F.aggregate(F.array_sort(words), start, step, lambda s: s["best"])
+
 
-    return F.aggregate(words, start, step, lambda s: s["best"])
+def top_word_count(text: Column | str) -> Column:
+    """How often the most frequent word occurs."""
+    return _top_count(_words(text))
 
 
 def word_count(text: Column | str) -> Column:
@@ -35,10 +38,14 @@ def word_count(text: Column | str) -> Column:
 def strip_repetition(text: Column | str) -> Column:
     """The text, or nothing where one word is more than 60 % of it or it begins with five numbers."""
     text = F.col(text) if isinstance(text, str) else text
-    n = word_count(text)
-    short = (F.length(text) < LEAST_LENGTH) | (n < LEAST_WORDS)
-    bad = (top_word_count(text) / F.when(n > 0, n) > TOP_SHARE) | strip(text).rlike(r"(?U)^(\d+\s+){5,}")
-    return F.when(~short & bad, "").otherwise(text)
+
+    def judge(words: Column) -> Column:
+        n = F.size(words)
+        short = (F.length(text) < LEAST_LENGTH) | (n < LEAST_WORDS)
+        bad = F.when(~short, (_top_count(words) / n > TOP_SHARE) | strip(text).rlike(r"(?U)^(\d+\s+){5,}"))
+        return F.when(F.coalesce(bad, F.lit(False)), "").otherwise(text)
+
+    return let(_words(text), judge)
 
 
 def dedup_markdown(text: Column | str) -> Column:

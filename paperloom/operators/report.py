@@ -63,11 +63,13 @@ def last_region(regions: Column | str, section: str) -> Column:
 def labeled_value(lines: Column | str, words: tuple[str, ...]) -> Column:
     """The first value in lines that hold one of the words: what follows a colon, or all words after the first."""
 
+    def rest(line: Column) -> Column:
+        tokens = F.filter(F.split(line, r"(?U)\s+"), lambda t: t != "")
+        return let(tokens, lambda t: F.when(F.size(t) > 1, normalize_scalar(F.array_join(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), " "))))
+
     def value(line: Column) -> Column:
         after = F.when(F.contains(line, F.lit(":")), normalize_scalar(F.substring(line, F.locate(":", line) + 1, F.length(line))))
-        tokens = F.filter(F.split(line, r"(?U)\s+"), lambda t: t != "")
-        rest = F.when(F.size(tokens) > 1, normalize_scalar(F.array_join(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), " ")))
-        return F.coalesce(F.nullif(after, F.lit(NOT_DETECTED)), F.nullif(rest, F.lit(NOT_DETECTED)))
+        return F.coalesce(F.nullif(after, F.lit(NOT_DETECTED)), F.nullif(rest(line), F.lit(NOT_DETECTED)))
 
     def holds(line: Column) -> Column:
         low = F.lower(line)
@@ -81,7 +83,7 @@ def labeled_value(lines: Column | str, words: tuple[str, ...]) -> Column:
 
 
 def section_value(data: Column, lines: Column, key: str) -> Column:
-    value = F.coalesce(F.nullif(F.try_element_at(data, F.lit(key)), F.lit(NOT_DETECTED)))
+    value = F.nullif(F.try_element_at(data, F.lit(key)), F.lit(NOT_DETECTED))
     return F.coalesce(value, labeled_value(lines, LABELLED[key]) if key in LABELLED else F.lit(NOT_DETECTED))
 
 
@@ -104,17 +106,17 @@ def _labeled(pairs: list[tuple[str, Column]]) -> list[Column]:
 
 def structured_report(file_name: Column | str, document_type: Column | str, data: Column | str, regions: Column | str, blocks: Column | str) -> Column:
     """The whole report as one text."""
-    return let(normalize_data(data), lambda d: _report(file_name, document_type, d, regions, blocks))
-
-
-def _report(file_name, document_type, data: Column, regions, blocks) -> Column:
     none = F.array().cast("array<string>")
 
     def lines_of(part: Column) -> Column:
         return F.coalesce(non_blank(part["content_lines"]), none)
 
-    head, body, foot = (lines_of(find_region(regions, s)) for s in ("header", "body", "footer"))
-    table = find_block(blocks, "table_region")
+    lines = F.struct(*(lines_of(find_region(regions, s)).alias(s) for s in ("header", "body", "footer")), lines_of(find_block(blocks, "table_region")).alias("table"))
+    return let(normalize_data(data), lambda d: let(lines, lambda x: _report(file_name, document_type, d, x, regions, blocks)))
+
+
+def _report(file_name, document_type, data: Column, lines: Column, regions, blocks) -> Column:
+    head, body, foot = (lines[s] for s in ("header", "body", "footer"))
 
     def section(fields, lines):
         return _labeled([(label, section_value(data, lines, key)) for key, label in fields])
@@ -122,7 +124,7 @@ def _report(file_name, document_type, data: Column, regions, blocks) -> Column:
     last_table = F.element_at(F.filter(blocks, lambda b: F.lower(b["block_type"]) == "table_region"), -1)
     shown = F.when(F.coalesce(last_table["content_text"], F.lit("")) != "", "Item-wise purchase details detected").otherwise(NOT_DETECTED)
     position = _labeled([(s.title(), last_region(regions, s)["description"]) if s != "table" else ("Table", shown) for s in ("header", "body", "table", "footer")])
-    items = F.array_join(item_lines(data, lines_of(table)), "\n")
+    items = F.array_join(item_lines(data, lines["table"]), "\n")
     out = [F.lit("DOCUMENT ANALYSIS REPORT"), F.lit("=" * 24), F.lit("")]
     out += [F.concat(F.lit("File Name      : "), normalize_scalar(file_name)), F.concat(F.lit("Document Type  : "), title_case(document_type))]
     for title, rows in (

@@ -7,12 +7,13 @@ Everything is one projection per row, without a shuffle.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.records import by_normal_key, entries, let, usable
+from ..functions.records import ENTRY, by_normal_key, entries, let, usable
 from ..functions.text import normalize_key, split_lines, strip
 from .rules import FIELDS, TEMPLATE_VERSION, ZONES
 
@@ -23,19 +24,38 @@ def _python_normal(key: str) -> str:
     return key.lower().strip().replace(" ", "_").replace("-", "_").replace(".", "")
 
 
+#: A hit of an alias in an entry is one number, so that the least of a field's hits is its best: field, rank of the alias, containment, place of the entry.
+_FIELD, _RANK, _NEAR = 1 << 48, 1 << 40, 1 << 39
+
+
+def alias_hits(items: Column, aliases: list[tuple[str, ...]]) -> Column:
+    """All hits of several fields' aliases in ``items``, usable entries with distinct normal keys, in one pass over them.
+
+    An alias hits a key that equals it, contains it or is contained in it.
+    """
+    known = [{"k": _python_normal(a), "code": f * _FIELD + r * _RANK} for f, own in enumerate(aliases) for r, a in enumerate(own)]
+    literal = F.from_json(F.lit(json.dumps(known)), "array<struct<k:string,code:bigint>>")
+
+    def of_entry(e: Column, i: Column) -> Column:
+        near = F.filter(literal, lambda a: F.contains(e["nk"], a["k"]) | F.contains(a["k"], e["nk"]))
+        return F.transform(near, lambda a: a["code"] + F.when(a["k"] == e["nk"], 0).otherwise(_NEAR) + i)
+
+    return F.flatten(F.transform(items, of_entry))
+
+
+def best_value(items: Column, hits: Column, field: int) -> Column:
+    """The value of a field's best hit: aliases in order, equal keys before containment, entries in order; null for none."""
+    best = F.array_min(F.filter(hits, lambda h: (h >= field * _FIELD) & (h < (field + 1) * _FIELD)))
+    return F.get(items, best.bitwiseAND(_NEAR - 1).cast("int"))["v"]
+
+
 def find_value(items: Column | str, aliases: tuple[str, ...]) -> Column:
     """The first value whose key equals an alias, contains it or is contained in it, aliases in order; null for none.
 
     ``items`` are usable entries with distinct normal keys.
     """
-    found = F.lit(None).cast("string")
-
-    def step(got: Column, alias: Column) -> Column:
-        direct = F.get(F.filter(items, lambda e: e["nk"] == alias), F.lit(0))["v"]
-        near = F.get(F.filter(items, lambda e: F.contains(e["nk"], alias) | F.contains(alias, e["nk"])), F.lit(0))["v"]
-        return F.coalesce(got, direct, near)
-
-    return F.aggregate(F.array(*(F.lit(_python_normal(a)) for a in aliases)), found, step)
+    items = F.col(items) if isinstance(items, str) else items
+    return let(alias_hits(items, [aliases]), lambda h: best_value(items, h, 0))
 
 
 def _label_pattern(alias: str, mode: str) -> str:
@@ -76,25 +96,33 @@ def map_to_template(df: DataFrame, record: str = "record", mode: str = "compatib
 
     Missing fields are empty.  ``items`` is text (JSON for a table).  ``_raw_text`` is the full text where nothing matched.
     """
-    all_ = entries(record)
-    df = df.withColumn("__all", F.coalesce(all_, F.array().cast("array<struct<k:string,nk:string,v:string,full:boolean>>")))
-    df = df.withColumn("__items", F.filter(by_normal_key("__all"), usable))
-    text = F.get(F.filter("__all", lambda e: (e["k"] == "full_extraction") & e["full"]), F.lit(0))["v"]
-    df = df.withColumn("__text", text).withColumn("__blob", F.col("__text").isNotNull() & (F.size("__all") <= 4))
-    values = []
-    for field, _, _, aliases in FIELDS:
-        value = F.coalesce(F.when(~F.col("__blob"), find_value("__items", aliases)), F.when(F.col("__text").isNotNull(), find_label("__text", (*aliases, field), mode)), F.lit(""))
-        if field == "items":
-            table = table_items("__text")
-            value = F.when(F.col("__text").isNotNull() & (F.size(table) > 0), F.to_json(table)).otherwise(value)
-        values.append(value.alias(field))
     none = F.lit("")
 
-    def whole(fields: Column) -> Column:
-        empty = F.concat(none, *(fields[f] for f, *_ in FIELDS)) == ""
-        return F.struct(*(fields[f].alias(f) for f, *_ in FIELDS), F.lit(TEMPLATE_VERSION).alias("_template_version"), F.when(empty, F.col("__text")).alias("_raw_text"))
-
-    return df.withColumn("template", let(F.struct(*values), whole)).drop("__all", "__items", "__text", "__blob")
+    def whole(x: Column, hits: Column) -> Column:
+        items, text, blob, values = x["items"], x["text"], x["blob"], []
+        for n, (field, _, _, aliases) in enumerate(FIELDS):
+            said = F.when(text.isNotNull(), find_label(text, (*aliases, field), mode))
+            value = F.coalesce(F.when(~blob, best_value(items, hits, n)), said, none)
+            if field == "items":
+                table = F.when(text.isNotNull(), let(table_items(text), lambda t: F.when(F.size(t) > 0, F.to_json(t))))
+                value = F.coalesce(table, value)
+            values.append(value.alias(field))
+
+        def finish(fields: Column) -> Column:
+            empty = F.concat(none, *(fields[f] for f, *_ in FIELDS)) == ""
+            return F.struct(*(fields[f].alias(f) for f, *_ in FIELDS), F.lit(TEMPLATE_VERSION).alias("_template_version"), F.when(empty, text).alias("_raw_text"))
+
+        return let(F.struct(*values), finish)
+
+    def parts(all_: Column) -> Column:
+        text = F.get(F.filter(all_, lambda e: (e["k"] == "full_extraction") & e["full"]), F.lit(0))["v"]
+        return let(
+            text, lambda t: F.struct(F.filter(by_normal_key(all_), usable).alias("items"), t.alias("text"), (t.isNotNull() & (F.size(all_) <= 4)).alias("blob"))
+        )
+
+    aliases = [a for *_, a in FIELDS]
+    all_ = F.coalesce(entries(record), F.array().cast(ENTRY))
+    return df.withColumn("template", let(let(all_, parts), lambda x: let(alias_hits(x["items"], aliases), lambda h: whole(x, h))))
 
 
 def matched_count(template: str = "template") -> Column:
