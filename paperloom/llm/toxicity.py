@@ -3,7 +3,7 @@
 The lexicon is learned from labelled documents: whole words, and word beginnings of four to nine letters, that toxic
 documents hold far more often than others.  Its whole words of at least five letters form a trie.  A word that is not in the lexicon is run as a Levenshtein automaton
 through the trie: all terms within one edit, or two for terms of twelve letters and more, are found together, branches being left as soon as the
-automaton has no live state.  Words that, less as many letters, are no term less as many letters are passed over, as they can't be within those edits.
+automaton has no live state.  Words that can't be within those edits, by their letters less one or by the thirds of a long term, are passed over.
 Variants that clean labelled documents use are left out, so plain words near a term do not count.
 
 Each hit is judged in a window of eight words to either side: inside quotation marks, or with a word of reporting and a
@@ -26,7 +26,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,33 +115,47 @@ def _shorter(words: set[str], most: int) -> set[str]:
 
 
 class Lexicon(dict):
-    """Weight of a word, memoised; emptied when it holds ``most`` words."""
+    """Weight of a word, memoised: the dict holds the words of late, ``old`` those before; of both together, at most ``most``."""
 
-    def __init__(self, model: dict, most: int = 120_000):
+    def __init__(self, model: dict, most: int = 100_000):
         super().__init__()
+        self.old: dict[str, float] = {}
         self.words, self.stems, self.plain, self.most = model["words"], model["stems"], model["plain"], most
         self.tries = []
         for edits, least in ((1, FUZZY_LETTERS), (2, TWICE_LETTERS)):
             terms = {w for w in model["fuzzy"] if len(w) >= least}
             lengths = {len(w) + d for w in terms for d in range(-edits, edits + 1)}
-            self.tries.append((edits, Trie({w: self.words[w] for w in terms}), lengths, _shorter(terms, edits)))
+            self.tries.append((edits, Trie({w: self.words[w] for w in terms}), lengths))
+            if edits == 1:
+                self.shorter = _shorter(terms, 1)
+            else:
+                self.anchors = {t[len(t) * i // 3 :][:4] for t in terms for i in range(3)}
         self.trie = self.tries[0][1]
 
+    def _gate(self, word: str, edits: int) -> bool:
+        """Whether a term can be within the edits: for one, the two are the same less a letter each; two leave one of a long term's thirds whole."""
+        if edits == 1:
+            return not self.shorter.isdisjoint(_shorter({word}, 1))
+        return any(word[i : i + 4] in self.anchors for i in range(len(word) - 3))
+
     def may_be_near(self, word: str) -> bool:
-        """Whether a term can be within reach: two words within some edits are the same after as many letters are taken from each, at most."""
-        return any(len(word) in lengths and not shorter.isdisjoint(_shorter({word}, edits)) for edits, _, lengths, shorter in self.tries)
+        return any(len(word) in lengths and self._gate(word, edits) for edits, _, lengths in self.tries)
 
     def near(self, word: str) -> list[tuple[str, float, int]]:
         """(term, weight, edits) of the terms that the word may be a misspelling of."""
         found = {}
-        for edits, trie, lengths, shorter in self.tries:
-            if len(word) in lengths and not shorter.isdisjoint(_shorter({word}, edits)):
+        for edits, trie, lengths in self.tries:
+            if len(word) in lengths and self._gate(word, edits):
                 found |= {x[0]: x for x in trie.near(word, edits)}
         return list(found.values())
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= self.most:
+        if len(self) >= self.most // 2:
+            self.old = dict(self)
             self.clear()
+        if word in self.old:
+            self[word] = self.old[word]
+            return self.old[word]
         weight = self.words.get(word, 0.0)
         if not weight:
             weight = max((self.stems.get(word[:k], 0.0) for k in STEMS if k <= len(word)), default=0.0)
@@ -169,6 +182,12 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower()[:1] for c in text)
 
 
+def _texts(column: pa.Array, step: int = 256) -> Iterator[str | None]:
+    """The texts of an Arrow column, some at a time as Python strings."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
 def _spans(text: str) -> tuple[list[int], list[int]]:
     """Where the words between blanks start and end."""
     found = [m.span() for m in _TOKEN.finditer(text)]
@@ -223,7 +242,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], names=["term", "toxic", "clean"])
 
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, label in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 own = set()
                 for w in set(_WORD.findall(_lower(text or ""))):
                     own.add(w + "$")
@@ -293,7 +312,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING)
     def measure(batches):
         lexicon = lexicon_of(model)
         for batch in batches:
-            x = [features(t or "", lexicon) for t in batch.column(0).to_pylist()]
+            x = [features(t or "", lexicon) for t in _texts(batch.column(0))]
             columns = [pa.array(c, pa.float64()) for c in zip(*x, strict=True)] if x else [pa.array([], pa.float64())] * 4
             yield pa.RecordBatch.from_arrays([batch.column(1), *columns], names=["toxic", "a", "b", "c", "d"])
 
@@ -305,16 +324,16 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING)
 def scorer(model: dict):
     """A column function: the score of a text column, 0 to 1."""
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lexicon = lexicon_of(model)
         for part in texts:
             if model["coef"] is None:
-                yield pd.Series(np.full(len(part), float(model["prior"])))
+                yield pa.array(np.full(len(part), float(model["prior"])))
                 continue
-            x = np.array([features(t or "", lexicon) for t in part]).reshape(-1, 4)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(model["coef"]), -30, 30))))
+            x = np.array([features(t or "", lexicon) for t in _texts(part)]).reshape(-1, 4)
+            yield pa.array(1 / (1 + np.exp(-np.clip(x @ np.array(model["coef"]), -30, 30))))
 
-    return F.pandas_udf(run, "double")
+    return F.arrow_udf(run, "double")
 
 
 def toxicity(docs: DataFrame, model: dict) -> DataFrame:

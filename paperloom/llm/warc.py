@@ -20,7 +20,6 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +52,9 @@ def _gzip(data: bytes = b"") -> bytes:
     return made.compress(data) + made.flush()
 
 
-@F.pandas_udf(BinaryType())
-def _member(records: pd.Series) -> pd.Series:
-    return records.map(lambda r: _gzip(r.encode()))
+@F.arrow_udf(BinaryType())
+def _member(records: pa.Array) -> pa.Array:
+    return pa.array([_gzip(r.as_py().encode()) for r in records], pa.binary())
 
 
 def write_archives(pages: DataFrame, path: str, compressed: bool = True) -> None:
