@@ -248,7 +248,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
                     own.add(w + "$")
                     own.update(w[:k] for k in STEMS if k <= len(w))
                 (toxic if label else clean).update(own)
-                if len(toxic) + len(clean) > 500_000:
+                if len(toxic) + len(clean) > 100_000:
                     yield emit()
                     toxic.clear()
                     clean.clear()
