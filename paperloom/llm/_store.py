@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Exchange files of a frame that is written and read back serve no one after the write.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that Python workers are handed at once where the rows carry texts.
+TEXT_ROWS = 2_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,16 +31,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: short lineage, computed once, survives lost executors."""
+def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: short lineage, computed once, survives lost executors.
+
+    ``batch_rows`` bounds the rows of an Arrow batch on the way, and so what Python workers and their executors hold.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    during = {_CLEANUP: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+    before = {key: spark.conf.get(key, None) for key in during}
+    for key, value in during.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._paperloom_path = path
     return out

@@ -81,12 +81,24 @@ def find_words(buf: np.ndarray, offs: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, offs))
 
 
-def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans that do not depend on where the spans lie."""
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTE_CODE[buf] * _powers(_BASE, max(1, len(buf)))[: len(buf)], out=total[1:])
-    back = _powers(_BASE_INV, len(buf) + 1)
-    return mix64((total[end] - total[start]) * back[start] + (end - start).astype(U64))
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """64-bit hashes of byte spans, ordered by place, that do not depend on where the spans lie.
+
+    Spans are taken some at a time, about ``step`` bytes, which bounds what is held beside long texts.
+    """
+    out = np.empty(len(start), U64)
+    i = 0
+    while i < len(start):
+        low = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, low + step, side="right")))
+        part = buf[low : int(end[j - 1])]
+        total = np.zeros(len(part) + 1, U64)
+        np.cumsum(_BYTE_CODE[part] * _powers(_BASE, len(part)), out=total[1:])
+        back = _powers(_BASE_INV, len(part) + 1)
+        a, b = start[i:j] - low, end[i:j] - low
+        out[i:j] = mix64((total[b] - total[a]) * back[a] + (b - a).astype(U64))
+        i = j
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -106,7 +118,7 @@ def gram_hashes_rows(values: np.ndarray) -> np.ndarray:
     return mix64(out)
 
 
-def chunks(texts: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, target: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows i:j of a string array with about ``target`` bytes: (i, j, bytes, offsets). Null reads as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

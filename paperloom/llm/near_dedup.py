@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._store import cut, drop
+from ._store import TEXT_ROWS, cut, drop
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -292,7 +292,7 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sketched = cut(sketch_documents(docs, k), "op2-sketches")
+    sketched = cut(sketch_documents(docs, k), "op2-sketches", TEXT_ROWS)
     classes = cut(sketched.filter("n_shingles > 0 and doc_id is not null").groupBy(*SET_KEY, "n_shingles").agg(F.min("doc_id").alias("rep")), "op2-classes")
     reps = sketched.join(classes.withColumnRenamed("rep", "doc_id"), [*SET_KEY, "n_shingles", "doc_id"], "left_semi").select(
         F.col("doc_id").alias("rep"), "n_shingles", "sketch"
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     bits = [f"b{i}" for i in range(BIT_WORDS)]
     member = cut(bucket.select("rep", "key").join(sketch.select("rep", "n_shingles", *bits).join(central, "rep"), "rep"), "op2-members")
     drop(bucket)
-    sets = cut(_sets(docs.withColumnRenamed("doc_id", "rep").join(sketch.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), k), "op2-sets")
+    sets = cut(_sets(docs.withColumnRenamed("doc_id", "rep").join(sketch.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), k), "op2-sets", TEXT_ROWS)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs with ``linked``, confirmed on full sets."""

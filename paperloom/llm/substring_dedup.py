@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._store import cut, drop
+from ._store import TEXT_ROWS, cut, drop
 
 K = 5
 WINDOW = 32
@@ -458,7 +458,7 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
     """For each document that has repeats: doc_id, ``repeats`` (fragments of passages), ``cuts`` (their union in characters) and ``words_removed``."""
     docs = docs.filter("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     ident = docs.schema["doc_id"].dataType.simpleString()
-    seeds = cut(_seeds(docs), "op1-seeds")
+    seeds = cut(_seeds(docs), "op1-seeds", TEXT_ROWS)
     owner = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("o"), F.max("doc_id").alias("last")).filter("o.doc_id < last")
     owner = cut(owner.select("seed", F.col("o.doc_id").alias("src"), F.col("o.place").alias("other")), "op1-owners")
     shared = cut(seeds.join(owner, "seed"), "op1-shared")
@@ -466,7 +466,7 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
     drop(owner)
     chains = cut(_chains(_matches(shared)), "op1-chains")
     drop(shared)
-    regions = cut(_regions(chains.select("src", "low", "high"), docs), "op1-regions")
+    regions = cut(_regions(chains.select("src", "low", "high"), docs), "op1-regions", TEXT_ROWS)
     placed = cut(chains.join(regions, ["src", "low", "high"]).select("doc_id", F.struct("src", "low", "blocks", "codes").alias("c")), "op1-placed")
     drop(chains, regions)
     per_doc = placed.groupBy("doc_id").agg(F.collect_list("c").alias("chains"))
@@ -502,7 +502,7 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
 
     joined = docs.join(per_doc, "doc_id").select("doc_id", "text", "chains")
     kind = f"doc_id {ident}, repeats {_FOUND.format(ident)}, cuts array<struct<a:int,b:int>>, words_removed int"
-    out = cut(joined.mapInArrow(run, kind).dropDuplicates(["doc_id"]), "op1-repeats")
+    out = cut(joined.mapInArrow(run, kind).dropDuplicates(["doc_id"]), "op1-repeats", TEXT_ROWS)
     drop(placed)
     return out
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import TEXT_ROWS, cut
 
 MAX_TRAINING = 20_000
 THRESHOLD = 0.3
@@ -284,7 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING)
     model = {"key": uuid.uuid4().hex, "words": {}, "stems": {}, "fuzzy": [], "plain": set(), "coef": None, "prior": n_toxic / max(1, n_toxic + n_clean)}
     if not n_toxic or not n_clean:
         return model
-    counts = cut(_term_counts(rows), "op4-terms")
+    counts = cut(_term_counts(rows), "op4-terms", TEXT_ROWS)
     odds = F.log(((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1)))
     least = max(LEAST_DOCS, LEAST_SHARE * (n_toxic + n_clean))
     good = counts.withColumn("odds", odds).filter((F.col("toxic") >= least) & (F.col("odds") >= LEAST_ODDS) & (F.col("toxic") > F.col("clean")))
