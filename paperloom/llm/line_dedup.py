@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import cut, drop
+from ._worker import task
 
 SHINGLE = 2
 WINDOW = 2
@@ -88,6 +89,7 @@ def _extend(rows: DataFrame) -> DataFrame:
     ident = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "source_id", "first_line", "n_lines", "source_line", "from_line", "to_line"]
 
+    @task("op8")
     def run(batches):
         for batch in batches:
             low = batch.column(2).to_numpy()

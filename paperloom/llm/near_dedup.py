@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import _vec as V
 from ._store import TEXT_ROWS, cut, drop
+from ._worker import task
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -113,6 +114,7 @@ def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_key and set_key2 (128 bits of hash of the set) and the registers of each row."""
     ident = docs.schema["doc_id"].dataType.simpleString()
 
+    @task("op2")
     def run(batches):
         for batch in batches:
             for i, j, buf, offs in V.chunks(batch.column(1)):
@@ -131,6 +133,7 @@ def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _band_keys(reps: DataFrame) -> DataFrame:
+    @task("op2")
     def run(batches):
         for batch in batches:
             sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
@@ -146,6 +149,7 @@ def _with_bits(reps: DataFrame) -> DataFrame:
     """rep, n_shingles, sketch, and the registers' lowest bits packed into words b0, b1, ..."""
     ident = reps.schema["rep"].dataType.simpleString()
 
+    @task("op2")
     def run(batches):
         for batch in batches:
             sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)
@@ -175,6 +179,7 @@ def _may_link(x: str, y: str, percent: int) -> F.Column:
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     ident = docs.schema["rep"].dataType.simpleString()
 
+    @task("op2")
     def run(batches):
         for batch in batches:
             for i, j, buf, offs in V.chunks(batch.column(1)):
@@ -191,6 +196,7 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     at = percent / 100
     floor = at - SIGMAS * np.sqrt(at * (1 - at) / REGISTERS)
 
+    @task("op2")
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -236,6 +242,7 @@ def _entries(ordered: DataFrame, percent: int) -> DataFrame:
     """key, place, larger (whether as the larger set), rep, comp, n_shingles for the prefix join."""
     ident = ordered.schema["rep"].dataType.simpleString()
 
+    @task("op2")
     def run(batches):
         for batch in batches:
             names = batch.schema.names

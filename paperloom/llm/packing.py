@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec as V
+from ._worker import memo, task
 from .bpe_fold import PairRanks, WordMemo, fold_merges
 
 WINDOW = 2048
@@ -199,14 +200,12 @@ class BlockEncoder:
         return out
 
 
-_ENCODERS: dict[str, BlockEncoder] = {}
-
-
 def encoder(path: str) -> BlockEncoder:
-    """One encoder per Python worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = BlockEncoder(path)
-    return _ENCODERS[path]
+    """One encoder per Python worker and vocabulary, until tasks of another operator use the worker."""
+    encoders = memo("op6")
+    if path not in encoders:
+        encoders[path] = BlockEncoder(path)
+    return encoders[path]
 
 
 def cut_document(tokens: int, window: int) -> list[tuple[int, int]]:
@@ -225,6 +224,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     ident = docs.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
+    @task("op6")
     def run(batches):
         codec = encoder(tokenizer_path)
         ids_parts, raws = [], []

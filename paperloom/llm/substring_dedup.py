@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _vec as V
 from ._store import TEXT_ROWS, cut, drop
+from ._worker import task
 
 K = 5
 WINDOW = 32
@@ -74,6 +75,7 @@ def seed_places(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _seeds(docs: DataFrame) -> DataFrame:
     ident = docs.schema["doc_id"].dataType.simpleString()
 
+    @task("op1")
     def run(batches):
         for batch in batches:
             for i, j, buf, offs in V.chunks(batch.column(1)):
@@ -204,6 +206,7 @@ def _chains(matches: DataFrame) -> DataFrame:
             names=["doc_id", "src", "low", "high", "blocks"],
         )
 
+    @task("op1")
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -238,6 +241,7 @@ def _regions(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """src, low, high and the word codes there; a source's text is read once for all its regions, whose bounds lie on a grid."""
     ident = docs.schema["doc_id"].dataType.simpleString()
 
+    @task("op1")
     def run(batches):
         for batch in batches:
             for i, j, buf, offs in V.chunks(batch.column(2)):
@@ -471,6 +475,7 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
     drop(chains, regions)
     per_doc = placed.groupBy("doc_id").agg(F.collect_list("c").alias("chains"))
 
+    @task("op1")
     def run(batches):
         for batch in batches:
             ids, out_rows, out, cuts, gone = batch.column(0), [], [], [], []

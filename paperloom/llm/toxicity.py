@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import TEXT_ROWS, cut
+from ._worker import memo, task
 
 MAX_TRAINING = 20_000
 THRESHOLD = 0.3
@@ -165,15 +166,13 @@ class Lexicon(dict):
         return weight
 
 
-_LEXICONS: dict[str, Lexicon] = {}
-
-
 def lexicon_of(model: dict) -> Lexicon:
-    """The model's lexicon and its memo, one per Python worker."""
-    if model["key"] not in _LEXICONS:
-        _LEXICONS.clear()
-        _LEXICONS[model["key"]] = Lexicon(model)
-    return _LEXICONS[model["key"]]
+    """The model's lexicon and its memo, one per Python worker, until tasks of another operator use the worker."""
+    lexicons = memo("op4")
+    if model["key"] not in lexicons:
+        lexicons.clear()
+        lexicons[model["key"]] = Lexicon(model)
+    return lexicons[model["key"]]
 
 
 def _lower(text: str) -> str:
@@ -234,6 +233,7 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, float, float, float]:
 def _term_counts(rows: DataFrame) -> DataFrame:
     """term, toxic, clean: the labelled documents of each kind that hold a word ("word$") or a word beginning."""
 
+    @task("op4")
     def run(batches):
         toxic, clean = Counter(), Counter()
 
@@ -297,6 +297,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING)
     long_ = [w for w in model["words"] if len(w) >= FUZZY_LETTERS]
     first = model | {"key": uuid.uuid4().hex, "fuzzy": long_}
 
+    @task("op4")
     def nearby(batches):
         probe = lexicon_of(first)
         for batch in batches:
@@ -309,6 +310,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING)
     model["fuzzy"] = long_
     model["plain"] = {r["word"] for r in beside} - model["words"].keys()
 
+    @task("op4")
     def measure(batches):
         lexicon = lexicon_of(model)
         for batch in batches:
@@ -324,6 +326,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING)
 def scorer(model: dict):
     """A column function: the score of a text column, 0 to 1."""
 
+    @task("op4")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lexicon = lexicon_of(model)
         for part in texts:
