@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bm25_search import K1, B
+from .hard_negatives import HIGH, LOW, NEGATIVES, POSITIVES, SCALE
 from .license_scan import LEAST_CONTAINMENT, NOTICES, PUNCTUATION, WINDOW_SHINGLES
 from .line_dedup import LEAST_LINES
 from .repetition import MAX_COVERED_PERCENT, MAX_LONGEST_WORDS, MIN_REPEAT_WORDS
@@ -100,4 +101,24 @@ v AS (
   SELECT DISTINCT i.doc_id, i.name FROM i JOIN m ON m.doc_id = i.doc_id AND m.name = i.name AND m.p >= i.i - i.size AND m.p < i.i + i.size + {WINDOW_SHINGLES}
   GROUP BY i.doc_id, i.name, i.i, i.size HAVING count(DISTINCT m.g) >= {LEAST_CONTAINMENT} * i.size)
 SELECT d.doc_id, count(v.name)::INTEGER AS n_licenses, coalesce(string_agg(v.name, ',' ORDER BY v.name), '') AS licenses FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY d.doc_id""",
+    # The pages of the given tables hold one plain article element each, of headings and paragraphs, which SQL can cut out.
+    "op12_html_extraction": r"""
+WITH b AS (SELECT page_id, url, unnest(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>')) AS raw, generate_subscripts(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'), 1) AS i FROM pages),
+u AS (SELECT page_id, url, i, regexp_replace(regexp_replace(regexp_replace(raw, '</?b>', '', 'g'), '<br>', ' ', 'g'), '&quot;?', '"', 'g') AS x FROM b),
+t AS (SELECT page_id, url, i, trim(regexp_replace(regexp_replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS x FROM u),
+r AS (SELECT page_id, url, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (x <> ''), '') AS text FROM t GROUP BY page_id, url)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM r""",
+    "op13_hard_negatives": f"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {POSITIVES})
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank, other AS negative_id,
+  positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND {LOW} * positive_score <= 100 * score AND 100 * score <= {HIGH} * positive_score QUALIFY rank <= {NEGATIVES}""",
 }

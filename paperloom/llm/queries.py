@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, toxicity
 from .bm25_search import search
+from .hard_negatives import mine_hard_negatives
+from .html_extraction import extract_main_text
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
@@ -17,6 +19,7 @@ from .oracles import ORACLE_SQL
 from .packing import pack
 from .repetition import repetition_rules
 from .substring_dedup import find_repeats
+from .token_alignment import align, rate_links
 from .warc import round_trip
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -90,6 +93,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("found").alias("n_licenses"), F.array_join("found.name", ",").alias("licenses"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's alignment of two tokenizers, and how frequent its links are in the corpus."""
+    aligned = align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    groups = F.coalesce(F.sha2("groups", 256), F.lit("")).alias("groups_sha256")
+    return rate_links(aligned.select("doc_id", "n_a", "n_b", "n_groups", groups, "pairs"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose vec_id is divisible by 100, some labels being wrong on purpose."""
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -103,5 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_search,
         op10_license_scan,
+        op11_token_alignment,
+        op12_html_extraction,
+        op13_hard_negatives,
     )
 }
