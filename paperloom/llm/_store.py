@@ -27,6 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to clash with no column of df, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -52,10 +63,15 @@ def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing will read again."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete the files behind frames made by cut() that nothing will read again."""
     for df in frames:
-        spark, path = df.sparkSession, getattr(df, "_paperloom_path", None)
+        path = getattr(df, "_paperloom_path", None)
         if path:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(df.sparkSession, path)

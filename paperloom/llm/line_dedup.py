@@ -1,19 +1,21 @@
 """Line dedup by winnowing over line hashes (operator 8).
 
-A document is its sequence of lines that hold a word.  Every two neighbouring lines form a shingle, the pair of their hashes; of each window of two
-shingles the lesser one (the later on a tie) is a fingerprint, so any shared run of ``WINDOW + SHINGLE - 1`` = 3 lines has one at the same place in both
-texts.  The first text with a fingerprint may share no more than its two lines, so a fingerprint stands with the third line of the window that chose it.
-Each is joined with its first position in the corpus, by (doc_id, position), and the match is extended both ways line by line.  What is deleted is every run
-of at least 3 lines that stands at an earlier place as well.
+A document is its sequence of lines that hold a word, each as its hash.  Of each window of ``WINDOW`` = 3 lines the one with the least hash (the last on a
+tie) is selected; neighbouring windows mostly agree, so about half of the lines are fingerprints, and any shared run of 3 lines has one
+at the same place in both texts.  Fingerprints that only one place holds, nearly all of ordinary text, go no further.  The first place with a fingerprint may share
+no more than its line, so what is left stands with the windows that chose it: each such window is joined with the first place in the corpus
+of the same window, by (doc_id, position), and the match is extended both ways line by line.  What is deleted is every run of at least 3 lines that stands at
+an earlier place as well.
 
 Only lines' 60-bit hashes and positions are shuffled, and the text once at the end.  The first position of a fingerprint is an
-aggregate (pre-aggregated on the map side), not a list, so a line in a third of all documents costs one row per occurrence.  A document's lines are
+aggregate (pre-aggregated on the map side), not a list, so a line in a third of all documents costs one row per place.  A document's lines are
 carried once per source it meets, and of the source only the lines within reach; a match inside a run already found is not extended again, so
 a text of n equal lines takes one extension.
 Deletions refer to the original texts: a run is deleted even where the first occurrence itself lies in a deleted run of its own document.
 
 Null text stays null.  Empty texts and texts with under three lines stay as they are.  Rows that share a doc_id are one document in positions
-and must have one text; rows with a null doc_id stay as they are.  Other columns are kept untouched.  An empty table gives an empty table.
+and must have one text; rows with a null doc_id stay as they are; of rows that share a doc_id but not the text any one's lines
+may stand for all.  Other columns are kept untouched; where one is named as the number of lines removed, that number's name gets underscores behind it.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut, drop
+from ._store import cut, drop, free_names
 from ._worker import task
 
-SHINGLE = 2
-WINDOW = 2
-LEAST_LINES = WINDOW + SHINGLE - 1
+WINDOW = 3
+LEAST_LINES = WINDOW
 
 
 def _hash(value: Column) -> Column:
@@ -50,16 +51,34 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """doc_id, p (where the window starts among the lines), g (the fingerprint that it chose, its side in the window, and the window's other line)."""
-
-    def window(i: Column) -> Column:
-        h = [F.get("h", i + n) for n in range(LEAST_LINES)]
-        left, right = F.struct(h[0].alias("h1"), h[1].alias("h2")), F.struct(h[1].alias("h1"), h[2].alias("h2"))
-        chosen = F.when(right <= left, F.struct(right.alias("pair"), F.lit(1).alias("side"), h[0].alias("third")))
-        return F.struct(i.alias("p"), chosen.otherwise(F.struct(left.alias("pair"), F.lit(0).alias("side"), h[2].alias("third"))).alias("g"))
-
-    windows = F.transform(F.sequence(F.lit(0), F.size("h") - LEAST_LINES), window)
-    return lines.select("doc_id", F.explode(windows).alias("x")).select("doc_id", "x.p", "x.g")
+    """doc_id, p (a selected line's place among the lines), h (its hash) and starts (of the windows that select it)."""
+
+    def choosers(p: Column) -> Column:
+        def line(i: int) -> Column:
+            return F.get("h", p + i)
+
+        own, starts = line(0), []
+        for behind in range(WINDOW):
+            least = F.lit(True)
+            for i in range(-behind, WINDOW - behind):
+                if i:
+                    least = least & (own <= line(i) if i < 0 else own < line(i))
+            starts.append(F.when(least, p - behind))
+        return F.struct(p.alias("p"), own.alias("h"), F.filter(F.array(*starts), lambda s: s.isNotNull()).alias("starts"))
+
+    places = F.transform(F.sequence(F.lit(0), F.size("h") - 1), choosers)
+    return lines.select("doc_id", F.explode(F.filter(places, lambda x: F.size(x["starts"]) > 0)).alias("x")).select("doc_id", "x.p", "x.h", "x.starts")
+
+
+def seeds_of(lines: DataFrame) -> DataFrame:
+    """doc_id, p, g: the windows (where they start, and their line hashes) that chose a fingerprint which stands at several places."""
+    chosen = cut(fingerprints(lines), "op8-fingerprints")
+    often = chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    met = chosen.join(often, "h").groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    windows = F.transform("starts", lambda i: F.struct(i.alias("p"), F.struct(*(F.get("h", i + n).alias(f"h{n}") for n in range(WINDOW))).alias("g")))
+    out = cut(lines.join(met, "doc_id").select("doc_id", F.explode(windows).alias("x")).select("doc_id", "x.p", "x.g"), "op8-seeds")
+    drop(chosen)
+    return out
 
 
 def runs_of(own: np.ndarray, other: np.ndarray, low: int, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -122,7 +141,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     lines = cut(hashed_lines(docs).dropDuplicates(["doc_id"]), "op8-lines")
-    seeds = fingerprints(lines)
+    seeds = seeds_of(lines)
     first = seeds.groupBy("g").agg(F.min(F.struct("doc_id", "p")).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", F.col("o.doc_id").alias("source_id"), F.col("o.p").alias("q"))
     first = cut(first, "op8-first")
     later = seeds.join(first, "g").filter("doc_id > source_id or p > q")
@@ -134,16 +153,21 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     reach = F.slice("other", low + 1, F.greatest(F.col("high") + F.col("n") - low, F.lit(0)))
     met = sized.join(other, "source_id").select("doc_id", "source_id", "seeds", low.alias("low"), reach.alias("other"))
     out = cut(_extend(met.join(lines, "doc_id")), "op8-runs")
-    drop(lines, first, pairs)
+    drop(lines, seeds, first, pairs)
     return out
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs with repeated runs deleted from ``text``, and ``lines_removed``, the number of lines deleted."""
-    runs = repeated_runs(docs).groupBy(F.col("doc_id").alias("__run_doc")).agg(F.collect_set(F.struct(F.col("from_line").alias("a"), F.col("to_line").alias("b"))).alias("__runs"))
-    joined = docs.withColumn("text", F.col("text").cast("string")).join(cut(runs, "op8-deleted").hint("merge"), F.col("doc_id") == F.col("__run_doc"), "left")
+def line_dedup(docs: DataFrame, removed: str = "lines_removed") -> DataFrame:
+    """The rows of docs with repeated runs deleted from ``text``, and ``removed``, the number of lines deleted."""
+    removed, ident, spans, left = free_names(docs, removed, "run_doc", "runs", "left")
+    found = repeated_runs(docs)
+    runs = found.groupBy(F.col("doc_id").alias(ident)).agg(F.collect_set(F.struct(F.col("from_line").alias("a"), F.col("to_line").alias("b"))).alias(spans))
+    joined = docs.withColumn("text", F.col("text").cast("string")).join(cut(runs, "op8-deleted").hint("merge"), F.col("doc_id") == F.col(ident), "left")
+    drop(found)
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~(F.exists("__runs", lambda r: (i >= r["a"]) & (i <= r["b"])) & x.rlike(r"[^\x20\x09-\x0D]")))
-    out = joined.withColumn("__kept", F.when(F.col("__runs").isNotNull(), kept))
-    out = out.withColumn("lines_removed", F.when(F.col("__runs").isNotNull(), F.size(lines) - F.size("__kept")).otherwise(0))
-    return out.withColumn("text", F.coalesce(F.array_join("__kept", "\n"), "text")).drop("__kept", "__runs", "__run_doc")
+    inside = F.array_distinct(F.flatten(F.transform(spans, lambda r: F.sequence(r["a"], r["b"]))))
+    gone = F.filter(inside, lambda i: F.get(lines, i).rlike(r"[^\x20\x09-\x0D]"))
+    out = joined.withColumn(left, F.when(F.col(spans).isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)))
+    out = out.withColumn(removed, F.when(F.col(spans).isNotNull(), F.size(lines) - F.size(left)).otherwise(0))
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    return out.withColumn("text", F.coalesce(kept, "text")).drop(left, spans, ident)

@@ -15,7 +15,8 @@ Of an exact passage of 50 words in ordinary text, seeds miss 2e-6.  Words are co
 Documents are compared with other documents only, never with themselves.  Of a repeated passage the document with the least doc_id keeps its copy.
 
 Null text reads as empty and stays null; texts under 50 words have no repeats.  Rows that share a doc_id are one document and must
-have one text; rows with a null doc_id stay as they are.  Other columns are kept untouched.  An empty table gives an empty result.
+have one text; rows with a null doc_id stay as they are.  Other columns are kept untouched; where one is named as the number of words removed, that number's name
+gets underscores behind it.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._store import TEXT_ROWS, cut, drop
+from ._store import TEXT_ROWS, cut, drop, free_names
 from ._worker import task
 
 K = 5
@@ -512,11 +513,13 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
     return out
 
 
-def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, identity: float = IDENTITY) -> DataFrame:
-    """The rows of docs with repeated passages cut out of ``text``, and ``words_removed``."""
-    repeats = find_repeats(docs, least_words, identity).select(F.col("doc_id").alias("__id"), F.col("cuts").alias("__cuts"), F.col("words_removed").alias("__gone"))
-    joined = docs.withColumn("text", F.col("text").cast("string")).join(repeats, F.col("doc_id") == F.col("__id"), "left")
-    edges = F.concat(F.array(F.lit(0)), F.transform("__cuts", lambda c: c["b"]))
-    pieces = F.transform(edges, lambda at, i: F.substring("text", at + 1, F.coalesce(F.get("__cuts", i)["a"], F.length("text")) - at))
-    kept = F.when(F.col("__cuts").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text"))
-    return joined.withColumns({"text": kept, "words_removed": F.coalesce("__gone", F.lit(0))}).drop("__id", "__cuts", "__gone")
+def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, identity: float = IDENTITY, removed: str = "words_removed") -> DataFrame:
+    """The rows of docs with repeated passages cut out of ``text``, and ``removed``, the number of words cut."""
+    removed, ident, cuts = free_names(docs, removed, "repeat_doc", "cuts")
+    repeats = find_repeats(docs, least_words, identity).select(F.col("doc_id").alias(ident), F.col("cuts").alias(cuts), F.col("words_removed").alias(removed))
+    joined = docs.withColumn("text", F.col("text").cast("string")).join(repeats, F.col("doc_id") == F.col(ident), "left")
+    edges = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["b"]))
+    pieces = F.transform(edges, lambda at, i: F.substring("text", at + 1, F.coalesce(F.get(cuts, i)["a"], F.length("text")) - at))
+    kept = F.when(F.col(cuts).isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text"))
+    out = joined.withColumn("text", kept).select(*docs.columns, F.coalesce(removed, F.lit(0)).alias(removed))
+    return out

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import TEXT_ROWS, cut
+from ._store import TEXT_ROWS, cut, free_names
 from ._worker import memo, task
 
 MAX_TRAINING = 20_000
@@ -44,7 +44,8 @@ QUOTED = 0.25
 FUZZY = 0.7
 SLOT, HELD_OUT = 4, 2
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: A run of letters; a digit or two, or a symbol or two that can stand for a letter, between letters belong to the word, so that disguises are edits of it.
+_WORD = re.compile(r"[^\W\d_]+(?:[\d@$!*+|€]{1,2}[^\W\d_]+)*")
 _TOKEN = re.compile(r"\S+")
 _OPEN, _CLOSE = set("\"“„«‹‘"), set("\"”“»›’")
 #: Words of reporting (fixed values).
@@ -339,6 +340,11 @@ def scorer(model: dict):
     return F.arrow_udf(run, "double")
 
 
-def toxicity(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of docs with ``toxicity``, the score of their text."""
-    return docs.withColumn("toxicity", scorer(model)(F.col("text").cast("string")))
+def toxicity(docs: DataFrame, model: dict, score: str = "toxicity") -> DataFrame:
+    """The rows of docs with ``score``, that of their text; where docs has a column of that name, the score's gets underscores behind it."""
+    return docs.withColumn(free_names(docs, score)[0], scorer(model)(F.col("text").cast("string")))
+
+
+def not_toxic(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is under the threshold."""
+    return docs.filter(scorer(model)(F.col("text").cast("string")) < threshold)

@@ -18,14 +18,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from ._store import cut, drop, fresh_path
+from ._store import cut, delete, drop, fresh_path
 
 SEPARATOR = "\r\n\r\n"
 LEAST_REVISIT_BYTES = 100
@@ -98,7 +98,8 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """The named fields of a record head at ``at`` and where its block starts, or None."""
     if not data.startswith(b"WARC/1.", at):
         return None
-    stop = data.find(b"\r\n\r\n", at)
+    following = data.find(b"\r\nWARC/1.", at)
+    stop = data.find(b"\r\n\r\n", at, following + 4 if following >= 0 else len(data))
     if stop < 0:
         return None
     fields = {}
@@ -132,14 +133,31 @@ def salvage_plain(data: bytes, base: int = 0) -> Iterator[tuple]:
                     yield "record", base + at, fields, block
                     at = min(end, stop + 4)
                     continue
-        following = data.find(b"WARC/1.", at + 1)
-        while following >= 0 and _header(data, following) is None:
-            following = data.find(b"WARC/1.", following + 1)
+        following = _next_head(data, at + 1)
         following = end if following < 0 else following
         yield "gap", base + at, base + following, reason
         at = following
 
 
+def _next_head(data: bytes, at: int) -> int:
+    """Where the next record head begins that is whole, or -1."""
+    while (at := data.find(b"WARC/1.", at)) >= 0 and _header(data, at) is None:
+        at += 1
+    return at
+
+
+class _Ahead:
+    """The first place at or behind a moving one that ``find`` gives; it is looked for again only when it is passed, so a file is searched once."""
+
+    def __init__(self, data: bytes, find: Callable[[bytes, int], int]):
+        self.data, self.find, self.at = data, find, None
+
+    def __call__(self, at: int) -> int:
+        if self.at is None or 0 <= self.at < at:
+            self.at = self.find(self.data, at)
+        return self.at
+
+
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, bool]:
     """What a gzip member at ``at`` yields, where it ends, and whether it is whole."""
     stream, out, i, view = zlib.decompressobj(31), [], at, memoryview(data)
@@ -171,6 +189,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
     Of a damaged member the records before the damage are kept; the search goes on with the next member that begins well.
     """
     at, end = 0, len(data)
+    member, head = _Ahead(data, _next_member), _Ahead(data, _next_head)
     while at < end:
         if data.startswith(b"\x1f\x8b\x08", at):
             body, stop, whole = _inflate(data, at)
@@ -184,18 +203,14 @@ def salvage(data: bytes) -> Iterator[tuple]:
                     yield "record", at, *item[2:]
             reason = "damaged member"
         elif _header(data, at):
-            stop = _next_member(data, at)
+            stop = member(at)
             stop = end if stop < 0 else stop
             yield from salvage_plain(data[at:stop], at)
             at = stop
             continue
         else:
             reason = "no member or version line"
-        member = _next_member(data, at + 1)
-        plain = data.find(b"WARC/1.", at + 1)
-        while plain >= 0 and _header(data, plain) is None:
-            plain = data.find(b"WARC/1.", plain + 1)
-        following = min((x for x in (member, plain) if x >= 0), default=end)
+        following = min((x for x in (member(at + 1), head(at + 1)) if x >= 0), default=end)
         yield "gap", at, following, reason
         at = following
 
@@ -254,4 +269,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     if n:
         raise RuntimeError(f"{n} gaps in the archives under {path}: see {lost._paperloom_path}")
     drop(read, lost)
+    delete(spark, path)
     return out
