@@ -2,6 +2,10 @@
 
 Every stage takes all rows its predecessor kept, and all but the last return the columns of documents.  ``n_chars``, where there is such a
 column, follows the text.
+
+In every stage null and empty texts are kept (they score as clean, hold no lines, shingles or passages, and pack as the end id alone), rows with a null
+doc_id are kept as they are, texts of any length are taken whole, and an empty table gives an empty table.  Of rows that repeat a doc_id and text all stay or all
+go, but in packing, where each is packed on its own.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from paperloom.llm.line_dedup import line_dedup
 from paperloom.llm.near_dedup import near_duplicates
 from paperloom.llm.packing import pack
 from paperloom.llm.substring_dedup import substring_dedup
-from paperloom.llm.toxicity import THRESHOLD, learn, toxicity
+from paperloom.llm.toxicity import learn, not_toxic
 
 
 def _as_documents(changed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -27,7 +31,7 @@ def _as_documents(changed: DataFrame, docs: DataFrame) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold."""
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity(docs, model).filter(F.col("toxicity") < THRESHOLD).select(docs.columns)
+    return not_toxic(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
