@@ -17,22 +17,35 @@ LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
 #: Words that mark a line as part of a table (fixed values).
 TABLE_WORDS = ("qty", "quantity", "amount", "rate", "price", "description", "item", "total")
 
-#: Prompt rule for each language (fixed keys).
-LANGUAGE_RULES = {
-    "hindi": "Devanagari script; mind the vowel signs.",
-    "marathi": "Devanagari script; mind the vowel signs.",
-    "bengali": "Bengali script; mind joined consonants.",
-    "tamil": "Tamil script; letters are rounded.",
-    "telugu": "Telugu script; letters are rounded.",
-    "kannada": "Kannada script.",
-    "gujarati": "Gujarati script; like Devanagari without the top line.",
-    "malayalam": "Malayalam script.",
-    "odia": "Odia script.",
-    "punjabi": "Gurmukhi script.",
-    "urdu": "Urdu in Nastaliq, from right to left.",
-    "english": "",
-    "mixed": "Several languages or scripts; take all text that can be seen.",
+#: Languages that a scan may name, and the script that each is written in, by its name in the Unicode standard (fixed keys).
+SCRIPTS = {
+    "bengali": "Bengali",
+    "english": "Latin",
+    "gujarati": "Gujarati",
+    "hindi": "Devanagari",
+    "kannada": "Kannada",
+    "malayalam": "Malayalam",
+    "marathi": "Devanagari",
+    "odia": "Oriya",
+    "punjabi": "Gurmukhi",
+    "tamil": "Tamil",
+    "telugu": "Telugu",
+    "urdu": "Arabic",
 }
+MIXED = "mixed"
+
+
+def _rule(language: str) -> str:
+    """What a prompt says about a language: nothing of the model's own."""
+    script = SCRIPTS[language]
+    if script == "Latin":
+        return ""
+    first, last = ("right", "left") if script == "Arabic" else ("left", "right")
+    return f"Transcribe {language.title()} in Unicode's {script} block, reading each line from {first} to {last}."
+
+
+#: Prompt rule of each language.
+LANGUAGE_RULES = {language: _rule(language) for language in SCRIPTS} | {MIXED: "Name the language of each part that is not in the page's main one."}
 
 
 #: Characters with the Unicode property White_Space.
@@ -107,7 +120,7 @@ def language_word(reply: Column | str) -> Column:
     """The language that a scan reply names: its first word's letters, or ``mixed``."""
     reply = F.col(reply) if isinstance(reply, str) else reply
     word = F.regexp_replace(F.get(F.split(strip(F.lower(reply)), r"(?U)\s+"), F.lit(0)), "[^a-z]", "")
-    return F.when(word.isin(*LANGUAGE_RULES), word).otherwise("mixed")
+    return F.when(word.isin(*LANGUAGE_RULES), word).otherwise(MIXED)
 
 
 def language_rule(language: Column | str) -> Column:

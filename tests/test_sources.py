@@ -76,7 +76,7 @@ def test_recorded_replies_to_results(spark):
 
 
 def test_service_failure_is_a_reply(spark):
-    assert replies.ServiceReplies("http://127.0.0.1:9").ask(b"", "x").startswith("ERROR:")
+    assert replies.ServiceReplies("http://127.0.0.1:9").ask(b"", "x", "qwen").startswith("ERROR:")
     assert "[LANGUAGE CONTEXT]" in spark.range(1).select(replies.prompt("tamil")).first()[0]
 
 
