@@ -5,6 +5,7 @@ from __future__ import annotations
 from .functions.text import LANGUAGE_RULES
 from .operators.lookups import SOURCES
 from .operators.rules import FIELDS, ZONES
+from .sources.replies import PROMPT
 
 
 def _q(text: str) -> str:
@@ -137,4 +138,22 @@ SELECT doc_id, language, rule, CASE WHEN language = 'english' THEN 'qwen' ELSE '
     "clean_fields": "SELECT event_id, '' AS a, event_type || chr(10) || 'end' AS b FROM events",
     "filter_condition": "SELECT o_orderkey AS _id, 'success' AS status FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0",
     "stream_results_batches": "SELECT event_id, 'master_vlm_json' AS source FROM events",
+    "upload_events": """
+SELECT 'job-' || doc_id // 25 AS job_id, 'result' AS event, (doc_id % 25 + 1)::INTEGER AS idx, 'f' || doc_id || '.png' AS name,
+  CASE WHEN doc_id % 7 = 3 THEN 'vlm_parsing_failed' ELSE concat_ws('|', 'local_vlm', lang, doc_id) END AS data, 0::INTEGER AS files FROM documents
+UNION ALL SELECT 'job-' || doc_id // 25, 'done', 0, NULL, NULL, count(*)::INTEGER FROM documents GROUP BY doc_id // 25""",
+    "routed_calls": f"""
+WITH r(language, rule) AS (VALUES {_RULE_ROWS}), d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'urdu' WHEN 'fr' THEN 'punjabi' ELSE 'mixed' END AS language FROM documents)
+SELECT doc_id, language, CASE WHEN language = 'english' THEN 'qwen' ELSE 'minicpm' END AS model,
+  md5({_q(PROMPT)} || CASE WHEN rule <> '' THEN chr(10) || '[LANGUAGE CONTEXT]: ' || rule ELSE '' END) AS prompt_md5 FROM d JOIN r USING (language)""",
+    "filter_tree": """
+SELECT o_orderkey AS _id, CASE WHEN o_orderstatus = 'F' THEN 'success' ELSE 'failed' END AS status FROM orders
+WHERE (o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')) OR (o_orderstatus <> 'O' AND NOT (o_totalprice >= 1000) AND o_orderdate < DATE '1998-01-01')""",
+    "flat_records": """
+SELECT o_orderkey, c_name AS "Customer", CASE WHEN o_orderkey % 3 <> 0 THEN 'B' || o_orderkey END AS "Bill No", o_custkey AS "Lines", (o_orderkey % 2 = 0) AS "Paid", 'local_vlm' AS _source
+FROM orders JOIN customer ON c_custkey = o_custkey""",
+    "table_delete": """
+SELECT o_orderkey AS _id, CASE WHEN o_orderstatus = 'F' THEN 'success' ELSE 'failed' END AS status, true AS found, false AS found_again FROM orders WHERE o_orderkey <> 7""",
+    "table_history": """
+SELECT o_orderkey::VARCHAR AS _id, strftime(date_trunc('month', o_orderdate), '%Y-%m-%dT%H:%M:%S') AS created_at FROM orders ORDER BY date_trunc('month', o_orderdate) DESC, o_orderkey DESC LIMIT 20""",
 }

@@ -45,3 +45,19 @@ def results(replies: DataFrame, keys: tuple[str, ...] = ("doc_id",), url: str =
 def filter_results(df: DataFrame, condition: str) -> DataFrame:
     """Results that meet a SQL condition; a translator from plain language would supply the condition."""
     return df.filter(F.expr(condition))
+
+
+def flat_records(df: DataFrame, fields: str = "fields", source: str = "_source") -> DataFrame:
+    """The dynamic fields (a JSON object as text) as typed columns, after the other columns of df and before the source, whose name no field may take.
+
+    The types are those that all rows agree on, found by one aggregate; what rows disagree on stays a variant.  A field that a row lacks is null.
+    """
+    others = [c for c in df.columns if c not in (fields, source)]
+    seen = df.select(F.try_parse_json(fields).alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    shape = seen.agg(F.schema_of_variant_agg("v").alias("s")).first()["s"] or "OBJECT<>"
+    ddl = shape.replace("OBJECT<", "STRUCT<").replace(": VOID", ": STRING")
+    if ddl in ("STRUCT<>", "VOID"):
+        return df.select(*others, source)
+    typed = df.withColumn("flat", F.try_variant_get(F.try_parse_json(fields), "$", ddl))
+    names = [n for n in typed.schema["flat"].dataType.names if n not in (*others, source)]
+    return typed.select(*others, *(F.col("flat").getField(n).alias(n) for n in names), source)

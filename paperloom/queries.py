@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +12,13 @@ from .functions.records import hide_private
 from .operators import clean, lookups, parse, report, segments, template
 from .operators.rules import FIELDS
 from .oracles import ORACLE_SQL
+from .plans import extraction
 from .plans.extraction import results
-from .sources import store
+from .plans.predicates import compile_filter
+from .sources import scratch, store
+from .sources.replies import prompt
 from .streaming.results import file_stream, stream_results
+from .streaming.uploads import run_uploads
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -291,11 +293,79 @@ def filter_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def stream_results_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event replies taken through a stream of files; the same rows as in batch."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="paperloom-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = scratch.fresh_path(spark, "stream")
     events = _table(spark, sf_dir, "events").select("event_id", "props")
     events.repartition(2).write.parquet(f"{at}/in")
     source = file_stream(spark, f"{at}/in", events.schema)
     query = stream_results(source, lambda df: df.select("event_id", parse.envelope("props")["_source"].alias("source")), f"{at}/out", f"{at}/checkpoint")
     query.awaitTermination()
     return spark.read.parquet(f"{at}/out").select("event_id", "source")
+
+
+@_query
+def upload_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as uploads of 25 files a job, taken through the streams: an event per file with its result, and one per job when it is done."""
+    docs, at = _table(spark, sf_dir, "documents"), scratch.fresh_path(spark, "uploads")
+    reply = F.when(F.col("doc_id") % 7 == 3, F.lit("ERROR: down")).otherwise(
+        F.to_json(F.struct(F.struct(F.col("source").alias("Customer"), F.col("doc_id").cast("string").alias("Bill No")).alias("native_json"), F.struct(F.col("lang").alias("detected_language")).alias("metadata")))
+    )
+    files = docs.select(F.concat(F.lit("job-"), F.floor(F.col("doc_id") / 25)).alias("job_id"), (F.col("doc_id") % 25 + 1).cast("int").alias("idx"), F.concat(F.lit("f"), "doc_id", F.lit(".png")).alias("name"), reply.alias("reply"))
+    files.repartition(2).write.parquet(f"{at}/files")
+    files.groupBy("job_id").agg(F.count(F.lit(1)).cast("int").alias("files")).coalesce(1).write.json(f"{at}/manifests")
+
+    def extract(batch: DataFrame) -> DataFrame:
+        done = batch.select("job_id", "idx", "name", parse.extraction("reply").alias("x"))
+        bill = F.get_json_object("x.fields", "$['Bill No']")
+        return done.select("job_id", "idx", "name", F.concat_ws("|", "x._source", F.get_json_object("x.fields", "$.metadata.detected_language"), bill).alias("data"))
+
+    events = run_uploads(spark, file_stream(spark, f"{at}/files", files.schema), f"{at}/manifests", extract, at)
+    return events.select("job_id", "event", F.coalesce("idx", F.lit(0)).alias("idx"), "name", "data", F.coalesce("files", F.lit(0)).alias("files"))
+
+
+@_query
+def routed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked for every document after a scan that named its language: the model it goes to, and its prompt."""
+    names = F.create_map(*(F.lit(x) for pair in {"en": "English.", "de": "  Urdu\n", "fr": "punjabi, I think"}.items() for x in pair))
+    language = T.language_word(F.coalesce(F.try_element_at(names, F.col("lang")), F.col("lang")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", language.alias("language"))
+    return docs.select("doc_id", "language", T.model_for("language").alias("model"), F.md5(prompt(F.col("language")).cast("binary")).alias("prompt_md5"))
+
+
+@_query
+def filter_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that meet a condition given as a tree, on fields of structs and maps."""
+    orders = _table(spark, sf_dir, "orders")
+    found = F.create_map(F.lit("status"), "o_orderstatus", F.lit("total"), F.col("o_totalprice").cast("string"))
+    meta = F.struct(F.col("o_orderpriority").alias("priority"), F.to_date("o_orderdate").alias("day"))
+    table = orders.select(F.col("o_orderkey").alias("_id"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("failed").alias("status"), found.alias("fields"), meta.alias("metadata"))
+    urgent = {"and": [{"field": "status", "op": "=", "value": "success"}, {"field": "metadata.priority", "op": "in", "value": ["1-URGENT", "2-HIGH"]}]}
+    cheap = {"and": [{"field": "fields.status", "op": "<>", "value": "O"}, {"not": {"field": "fields.total", "op": ">=", "value": 1000}}, {"field": "metadata.day", "op": "<", "value": "1998-01-01"}]}
+    return table.filter(compile_filter({"or": [urgent, cheap]}, table.schema)).select("_id", "status")
+
+
+@_query
+def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of differing fields as typed columns."""
+    orders = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    bill = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("B"), "o_orderkey"))
+    fields = F.to_json(F.struct(F.col("c_name").alias("Customer"), bill.alias("Bill No"), F.col("o_custkey").alias("Lines"), (F.col("o_orderkey") % 2 == 0).alias("Paid")))
+    return extraction.flat_records(orders.select("o_orderkey", fields.alias("fields"), F.lit("local_vlm").alias("_source")))
+
+
+def _result_table(spark: SparkSession, sf_dir: str) -> store.ResultTable:
+    table = store.ResultTable(spark, scratch.fresh_path(spark, "results"), buckets=4)
+    table.save(_stored(spark, sf_dir).withColumn("created_at", F.date_trunc("month", "created_at")))
+    return table
+
+
+@_query
+def table_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a table of results holds after one of them is deleted, and whether it was found, once and again."""
+    table = _result_table(spark, sf_dir)
+    found, again = table.delete(7), table.delete(7)
+    return table.rows().select("_id", "status", F.lit(found).alias("found"), F.lit(again).alias("found_again"))
+
+
+@_query
+def table_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _result_table(spark, sf_dir).history().select("_id", "created_at")

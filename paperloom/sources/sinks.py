@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import io
+import json
 import os
+import uuid
 import zipfile
+from collections import Counter
+from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -70,20 +76,62 @@ def workbooks(df: DataFrame, fields: str, name: str) -> DataFrame:
     return df.select(F.col(name).alias("name"), build(F.map_keys(fields), F.map_values(fields)).alias("xlsx"))
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    attempt: str
+    names: list[str]
+
+
 class _FileWriter(DataSourceWriter):
+    """Files go to a folder of each attempt of a task; the commit moves those of the attempts that count, an abort leaves nothing."""
+
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder = folder if "://" in folder else f"file://{os.path.abspath(folder.removeprefix('file:'))}"
+        self.attempts = f"_attempts-{uuid.uuid4().hex}"
+
+    def _at(self, *parts: str) -> tuple[pyarrow.fs.FileSystem, str]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(self.folder.rstrip("/"))
+        return fs, "/".join([base, *parts])
 
     def write(self, rows):
-        os.makedirs(self.folder, exist_ok=True)
+        attempt, names = uuid.uuid4().hex, []
+        fs, base = self._at(self.attempts, attempt)
+        fs.create_dir(base, recursive=True)
         for row in rows:
-            with open(os.path.join(self.folder, row["name"]), "wb") as f:
-                f.write(row["content"])
-        return WriterCommitMessage()
+            name = row["name"]
+            if not name or any(part in ("", ".", "..") for part in name.split("/")) or name.startswith("_attempts-"):
+                raise ValueError(f"not a file name: {name!r}")
+            fs.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(f"{base}/{name}") as f:
+                f.write(bytes(row["content"] or b""))
+            names.append(name)
+        return _Written(attempt, names)
+
+    def commit(self, messages) -> None:
+        done = [(m.attempt, n) for m in messages if m is not None for n in m.names]
+        twice = [n for n, k in Counter(n for _, n in done).items() if k > 1]
+        if twice:
+            self.abort(messages)
+            raise ValueError(f"several rows have the name {twice[0]!r}")
+        fs, base = self._at("")
+        for folder in {n.rpartition("/")[0] for _, n in done}:
+            fs.create_dir(base + folder, recursive=True)
+        for attempt, name in done:
+            fs.move(f"{base}{self.attempts}/{attempt}/{name}", base + name)
+        self.abort(messages)
+
+    def abort(self, messages) -> None:
+        fs, base = self._at(self.attempts)
+        if fs.get_file_info(base).type == pyarrow.fs.FileType.Directory:
+            fs.delete_dir(base)
 
 
 class NamedFiles(DataSource):
-    """A sink of rows (name, content) as files in a folder that all executors share."""
+    """A sink of rows (name, content) as files in a folder that all executors share; names may lead into subfolders, not out of it.
+
+    Nothing stands under its name before all tasks are through; attempts that failed or ran twice leave no file.  Names are unique in a write; a file of an earlier write is
+    replaced.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -93,10 +141,41 @@ class NamedFiles(DataSource):
         return "name string, content binary"
 
     def writer(self, schema, overwrite: bool) -> _FileWriter:
-        return _FileWriter(self.options["path"].removeprefix("file://"))
+        return _FileWriter(self.options["path"])
 
 
 def write_files(spark: SparkSession, df: DataFrame, folder: str) -> None:
     """Write rows (name, content) as files."""
     spark.dataSource.register(NamedFiles)
     df.select("name", "content").write.format("namedfiles").mode("append").save(folder)
+
+
+def json_files(df: DataFrame, payload: str, base: str, at: Column) -> DataFrame:
+    """name and content of a pretty JSON file per row."""
+    return df.select(export_name(base, "layout_data", at, ".json").alias("name"), pretty_json(payload).cast("binary").alias("content"))
+
+
+def report_files(df: DataFrame, report: str, base: str, at: Column) -> DataFrame:
+    """name and content of a text report per row."""
+    return df.select(export_name(base, "report", at, ".txt").alias("name"), F.col(report).cast("binary").alias("content"))
+
+
+#: Members of a reply that debug files are made of, and their files' names (fixed).
+DEBUG_FILES = {"native_json": "native_json.json", "english_json": "english_json_en.json", "native_layout_text": "native_layout_text.txt", "english_layout_text": "english_layout_text_en.txt"}
+
+
+def debug_files(df: DataFrame, fields: str, base: str) -> DataFrame:
+    """name and content of the four debug files of each row whose ``fields`` (a reply's JSON object) can be read, in a folder per document; members that lack are ``{}``."""
+    parsed = F.try_parse_json(fields)
+
+    @F.pandas_udf("string")
+    def indented(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json.dumps(json.loads(t), ensure_ascii=False, indent=4), na_action="ignore")
+
+    files = []
+    for member, name in DEBUG_FILES.items():
+        value = F.try_variant_get(parsed, f"$.{member}", "variant")
+        text = F.try_variant_get(parsed, f"$.{member}", "string") if name.endswith(".txt") else F.lit(None).cast("string")
+        shown = F.coalesce(text, indented(F.get_json_object(fields, f"$.{member}")) if name == "native_json.json" else F.to_json(value), F.lit("{}"))
+        files.append(F.struct(F.concat(safe_name(F.regexp_replace(base, r"\.[^.]*$", "")), F.lit(f"/{name}")).alias("name"), shown.cast("binary").alias("content")))
+    return df.filter(parsed.isNotNull()).select(F.explode(F.array(*files)).alias("f")).select("f.name", "f.content")

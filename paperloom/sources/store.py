@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 HEAVY = {"ocr": ("texts", "layout"), "layout": ("regions",)}
 DEFAULTS = {"json_url": "", "excel_url": "", "txt_report_url": "", "gsheets_synced": False}
 
@@ -70,3 +72,70 @@ def valid_id(key: Column | str) -> Column:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+class ResultTable:
+    """Stored results laid out by day and, within a day, by the hash of their id.
+
+    A lookup by id reads one bucket of each day, and of its files only row groups whose Bloom filter may hold the id; history reads the newest days that hold as many rows as it
+    shows; a deletion rewrites one bucket of one day.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, key: str = "_id", at: str = "created_at"):
+        self.spark, self.path, self.buckets, self.key, self.at = spark, path.rstrip("/"), buckets, key, at
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        writer = rows.repartition("day", "bucket").sortWithinPartitions(self.key).write.mode(mode).partitionBy("day", "bucket")
+        writer.option(f"parquet.bloom.filter.enabled#{self.key}", "true").option("partitionOverwriteMode", "dynamic").parquet(self.path)
+
+    def save(self, documents: DataFrame) -> None:
+        self._write(documents.withColumns({"day": F.to_date(self.at), "bucket": self._bucket(F.col(self.key))}), "append")
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def get(self, key) -> DataFrame:
+        """The result of an id: PartitionFilters on the bucket, PushedFilters on the id."""
+        rows = self.rows()
+        own = F.lit(key).cast(rows.schema[self.key].dataType)
+        return rows.filter((F.col("bucket") == self._bucket(own)) & (F.col(self.key) == own)).limit(1)
+
+    def delete(self, key) -> bool:
+        """Remove an id's result and say whether there was one."""
+        there = self.get(key).select("day", "bucket").first()
+        if there is None:
+            return False
+        day, bucket = there
+        same = F.col("day").eqNullSafe(F.lit(day).cast("date")) & (F.col("bucket") == bucket)
+        left, at = self.rows().filter(same & (F.col(self.key) != key)), scratch.fresh_path(self.spark, "bucket")
+        left.write.parquet(at)
+        left = self.spark.read.schema(left.schema).parquet(at)
+        if left.isEmpty():
+            named = "__HIVE_DEFAULT_PARTITION__" if day is None else str(day)
+            scratch.delete(self.spark, f"{self.path}/day={named}/bucket={bucket}")
+        else:
+            self._write(left, "overwrite")
+        scratch.delete(self.spark, at)
+        return True
+
+    def days(self) -> list[str]:
+        """The days that have a folder, newest first."""
+        fs, p = scratch.hadoop_path(self.spark, self.path)
+        names = (status.getPath().getName() for status in fs.listStatus(p))
+        return sorted((n.removeprefix("day=") for n in names if n.startswith("day=") and not n.endswith("__HIVE_DEFAULT_PARTITION__")), reverse=True)
+
+    def newest(self, limit: int) -> DataFrame:
+        """The rows of the newest days that hold at least ``limit`` rows, of all days if they are fewer; days are tried in doubling numbers, by their newest rows' count alone."""
+        days, n = self.days(), 1
+        while n < len(days):
+            some = self.rows().filter(F.col("day") >= F.lit(days[n - 1]).cast("date"))
+            if some.select("day").limit(limit).count() >= limit:
+                return some
+            n *= 2
+        return self.rows()
+
+    def history(self, limit: int = 20) -> DataFrame:
+        return history(self.newest(limit), limit, self.at, self.key).drop("day", "bucket")
