@@ -5,7 +5,7 @@ White space is Unicode white space, as ``(?U)\\s``; Spark's own trim would strip
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NOT_DETECTED = "Not Detected"
@@ -57,6 +57,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row, however many later columns take parts of it.
+
+    A plain projection would be merged with those that read it, and a value made by lambda functions computed again for each of them.
+    """
+    return df.drop(name).select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def strip(value: Column | str) -> Column:
     return F.btrim(value, F.lit(_BLANKS))
 

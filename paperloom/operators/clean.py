@@ -23,7 +23,7 @@ def _top_count(words: Column) -> Column:
     def step(s: Column, w: Column) -> Column:
         return let(F.when(s["w"] == w, s["n"] + 1).otherwise(1), lambda n: F.struct(w.alias("w"), n.alias("n"), F.greatest(s["best"], n).alias("best")))
 
-    return F.aggregate(F.array_sort(words), start, step, lambda s: s["best"])
+    return F.aggregate(F.sort_array(words), start, step, lambda s: s["best"])
 
 
 def top_word_count(text: Column | str) -> Column:
@@ -35,17 +35,23 @@ def word_count(text: Column | str) -> Column:
     return F.size(_words(text))
 
 
-def strip_repetition(text: Column | str) -> Column:
-    """The text, or nothing where one word is more than 60 % of it or it begins with five numbers."""
+def repetition(text: Column | str) -> Column:
+    """n_words, top_count (how often the most frequent word occurs) and emptied (whether the filter leaves nothing), from one pass over the words."""
     text = F.col(text) if isinstance(text, str) else text
 
-    def judge(words: Column) -> Column:
-        n = F.size(words)
-        short = (F.length(text) < LEAST_LENGTH) | (n < LEAST_WORDS)
-        bad = F.when(~short, (_top_count(words) / n > TOP_SHARE) | strip(text).rlike(r"(?U)^(\d+\s+){5,}"))
-        return F.when(F.coalesce(bad, F.lit(False)), "").otherwise(text)
+    def judge(c: Column) -> Column:
+        short = (F.length(text) < LEAST_LENGTH) | (c["n"] < LEAST_WORDS)
+        bad = F.when(~short, (c["top"] / c["n"] > TOP_SHARE) | strip(text).rlike(r"(?U)^(\d+\s+){5,}"))
+        return F.struct(c["n"].alias("n_words"), c["top"].alias("top_count"), F.coalesce(bad, F.lit(False)).alias("emptied"))
+
+    counted = let(_words(text), lambda words: F.struct(F.size(words).alias("n"), _top_count(words).alias("top")))
+    return let(counted, judge)
+
 
-    return let(_words(text), judge)
+def strip_repetition(text: Column | str) -> Column:
+    """The text, or nothing where one word is more than 60 % of it or it begins with five numbers."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(repetition(text)["emptied"], "").otherwise(text)
 
 
 def dedup_markdown(text: Column | str) -> Column:

@@ -45,7 +45,7 @@ def envelope(reply: Column | str) -> Column:
 
 
 def extraction(reply: Column | str, url: str = "") -> Column:
-    """The extraction result of one reply: fields (a JSON object as text), is_invoice and _source.
+    """The extraction result of one reply: fields (a JSON object as text), is_invoice and _source, and of the fields spoken, twin (both texts) and meta (JSON).
 
     The object's own keys come first, then full_extraction, english_extraction and metadata, which replace own keys of those names.  A
     reply that is not JSON gives its first 1000 characters; one whose ``native_json`` is not an object gives the failure record.
@@ -78,7 +78,13 @@ def _extraction(reply: Column, is_json: Column, shape: Column, own: Column, url:
     record = F.concat(F.lit("{"), F.array_join(F.concat(items, added), ","), F.lit("}"))
     source = "kaggle_remote_vlm" if REMOTE_MARK in url else "local_vlm"
     missing = F.coalesce(F.nullif(F.substring(reply, 1, SHOWN_ON_FAILURE), F.lit("")), F.lit("No response"))
-    failed = F.struct(F.lit("{}").alias("fields"), F.lit(False).alias("is_invoice"), F.lit("failed").alias("_source"))
-    unread = F.struct(F.to_json(F.struct(missing.alias("full_extraction"))).alias("fields"), F.lit(False).alias("is_invoice"), F.lit("vlm_parsing_failed").alias("_source"))
-    good = F.struct(record.alias("fields"), F.lit(True).alias("is_invoice"), F.lit(source).alias("_source"))
+    none = F.lit(None).cast("string")
+
+    def result(fields: Column, good: bool, source: str, spoken: Column, twin: Column, meta: Column) -> Column:
+        return F.struct(fields.alias("fields"), F.lit(good).alias("is_invoice"), F.lit(source).alias("_source"), spoken.alias("spoken"), twin.alias("twin"), meta.alias("meta"))
+
+    failed = result(F.lit("{}"), False, "failed", none, none, none)
+    unread = result(F.to_json(F.struct(missing.alias("full_extraction"))), False, "vlm_parsing_failed", missing, none, none)
+    texts = (F.coalesce(shape[c], F.lit("")) for c in ("native_layout_text", "english_layout_text"))
+    good = result(record, True, source, *texts, F.coalesce(F.to_json(shape["metadata"]), F.lit("{}")))
     return F.when(is_json, F.when(own.isNotNull(), good).otherwise(failed)).otherwise(unread)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import ENTRY, by_normal_key, entries, let, usable
-from ..functions.text import normalize_key, split_lines, strip
+from ..functions.text import normalize_key, split_lines, strip, with_once
 from .rules import FIELDS, TEMPLATE_VERSION, ZONES
 
 RAW_TEXT_SHOWN = 2000
@@ -81,14 +81,20 @@ def table_items(text: Column | str) -> Column:
     def cells(line: Column) -> Column:
         return F.transform(F.split(F.btrim(line, F.lit("|")), r"\|", -1), strip)
 
-    def row(line: Column) -> Column:
-        header = F.transform(cells(F.get(lines, F.lit(0))), lambda x: F.lower(x))
-        names = F.array_distinct(header)
-        values = F.transform(names, lambda n: F.get(cells(line), F.array_size(header) - F.array_position(F.reverse(header), n).cast("int")))
-        return F.map_from_arrays(names, values)
+    def header(found: Column) -> Column:
+        """The table's header as distinct names, each with the last place that it stands at."""
+        names = F.transform(cells(F.get(found, F.lit(0))), lambda x: F.lower(x))
+        return let(names, lambda own: F.struct(F.array_distinct(own).alias("names"), F.transform(F.array_distinct(own), lambda n: F.size(own) - F.array_position(F.reverse(own), n).cast("int")).alias("at"), F.size(own).alias("n")))
 
-    rows = F.filter(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), lambda x: ~F.contains(x, F.lit("---")) & (F.size(cells(x)) >= F.size(cells(F.get(lines, F.lit(0))))))
-    return F.when(F.size(lines) >= 3, F.transform(rows, row)).otherwise(F.array().cast("array<map<string,string>>"))
+    def rows(found: Column, head: Column) -> Column:
+        body = F.filter(F.slice(found, 3, F.greatest(F.size(found) - 2, F.lit(0))), lambda x: ~F.contains(x, F.lit("---")))
+        split = F.filter(F.transform(body, cells), lambda c: F.size(c) >= head["n"])
+        return F.transform(split, lambda c: F.map_from_arrays(head["names"], F.transform(head["at"], lambda i: F.get(c, i))))
+
+    def table(found: Column) -> Column:
+        return F.when(F.size(found) >= 3, let(header(found), lambda head: rows(found, head))).otherwise(F.array().cast("array<map<string,string>>"))
+
+    return let(lines, table)
 
 
 def map_to_template(df: DataFrame, record: str = "record", mode: str = "compatible") -> DataFrame:
@@ -122,7 +128,7 @@ def map_to_template(df: DataFrame, record: str = "record", mode: str = "compatib
 
     aliases = [a for *_, a in FIELDS]
     all_ = F.coalesce(entries(record), F.array().cast(ENTRY))
-    return df.withColumn("template", let(let(all_, parts), lambda x: let(alias_hits(x["items"], aliases), lambda h: whole(x, h))))
+    return with_once(df, "template", let(let(all_, parts), lambda x: let(alias_hits(x["items"], aliases), lambda h: whole(x, h))))
 
 
 def matched_count(template: str = "template") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import with_once
 from ..operators.parse import extraction
 from ..operators.segments import combine
 from ..operators.template import map_to_template
@@ -12,7 +13,8 @@ from ..operators.template import map_to_template
 
 def extract_segments(replies: DataFrame, url: str = "") -> DataFrame:
     """Rows (keys, seg_idx, reply) with the extraction result of each reply."""
-    return replies.withColumn("__x", extraction("reply", url)).select("*", F.col("__x.fields").alias("fields"), F.col("__x.is_invoice").alias("is_invoice"), F.col("__x._source").alias("_source")).drop("__x")
+    found = with_once(replies, "__x", extraction("reply", url))
+    return found.select(*replies.columns, F.col("__x.fields").alias("fields"), F.col("__x.is_invoice").alias("is_invoice"), F.col("__x._source").alias("_source"))
 
 
 def results(replies: DataFrame, keys: tuple[str, ...] = ("doc_id",), url: str = "", mode: str = "compatible") -> DataFrame:
@@ -20,12 +22,9 @@ def results(replies: DataFrame, keys: tuple[str, ...] = ("doc_id",), url: str =
 
     The last segment supplies the structured fields.  A row whose metadata is not an object fails.
     """
-    each = extract_segments(replies, url)
-    spoken = F.from_json("fields", "struct<full_extraction:string,english_extraction:string>")
-    each = each.withColumns({"__text": spoken["full_extraction"], "__twin": spoken["english_extraction"], "__pair": F.struct("fields", "_source")})
+    each = with_once(replies, "__x", extraction("reply", url)).withColumns({"__text": F.col("__x.spoken"), "__twin": F.col("__x.twin"), "__pair": F.struct("__x.fields", "__x._source", "__x.meta")})
     whole = combine(each, list(keys), "seg_idx", "__text", "__twin", "__pair")
-    meta = F.from_json(F.col("vlm_fields.fields"), "map<string,string>")["metadata"]
-    whole = whole.withColumns({"record": F.col("vlm_fields.fields"), "vlm_source": F.col("vlm_fields._source"), "__meta": meta})
+    whole = whole.withColumns({"record": F.col("vlm_fields.fields"), "vlm_source": F.col("vlm_fields._source"), "__meta": F.col("vlm_fields.meta")})
     bad = F.col("__meta").isNotNull() & ~F.coalesce(F.trim("__meta").startswith("{"), F.lit(False))
     language = F.coalesce(F.get_json_object("__meta", "$.detected_language"), F.lit("unknown"))
     mapped = map_to_template(whole, "record", mode)

@@ -16,6 +16,7 @@ from .plans import extraction
 from .plans.extraction import results
 from .plans.predicates import compile_filter
 from .sources import scratch, store
+from .sources.files import spread
 from .sources.replies import prompt
 from .streaming.results import file_stream, stream_results
 from .streaming.uploads import run_uploads
@@ -34,6 +35,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, name).select(*columns))
+
+
 def _money(c: str) -> Column:
     return F.col(c).cast("decimal(18,2)").cast("string")
 
@@ -44,7 +49,7 @@ def _day(c: str) -> Column:
 
 def invoice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One free-form JSON record per order; the number of lines is a JSON number, 0 for orders without lines."""
-    orders = _table(spark, sf_dir, "orders")
+    orders = _spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice")
     names = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
     joined = orders.join(names, "o_custkey").join(lines, "o_orderkey", "left")
@@ -83,7 +88,7 @@ def template_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def template_label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels found in running text."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = _spread(spark, sf_dir, "documents", "doc_id", "text")
     rules = {f: a for f, _, _, a in FIELDS}
     return docs.select("doc_id", *(F.coalesce(template.find_label("text", (*rules[f], f)), F.lit("")).alias(f) for f in ("vendor_name", "vendor_gstin", "invoice_date", "buyer_name")))
 
@@ -109,13 +114,13 @@ def envelope_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 2, F.concat(F.lit("note "), F.col("props"), F.lit(" end")))
         .otherwise(F.concat(F.lit("  no reply for "), F.col("event_type"), F.lit(" ")))
     )
-    return _table(spark, sf_dir, "events").select("event_id", parse.envelope(reply).alias("e")).select("event_id", "e.*")
+    return T.with_once(_table(spark, sf_dir, "events").select("event_id", reply.alias("reply")), "e", parse.envelope("reply")).select("event_id", "e.*")
 
 
 @_query
 def reply_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded replies of two segments per order taken to whole results."""
-    orders = _table(spark, sf_dir, "orders").filter("o_orderkey is not null")
+    orders = _spread(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_totalprice").filter("o_orderkey is not null")
     replies = orders.select("o_orderkey", "o_orderstatus", _money("o_totalprice").alias("t"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seg_idx"))
     body = F.struct(
         F.struct(F.lit("Invoice").alias("classification"), F.lit("english").alias("detected_language")).alias("metadata"),
@@ -129,8 +134,9 @@ def reply_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def repetition_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", clean.word_count("text").alias("n_words"), clean.top_word_count("text").alias("top_count"), (clean.strip_repetition("text") == "").alias("emptied"))
+    docs = _spread(spark, sf_dir, "documents", "doc_id", "text")
+    counted = T.with_once(docs, "r", clean.repetition("text"))
+    return counted.select("doc_id", "r.n_words", "r.top_count", (F.col("r.emptied") | (F.col("text") == "")).alias("emptied"))
 
 
 @_query
@@ -181,7 +187,8 @@ def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    orders = _spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+    customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     data = F.create_map(F.lit("Company_Name"), F.col("c_name"), F.lit("invoice_no"), F.col("o_orderkey").cast("string"), F.lit("date"), _day("o_orderdate"), F.lit("grand_total"), _money("o_totalprice"), F.lit("tax"), F.lit("n/a"))
     regions = F.array(
         F.struct(F.lit("Header").alias("section"), F.lit("top of  page").alias("description"), F.array(F.lit(" a ")).alias("content_lines")),

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.text import is_upload
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table dealt over all cores where it lies in few partitions, as a file of one row group does; larger ones as they are.
+
+    For work that costs much a row: a table of few partitions is small to move, and would keep as few cores busy as it has row groups.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 4 * cores else df
+
+
 def read_uploads(spark: SparkSession, path: str, job_id: str, user_email: str | None = None) -> DataFrame:
     """The files of one job: path, content, name, idx (from 1 by path), saved_name, job_id, user_email.
 
