@@ -108,3 +108,20 @@ def test_spans(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert T.rate_links(T.align(docs, *PATHS).drop("groups")).count() == 0
+
+
+def test_merges_in_another_order_go_to_the_library(tmp_path, libraries):
+    """Where ids aren't ranks, the ids are still the library's."""
+    import json
+
+    with open(PATHS[0], encoding="utf-8") as f:
+        stated = json.load(f)
+    vocab = stated["model"]["vocab"]
+    last = [t for t, i in vocab.items() if i in (50_254, 50_255)]
+    vocab[last[0]], vocab[last[1]] = vocab[last[1]], vocab[last[0]]
+    (tmp_path / "other.json").write_text(json.dumps(stated), encoding="utf-8")
+    texts = [" the rest of it, é漢字", " " + last[0].replace("Ġ", " "), " <|endoftext|>"]
+    own, library = T.ByteLevel(str(tmp_path / "other.json"), P.PATTERN), Tokenizer.from_file(str(tmp_path / "other.json"))
+    library.encode_special_tokens = True
+    assert own.encode(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert T.ByteLevel(PATHS[0], P.PATTERN).encode(texts) == [libraries[0].encode(t, add_special_tokens=False).ids for t in texts]
