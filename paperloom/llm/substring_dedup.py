@@ -7,8 +7,9 @@ documents linear.  Seeds that several documents hold are also keyed by seed and
 pair, so that a passage is met whole where the owner of its seeds holds only a stock phrase of it.  In either join the owners are cut before the join, so
 that AQE can split a hot seed's rows.  The matches of a document with one owner document are merged along diagonals into blocks, blocks are chained by
 dynamic programming with a linear gap cost, the best predecessor coming from a Fenwick tree over source positions, and chains are aligned word
-by word: blocks are extended, gaps of any length are aligned by edit distance, ends are extended past small edits, up to 64 words beyond a chain's last
-seed.  A chain whose identity is too low is split at its worst gaps and its parts are judged alone.  Aligned fragments of at least 16 words and 80 % identity
+by word: blocks are extended, gaps of any length are aligned by edit distance, ends are extended past small edits.  Of a source at first 64 words beyond a
+chain's outer seeds are fetched; documents whose extensions look past what was fetched are aligned again with wider regions, until none does.  A chain whose
+identity is too low is split at its worst gaps and its parts are judged alone.  Aligned fragments of at least 16 words and 80 % identity
 that touch or overlap form passages; passages of at least 50 words are repeats.
 
 Of an exact passage of 50 words in ordinary text, seeds miss 2e-6.  Words are compared by 32-bit codes in alignments that 64-bit seeds led to.
@@ -37,6 +38,8 @@ LEAST_WORDS = 50
 LEAST_FRAGMENT = 16
 IDENTITY = 0.8
 GAP_COST = 0.25
+#: So that a share of edits that is just allowed isn't refused by rounding.
+ROUND = 1e-9
 TOUCH = 2
 MARGIN = 12
 REACH = 64
@@ -45,6 +48,8 @@ CONTEXTS = (1, 4)
 ANCHOR = 4
 #: Words passed over in the document and in the source at an edit.
 _STEPS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3), (3, 0), (0, 3), *((p, p) for p in range(4, 17)))
+#: How far beyond the place where it stops an extension has looked.
+LOOK = max(q for _, q in _STEPS) + ANCHOR
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -289,8 +294,8 @@ def edit_distance(a: list[int], b: list[int]) -> int:
     return out
 
 
-def _grow(a: list[int], b: list[int], i: int, j: int, step: int) -> tuple[int, int, int]:
-    """Extend from a[i], b[j] (the next pair to compare) in one direction past edits of a few words: new i, j and edits.
+def _grow(a: list[int], b: list[int], i: int, j: int, step: int) -> tuple[int, int, int, int]:
+    """Extend from a[i], b[j] (the next pair to compare) in one direction past edits of a few words: new i, j, edits, and the farthest j looked at.
 
     Of all the places where the extension could stop, the last that leaves it at ``IDENTITY`` is taken.
     """
@@ -302,7 +307,7 @@ def _grow(a: list[int], b: list[int], i: int, j: int, step: int) -> tuple[int, i
     while True:
         while same(i, j):
             i, j = i + step, j + step
-        if edits <= (1 - IDENTITY) * abs(i - from_i):
+        if edits <= (1 - IDENTITY) * abs(i - from_i) + ROUND:
             best = i, j, edits
         for p, q in _STEPS:
             if all(same(i + step * (p + k), j + step * (q + k)) for k in range(ANCHOR)):
@@ -310,16 +315,20 @@ def _grow(a: list[int], b: list[int], i: int, j: int, step: int) -> tuple[int, i
                 i, j = i + step * p, j + step * q
                 break
         else:
-            return best
+            return *best, j + step * (LOOK - 1)
 
 
-def align(own: list[int], other: list[int], shift: int, blocks: list[int]) -> tuple[int, int, int, int, int]:
-    """(start, end, source start, source end, edits) of a chain; source places are ``shift`` more than indices of ``other``."""
+def align(own: list[int], other: list[int], shift: int, blocks: list[int], looked: list[int] | None = None) -> tuple[int, int, int, int, int]:
+    """(start, end, source start, source end, edits) of a chain; source places are ``shift`` more than indices of ``other``.
+
+    ``looked``, where given, holds the least and the greatest index of ``other`` that any extension has asked for.
+    """
+    looked = [0, 0] if looked is None else looked
     triples = [(blocks[k], blocks[k + 1] - shift, blocks[k + 2]) for k in range(0, len(blocks), 3)]
     edits = 0
     i, j, n = triples[0]
-    start_i, start_j, more = _grow(own, other, i - 1, j - 1, -1)
-    edits += more
+    start_i, start_j, more, far = _grow(own, other, i - 1, j - 1, -1)
+    edits, looked[0] = edits + more, min(looked[0], far)
     for at, (i, j, n) in enumerate(triples):
         edits += sum(x != y for x, y in zip(own[i : i + n], other[j : j + n], strict=False))
         i, j = i + n, j + n
@@ -331,7 +340,8 @@ def align(own: list[int], other: list[int], shift: int, blocks: list[int]) -> tu
                 to_i, to_j = to_i - 1, to_j - 1
             a, b = own[i:to_i], other[j:to_j]
             edits += edit_distance(a, b)
-    end_i, end_j, more = _grow(own, other, i, j, 1)
+    end_i, end_j, more, far = _grow(own, other, i, j, 1)
+    looked[1] = max(looked[1], far)
     return start_i + 1, end_i, start_j + 1 + shift, end_j + shift, edits + more
 
 
@@ -351,7 +361,7 @@ def exact_runs(own: list[int], other: list[int], shift: int, blocks: list[int])
     return out
 
 
-def fragments(own: list[int], other: list[int], shift: int, blocks: list[int], identity: float) -> list[tuple[int, int, int, int, int]]:
+def fragments(own: list[int], other: list[int], shift: int, blocks: list[int], identity: float, looked: list[int]) -> list[tuple[int, int, int, int, int]]:
     """What ``align`` gives for a chain, or, where its identity is too low, for the parts that it falls into at its worst gaps."""
     out, seen = [], set()
     todo = [exact_runs(own, other, shift, blocks)]
@@ -359,8 +369,8 @@ def fragments(own: list[int], other: list[int], shift: int, blocks: list[int], i
         runs = todo.pop()
         if not runs:
             continue
-        found = align(own, other, shift, [x for r in runs for x in r])
-        if found[4] <= (1 - identity) * (found[1] - found[0]):
+        found = align(own, other, shift, [x for r in runs for x in r], looked)
+        if found[4] <= (1 - identity) * (found[1] - found[0]) + ROUND:
             if found not in seen:
                 seen.add(found)
                 out.append(found)
@@ -405,7 +415,7 @@ def hopeless(own: np.ndarray, bounds: np.ndarray, other: np.ndarray, ends: np.nd
 
 
 def _worth_aligning(chains: pa.ListArray, first: np.ndarray, codes: np.ndarray) -> list[list[tuple]]:
-    """(source, low, blocks, bytes of the source's codes) of each document's chains, without those of one block that are hopeless."""
+    """(source, low, high, blocks, bytes of the source's codes) of each document's chains, without those of one block that are hopeless."""
     flat, row = chains.flatten(), np.repeat(np.arange(len(chains)), np.diff(chains.offsets.to_numpy()))
     source, low, blocks, raw = (flat.field(c) for c in ("src", "low", "blocks", "codes"))
     at, values = blocks.offsets.to_numpy(), blocks.values.to_numpy().astype(np.int64)
@@ -423,25 +433,40 @@ def _worth_aligning(chains: pa.ListArray, first: np.ndarray, codes: np.ndarray)
     chosen = np.flatnonzero(keep)
     picked = flat.take(pa.array(chosen))
     for r, c in zip(row[chosen].tolist(), picked.to_pylist(), strict=True):
-        out[r].append((c["src"], c["low"], c["blocks"], c["codes"]))
+        out[r].append((c["src"], c["low"], c["high"], c["blocks"], c["codes"]))
     return out
 
 
-def passages_of(own: list[int], chains: list[tuple], least_words: int, identity: float) -> list[tuple]:
-    """Fragments (start, words, source, source start, edits) that lie in passages of at least ``least_words``.
+def wider(low: int, high: int, fetched: int, looked: list[int]) -> tuple[int, int]:
+    """The bounds of a source's region, moved out fourfold on each side where an extension looked past it and the source goes on."""
+    more = 4 * (high - low)
+    at = max(0, low - more) if looked[0] < 0 else low
+    return at, high + more if looked[1] >= fetched and fetched == high - low else high
+
+
+def passages_of(own: list[int], chains: list[tuple], least_words: int, identity: float) -> tuple[list[tuple], list[tuple]]:
+    """Fragments (start, words, source, source start, edits) that lie in passages of at least ``least_words``, and the chains to align again.
 
-    ``chains`` are (source, low, blocks, bytes of the source's word codes from ``low`` on).  Longer chains go first; a chain that lies inside a whole
-    passage already found, of whatever source, is not aligned again.
+    ``chains`` are (source, low, high, blocks, bytes of the source's word codes from ``low`` on).  Longer chains go first; a chain that lies inside a whole
+    passage already found, of whatever source, is not aligned again.  If an extension looked past a region inside its source, all chains are given back
+    (source, low, high, blocks) with the bounds that they need, else none.
     """
-    found, whole = [], []
-    for src, low, blocks, codes in sorted(chains, key=lambda c: (-sum(c[2][2::3]), str(c[0]), c[2])):
+    found, whole, again, short = [], [], [], False
+    for src, low, high, blocks, codes in sorted(chains, key=lambda c: (-sum(c[3][2::3]), str(c[0]), c[3])):
+        again.append((src, low, high, blocks))
         if any(a <= blocks[0] and blocks[-3] + blocks[-1] <= b for a, b in whole):
             continue
-        for a, b, c, _, edits in fragments(own, np.frombuffer(codes, np.uint32).tolist(), low, blocks, identity):
+        other, looked = np.frombuffer(codes, np.uint32).tolist(), [0, 0]
+        for a, b, c, _, edits in fragments(own, other, low, blocks, identity, looked):
             if b - a >= LEAST_FRAGMENT:
                 found.append((a, b - a, src, c, edits))
             if b - a >= least_words:
                 whole.append((a, b))
+        bounds = wider(low, high, len(other), looked)
+        if bounds != (low, high):
+            again[-1], short = (src, *bounds, blocks), True
+    if short:
+        return [], again
     found = sorted(set(found), key=lambda f: (f[0], -f[1], str(f[2]), f[3]))
     out, run, end = [], [], -1
     for f in [*found, None]:
@@ -452,44 +477,39 @@ def passages_of(own: list[int], chains: list[tuple], least_words: int, identity:
         if f is not None:
             end = max(end, f[0] + f[1]) if run else f[0] + f[1]
             run.append(f)
-    return out
+    return out, []
 
 
 _FIELDS = ("start", "words", "source_id", "source_start", "edits")
 _FOUND = "array<struct<start:int,words:int,source_id:{0},source_start:int,edits:int>>"
 
 
-def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: float = IDENTITY) -> DataFrame:
-    """For each document that has repeats: doc_id, ``repeats`` (fragments of passages), ``cuts`` (their union in characters) and ``words_removed``."""
-    docs = docs.filter("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+_AGAIN = "array<struct<src:{0},low:int,high:int,blocks:array<int>>>"
+
+
+def _aligned(docs: DataFrame, chains: DataFrame, least_words: int, identity: float) -> DataFrame:
+    """doc_id, repeats, cuts and words_removed of the documents with repeats; of those that need wider regions only doc_id and ``again``, their chains."""
     ident = docs.schema["doc_id"].dataType.simpleString()
-    seeds = cut(_seeds(docs), "op1-seeds", TEXT_ROWS)
-    owner = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("o"), F.max("doc_id").alias("last")).filter("o.doc_id < last")
-    owner = cut(owner.select("seed", F.col("o.doc_id").alias("src"), F.col("o.place").alias("other")), "op1-owners")
-    shared = cut(seeds.join(owner, "seed"), "op1-shared")
-    drop(seeds)
-    drop(owner)
-    chains = cut(_chains(_matches(shared)), "op1-chains")
-    drop(shared)
     regions = cut(_regions(chains.select("src", "low", "high"), docs), "op1-regions", TEXT_ROWS)
-    placed = cut(chains.join(regions, ["src", "low", "high"]).select("doc_id", F.struct("src", "low", "blocks", "codes").alias("c")), "op1-placed")
+    placed = cut(chains.join(regions, ["src", "low", "high"]).select("doc_id", F.struct("src", "low", "high", "blocks", "codes").alias("c")), "op1-placed")
     drop(chains, regions)
     per_doc = placed.groupBy("doc_id").agg(F.collect_list("c").alias("chains"))
 
     @task("op1")
     def run(batches):
         for batch in batches:
-            ids, out_rows, out, cuts, gone = batch.column(0), [], [], [], []
+            ids, out_rows, out, cuts, gone, again = batch.column(0), [], [], [], [], []
             for i, j, buf, offs in V.chunks(batch.column(1)):
                 words, codes = _word_codes(buf, offs)
                 chains_ = _worth_aligning(batch.column(2).slice(i, j - i), words.first, codes)
                 for r in range(i, j):
                     first, last = int(words.first[r - i]), int(words.first[r - i + 1])
-                    got = passages_of(codes[first:last].tolist(), chains_[r - i], least_words, identity) if chains_[r - i] else []
-                    if not got:
+                    got, short = passages_of(codes[first:last].tolist(), chains_[r - i], least_words, identity) if chains_[r - i] else ([], [])
+                    if not got and not short:
                         continue
                     out_rows.append(r)
                     out.append([dict(zip(_FIELDS, f, strict=True)) for f in got])
+                    again.append([dict(zip(("src", "low", "high", "blocks"), c, strict=True)) for c in short])
                     step = np.zeros(last - first + 1, np.int64)
                     for f in got:
                         step[f[0]] += 1
@@ -501,18 +521,47 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
                     cuts.append([{"a": int(begins[x]) - 1, "b": int(begins[y - 1])} for x, y in spans])
                     gone.append(int(inside.sum()))
             fields = dict.fromkeys(_FIELDS, pa.int32()) | {"source_id": ids.type}
+            chain_of = {"src": ids.type, "low": pa.int32(), "high": pa.int32(), "blocks": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(out_rows, pa.int32())), pa.array(out, pa.list_(pa.struct(list(fields.items())))), pa.array(cuts, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(gone, pa.int32())],
-                names=["doc_id", "repeats", "cuts", "words_removed"],
+                [
+                    ids.take(pa.array(out_rows, pa.int32())),
+                    pa.array(out, pa.list_(pa.struct(list(fields.items())))),
+                    pa.array(cuts, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+                    pa.array(gone, pa.int32()),
+                    pa.array(again, pa.list_(pa.struct(list(chain_of.items())))),
+                ],
+                names=["doc_id", "repeats", "cuts", "words_removed", "again"],
             )
 
     joined = docs.join(per_doc, "doc_id").select("doc_id", "text", "chains")
-    kind = f"doc_id {ident}, repeats {_FOUND.format(ident)}, cuts array<struct<a:int,b:int>>, words_removed int"
+    kind = f"doc_id {ident}, repeats {_FOUND.format(ident)}, cuts array<struct<a:int,b:int>>, words_removed int, again {_AGAIN.format(ident)}"
     out = cut(joined.mapInArrow(run, kind).dropDuplicates(["doc_id"]), "op1-repeats", TEXT_ROWS)
     drop(placed)
     return out
 
 
+def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: float = IDENTITY) -> DataFrame:
+    """For each document that has repeats: doc_id, ``repeats`` (fragments of passages), ``cuts`` (their union in characters) and ``words_removed``."""
+    docs = docs.filter("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    seeds = cut(_seeds(docs), "op1-seeds", TEXT_ROWS)
+    owner = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("o"), F.max("doc_id").alias("last")).filter("o.doc_id < last")
+    owner = cut(owner.select("seed", F.col("o.doc_id").alias("src"), F.col("o.place").alias("other")), "op1-owners")
+    shared = cut(seeds.join(owner, "seed"), "op1-shared")
+    drop(seeds)
+    drop(owner)
+    chains = cut(_chains(_matches(shared)), "op1-chains")
+    drop(shared)
+    whole, done = None, False
+    while not done:
+        found = _aligned(docs, chains, least_words, identity)
+        whole = found if whole is None else whole.unionByName(found)
+        short = found.filter(F.size("again") > 0)
+        done = short.isEmpty()
+        if not done:
+            chains = cut(short.select("doc_id", F.explode("again").alias("c")).select("doc_id", "c.*"), "op1-wider-chains")
+    return whole.filter(F.size("again") == 0).drop("again")
+
+
 def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, identity: float = IDENTITY, removed: str = "words_removed") -> DataFrame:
     """The rows of docs with repeated passages cut out of ``text``, and ``removed``, the number of words cut."""
     removed, ident, cuts = free_names(docs, removed, "repeat_doc", "cuts")
