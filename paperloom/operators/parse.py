@@ -26,9 +26,9 @@ def envelope(reply: Column | str) -> Column:
         return F.when(both, F.substring(text, first, F.greatest(last - first + 1, F.lit(0)))).otherwise(text)
 
     def judge(body: Column) -> Column:
-        # parsers pass over what follows a value, but not inside an object; an object with equal keys is JSON as well, though not as a variant
+        # parsers pass over what follows a value, but not inside an object; objects with equal keys, at any depth, are JSON as well, though not as a variant
         wrapped = F.concat(F.lit('{"x":'), body, F.lit("}"))
-        inside = F.from_json(wrapped, "x map<string,variant>, bad string", {"columnNameOfCorruptRecord": "bad"})
+        inside = F.from_json(wrapped, "x string, bad string", {"columnNameOfCorruptRecord": "bad"})
         parsed = F.try_parse_json(wrapped).isNotNull() | (inside["x"].isNotNull() & inside["bad"].isNull())
         return F.struct(body.alias("body"), (F.coalesce(parsed, F.lit(False)) & (body != "")).alias("good"))
 
@@ -47,7 +47,7 @@ def envelope(reply: Column | str) -> Column:
 def extraction(reply: Column | str, url: str = "") -> Column:
     """The extraction result of one reply: fields (a JSON object as text), is_invoice and _source, and of the fields spoken, twin (both texts) and meta (JSON).
 
-    The object's own keys come first, then full_extraction, english_extraction and metadata, which replace own keys of those names.  A
+    The object's own keys come first, then full_extraction, english_extraction and metadata, which replace own keys of those names; of equal own keys the last value stands at the first place.  A
     reply that is not JSON gives its first 1000 characters; one whose ``native_json`` is not an object gives the failure record.
     """
     reply = F.col(reply) if isinstance(reply, str) else reply
@@ -69,7 +69,14 @@ def _extraction(reply: Column, is_json: Column, shape: Column, own: Column, url:
     def quoted(text: Column) -> Column:
         return F.regexp_extract(F.to_json(F.struct(text.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
 
-    items = F.transform(kept, lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.to_json(e["value"])))
+    def written(entries: Column) -> Column:
+        return F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.to_json(e["value"])))
+
+    def last(keys: Column) -> Column:
+        several = F.transform(F.array_distinct(keys), lambda k: F.element_at(F.filter(kept, lambda e: e["key"] == k), -1))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), written(kept)).otherwise(written(several))
+
+    items = let(F.transform(kept, lambda e: e["key"]), last)
     added = F.array(
         F.concat(F.lit('"full_extraction":'), quoted(F.coalesce(shape["native_layout_text"], F.lit("")))),
         F.concat(F.lit('"english_extraction":'), quoted(F.coalesce(shape["english_layout_text"], F.lit("")))),

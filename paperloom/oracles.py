@@ -70,6 +70,13 @@ SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenu
     "envelope_parse": """
 SELECT event_id, CASE WHEN event_id % 4 < 3 THEN props END AS fields, CASE WHEN event_id % 4 = 3 THEN 'no reply for ' || event_type END AS full_extraction,
   event_id % 4 < 3 AS is_comprehensive, CASE WHEN event_id % 4 < 3 THEN 'master_vlm_json' ELSE 'vlm_raw_fallback' END AS _source FROM events""",
+    "odd_replies": """
+SELECT event_id, CASE event_id % 5
+    WHEN 0 THEN '{"a":"' || event_type || '","b":null,"full_extraction":"","english_extraction":"","metadata":{}}'
+    WHEN 1 THEN '{}' WHEN 2 THEN '{"full_extraction":"ERROR: ' || event_type || '"}' WHEN 3 THEN '{"full_extraction":"No response"}'
+    ELSE '{" ":' || event_id || ',"full_extraction":"","english_extraction":"","metadata":{"k":"' || event_type || '"}}' END AS fields,
+  event_id % 5 IN (0, 4) AS is_invoice,
+  CASE WHEN event_id % 5 IN (0, 4) THEN 'local_vlm' WHEN event_id % 5 = 1 THEN 'failed' ELSE 'vlm_parsing_failed' END AS _source FROM events""",
     "reply_results": r"""
 SELECT o_orderkey, 'success' AS status, 'part 1' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '### SECOND BILL ###' || chr(10) || chr(10) || 'part 2' AS vlm_output,
   'twin' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'twin' AS digital_twin_content, 'local_vlm' AS vlm_source, 2::BIGINT AS segments_processed,

@@ -117,6 +117,21 @@ def envelope_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.with_once(_table(spark, sf_dir, "events").select("event_id", reply.alias("reply")), "e", parse.envelope("reply")).select("event_id", "e.*")
 
 
+@_query
+def odd_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with equal keys, with a list for an object, with an error, without text and with a blank key, as extraction results."""
+    kind, number = F.col("event_id") % 5, F.col("event_id").cast("string")
+    reply = (
+        F.when(kind == 0, F.concat(F.lit('{"native_json": {"a": '), number, F.lit(', "b": null, "a": "'), F.col("event_type"), F.lit('"}}')))
+        .when(kind == 1, F.concat(F.lit('{"native_json": ['), number, F.lit("]}")))
+        .when(kind == 2, F.concat(F.lit("ERROR: "), F.col("event_type")))
+        .when(kind == 3, F.lit(""))
+        .otherwise(F.concat(F.lit('{"native_json": {" ": '), number, F.lit(', "metadata": 1}, "metadata": {"k": "'), F.col("event_type"), F.lit('"}}')))
+    )
+    rows = _table(spark, sf_dir, "events").select("event_id", reply.alias("reply"))
+    return T.with_once(rows.withColumn("x", parse.extraction("reply")), "y", F.col("x")).select("event_id", "y.fields", "y.is_invoice", "y._source")
+
+
 @_query
 def reply_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded replies of two segments per order taken to whole results."""
