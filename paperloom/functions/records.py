@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, normalize_key, strip
+from .text import has_more_than_blanks, let, normalize_key
 
 ENTRY = "array<struct<k:string,nk:string,v:string,full:boolean>>"
 
@@ -18,24 +18,20 @@ def variants(raw: Column | str) -> Column:
     return F.from_json(raw, "map<string,variant>")
 
 
-def _text(value: Column) -> Column:
-    return value.cast("string")
+def _entry(key: Column, value: Column) -> Column:
+    def of_json(json: Column) -> Column:
+        text, zero = json.startswith('"'), json.rlike(r"^-?0+(\.0*)?([eE][+-]?\d+)?$")
+        # a text without escapes stands in its JSON as it is
+        shown = F.when(text & ~F.contains(json, F.lit("\\")), F.substring(json, F.lit(2), F.length(json) - 2)).otherwise(value.cast("string"))
+        full = F.when(text, json != '""').otherwise(~F.coalesce(json.isin("null", "false", "[]", "{}") | zero, F.lit(True)))
+        return F.struct(key.alias("k"), normalize_key(key).alias("nk"), shown.alias("v"), full.alias("full"))
 
-
-def _full(value: Column) -> Column:
-    def full(json: Column) -> Column:
-        zero = json.rlike(r"^-?0+(\.0*)?([eE][+-]?\d+)?$")
-        return ~F.coalesce(json.isin("null", '""', "false", "[]", "{}") | zero, F.lit(True))
-
-    return let(F.to_json(value), full)
+    return let(F.to_json(value), of_json)
 
 
 def entries(raw: Column | str) -> Column:
     """The entries of a JSON object given as text; null if it is none."""
-    pairs = F.map_entries(variants(raw))
-    return F.transform(
-        pairs, lambda e: F.struct(e["key"].alias("k"), normalize_key(e["key"]).alias("nk"), _text(e["value"]).alias("v"), _full(e["value"]).alias("full"))
-    )
+    return F.transform(F.map_entries(variants(raw)), lambda e: _entry(e["key"], e["value"]))
 
 
 def by_normal_key(items: Column | str) -> Column:
@@ -48,7 +44,7 @@ def by_normal_key(items: Column | str) -> Column:
 
 
 def usable(entry: Column) -> Column:
-    return entry["full"] & (strip(entry["v"]) != "")
+    return entry["full"] & has_more_than_blanks(entry["v"])
 
 
 def hide_private(fields: Column | str) -> Column:

@@ -69,6 +69,10 @@ def strip(value: Column | str) -> Column:
     return F.btrim(value, F.lit(_BLANKS))
 
 
+def has_more_than_blanks(value: Column) -> Column:
+    return value.rlike(f"[^{_BLANKS}]")
+
+
 def split_lines(value: Column | str) -> Column:
     """All lines of a text, without a last empty one."""
     lines = F.split(value, LINE_BREAK, -1)
@@ -81,7 +85,10 @@ def non_blank(lines: Column | str) -> Column:
 
 def normalize_key(key: Column | str) -> Column:
     """Lower case, stripped, blanks and hyphens as underscores, no full stops."""
-    return F.replace(F.translate(strip(F.lower(key)), " -", "__"), F.lit("."), F.lit(""))
+    out = strip(F.lower(key))
+    for old, new in ((" ", "_"), ("-", "_"), (".", "")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
 
 
 def normalize_scalar(value: Column | str) -> Column:

@@ -16,7 +16,7 @@ from .plans import extraction
 from .plans.extraction import results
 from .plans.predicates import compile_filter
 from .sources import scratch, store
-from .sources.files import spread
+from .sources.files import deal, spread
 from .sources.replies import prompt
 from .streaming.results import file_stream, stream_results
 from .streaming.uploads import run_uploads
@@ -49,10 +49,10 @@ def _day(c: str) -> Column:
 
 def invoice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One free-form JSON record per order; the number of lines is a JSON number, 0 for orders without lines."""
-    orders = _spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice")
     names = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
-    joined = orders.join(names, "o_custkey").join(lines, "o_orderkey", "left")
+    joined = deal(orders.join(names, "o_custkey").join(lines, "o_orderkey", "left"), "o_orderkey", orders.count())
     record = F.to_json(
         F.struct(
             F.col("c_name").alias("Customer"),

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import is_upload
 
 
+#: Rows that a task is dealt at most, on average, where work costs much a row.
+TASK_ROWS = 100_000
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scanned table dealt over all cores where it lies in few partitions, as a file of one row group does; larger ones as they are.
 
@@ -19,6 +23,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < 4 * cores else df
 
 
+def deal(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df of about ``rows`` rows dealt by a key of many values over tasks whose number grows with the rows, whatever the partitions of the shuffles before."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-rows // TASK_ROWS)), key)
+
+
 def read_uploads(spark: SparkSession, path: str, job_id: str, user_email: str | None = None) -> DataFrame:
     """The files of one job: path, content, name, idx (from 1 by path), saved_name, job_id, user_email.
 
