@@ -37,15 +37,20 @@ BLOCKS = "array<struct<block_type:string,content_text:string,content_lines:array
 def normalize_data(data: Column | str) -> Column:
     """A map of texts with lower-case keys and normal values, and missing report keys filled from their other names."""
     pairs = F.transform(F.map_entries(data), lambda e: F.struct(F.lower(strip(e["key"])).alias("k"), normalize_scalar(e["value"]).alias("v")))
-    names = F.array_distinct(F.transform(pairs, lambda e: e["k"]))
-    start = F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda e: e["k"] == n), -1)["v"]))
+
+    def last_of_each(pairs: Column) -> Column:
+        def of(names: Column) -> Column:
+            return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda e: e["k"] == n), -1)["v"]))
+
+        return let(F.array_distinct(F.transform(pairs, lambda e: e["k"])), of)
+
     renamed = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in RENAMED))
 
     def rename(out: Column, pair: Column) -> Column:
         lacks = ~F.map_contains_key(out, pair["b"]) & F.map_contains_key(out, pair["a"])
         return F.when(lacks, F.map_concat(out, F.map_from_arrays(F.array(pair["b"]), F.array(F.try_element_at(out, pair["a"]))))).otherwise(out)
 
-    return F.aggregate(renamed, start, rename)
+    return F.aggregate(renamed, let(pairs, last_of_each), rename)
 
 
 def find_region(regions: Column | str, section: str) -> Column:

@@ -104,3 +104,11 @@ def test_text_helpers(spark):
     assert one(spark, "a, ,b", lambda c: T.csv_list(c, ["z"])) == ["a", "b"]
     assert one(spark, " YES ", lambda c: T.truthy_setting(c, False)) is True
     assert one(spark, ["GST: ", "x GST 27 A"], lambda c: report.labeled_value(c, ("gst",)), "array<string>") == "GST 27 A"
+
+
+def test_report_data_are_normalized_once(spark):
+    """Of equal keys the last value stands, and values are not normalized again for every key."""
+    data = F.map_from_arrays(F.array(F.lit("A"), F.lit(" a"), F.lit("b")), F.array(F.lit("1"), F.lit(" 2 "), F.lit("n/a")))
+    df = spark.range(1).select(F.col("id"), data.alias("d")).select(report.normalize_data("d").alias("n"))
+    assert df.first()[0] == {"a": "2", "b": "Not Detected"}
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
