@@ -67,7 +67,7 @@ def _extraction(reply: Column, is_json: Column, shape: Column, own: Column, url:
     kept = F.filter(F.map_entries(own), lambda e: ~e["key"].isin(*injected))
 
     def quoted(text: Column) -> Column:
-        return F.regexp_extract(F.to_json(F.struct(text.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+        return let(F.to_json(F.struct(text.alias("k"))), lambda j: F.substring(j, F.lit(6), F.length(j) - 6))
 
     def written(entries: Column) -> Column:
         return F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.to_json(e["value"])))

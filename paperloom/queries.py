@@ -135,8 +135,9 @@ def odd_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def reply_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded replies of two segments per order taken to whole results."""
-    orders = _spread(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_totalprice").filter("o_orderkey is not null")
-    replies = orders.select("o_orderkey", "o_orderstatus", _money("o_totalprice").alias("t"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seg_idx"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").filter("o_orderkey is not null")
+    # dealt by the key of the results, which the segments of a result are then combined by without another exchange
+    replies = deal(orders, "o_orderkey", 2 * orders.count()).select("o_orderkey", "o_orderstatus", _money("o_totalprice").alias("t"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seg_idx"))
     body = F.struct(
         F.struct(F.lit("Invoice").alias("classification"), F.lit("english").alias("detected_language")).alias("metadata"),
         F.struct(F.col("o_orderstatus").alias("Remarks"), F.col("t").alias("Total")).alias("native_json"),
@@ -202,7 +203,7 @@ def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
     customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     data = F.create_map(F.lit("Company_Name"), F.col("c_name"), F.lit("invoice_no"), F.col("o_orderkey").cast("string"), F.lit("date"), _day("o_orderdate"), F.lit("grand_total"), _money("o_totalprice"), F.lit("tax"), F.lit("n/a"))
     regions = F.array(
@@ -212,7 +213,8 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     blocks = F.array(F.struct(F.lit("table_region").alias("block_type"), F.lit("x").alias("content_text"), F.array(F.lit("Item"), F.concat(F.lit("Pen "), F.col("o_custkey").cast("string")), F.lit(" plain ")).alias("content_lines")))
     text = report.structured_report(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")), F.lit("tax_invoice"), data, regions, blocks)
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", text.alias("report"))
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return deal(joined, "o_orderkey", orders.count()).select("o_orderkey", text.alias("report"))
 
 
 @_query
