@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,18 +48,25 @@ def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
 
     ``batch_rows`` bounds the rows of an Arrow batch on the way, and so what Python workers and their executors hold.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    during = {_CLEANUP: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
-    before = {key: spark.conf.get(key, None) for key in during}
-    for key, value in during.items():
-        spark.conf.set(key, value)
-    try:
-        df.write.parquet(path)
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    out = spark.read.schema(df.schema).parquet(path)
+    return cut_parts([df], name, batch_rows)
+
+
+def cut_parts(parts: Iterable[DataFrame], name: str, batch_rows: int | None = None) -> DataFrame:
+    """Like cut() for a table given in parts of one schema: each is computed when its turn comes, so that only one's shuffle files exist at a time."""
+    path = None
+    for df in parts:
+        spark, schema = df.sparkSession, df.schema
+        path = path or fresh_path(spark, name)
+        during = {_CLEANUP: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+        before = {key: spark.conf.get(key, None) for key in during}
+        for key, value in during.items():
+            spark.conf.set(key, value)
+        try:
+            df.write.mode("append").parquet(path)
+        finally:
+            for key, value in before.items():
+                spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    out = spark.read.schema(schema).parquet(path)
     out._paperloom_path = path
     return out
 

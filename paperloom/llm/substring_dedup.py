@@ -5,7 +5,8 @@ least of every 32, so every shared run of 36 words has one even where few k-mers
 place in the corpus by (doc_id, word); every other place is joined with the owner only, which keeps a passage in a third of all
 documents linear.  Seeds that several documents hold are also keyed by seed and following seed, at two distances, with the first owner of each such
 pair, so that a passage is met whole where the owner of its seeds holds only a stock phrase of it.  In either join the owners are cut before the join, so
-that AQE can split a hot seed's rows.  The matches of a document with one owner document are merged along diagonals into blocks, blocks are chained by
+that AQE can split a hot seed's rows.  Joins that move all seeds or all texts take a slice of their
+keys at a time, so that shuffle files of one slice only lie on disk beside the tables.  The matches of a document with one owner document are merged along diagonals into blocks, blocks are chained by
 dynamic programming with a linear gap cost, the best predecessor coming from a Fenwick tree over source positions, and chains are aligned word
 by word: blocks are extended, gaps of any length are aligned by edit distance, ends are extended past small edits, up to 64 words beyond a chain's last
 seed.  A chain whose identity is too low is split at its worst gaps and its parts are judged alone.  Aligned fragments of at least 16 words and 80 % identity
@@ -21,13 +22,15 @@ gets underscores behind it.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._store import TEXT_ROWS, cut, drop, free_names
+from ._store import TEXT_ROWS, cut, cut_parts, drop, free_names
 from ._worker import task
 
 K = 5
@@ -44,6 +47,7 @@ MARGIN = 12
 REACH = 64
 GRID = 32
 CONTEXTS = (1, 4)
+SLICES = 4
 ANCHOR = 4
 #: Words passed over in the document and in the source at an edit.
 _STEPS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3), (3, 0), (0, 3), *((p, p) for p in range(4, 17)))
@@ -89,6 +93,21 @@ def _seeds(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"seed bigint, doc_id {ident}, place int")
 
 
+def _slice(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows of the n-th of ``SLICES`` parts of the keys."""
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(SLICES)) == n)
+
+
+def _shared(seeds: DataFrame) -> Iterator[DataFrame]:
+    """By slices, all places of seeds that several documents hold, with their first owner: seed, doc_id, place, src, other."""
+    for n in range(SLICES):
+        own = _slice(seeds, "seed", n)
+        owner = own.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("o"), F.max("doc_id").alias("last")).filter("o.doc_id < last")
+        owner = cut(owner.select("seed", F.col("o.doc_id").alias("src"), F.col("o.place").alias("other")), "op1-owners")
+        yield own.join(owner, "seed")
+        drop(owner)
+
+
 def _matches(shared: DataFrame) -> DataFrame:
     """doc_id, place, src, other: the seeds with their first owner, and with the first owners of what follows them in context.
 
@@ -271,6 +290,15 @@ def _regions(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"src {ident}, low int, high int, codes binary")
 
 
+def _placed(chains: DataFrame, docs: DataFrame) -> Iterator[DataFrame]:
+    """By slices of the sources, doc_id and the chain c with its source's word codes."""
+    for n in range(SLICES):
+        own = _slice(chains, "src", n)
+        regions = cut(_regions(own.select("src", "low", "high"), _slice(docs, "doc_id", n)), "op1-regions", TEXT_ROWS)
+        yield own.join(regions, ["src", "low", "high"]).select("doc_id", F.struct("src", "low", "blocks", "codes").alias("c"))
+        drop(regions)
+
+
 def edit_distance(a: list[int], b: list[int]) -> int:
     """Myers' bit vectors over one integer of any length: exact, a few steps a word of ``b``."""
     if not a or not b:
@@ -466,17 +494,12 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
     docs = docs.filter("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     ident = docs.schema["doc_id"].dataType.simpleString()
     seeds = cut(_seeds(docs), "op1-seeds", TEXT_ROWS)
-    owner = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("o"), F.max("doc_id").alias("last")).filter("o.doc_id < last")
-    owner = cut(owner.select("seed", F.col("o.doc_id").alias("src"), F.col("o.place").alias("other")), "op1-owners")
-    shared = cut(seeds.join(owner, "seed"), "op1-shared")
+    shared = cut_parts(_shared(seeds), "op1-shared")
     drop(seeds)
-    drop(owner)
     chains = cut(_chains(_matches(shared)), "op1-chains")
     drop(shared)
-    regions = cut(_regions(chains.select("src", "low", "high"), docs), "op1-regions", TEXT_ROWS)
-    placed = cut(chains.join(regions, ["src", "low", "high"]).select("doc_id", F.struct("src", "low", "blocks", "codes").alias("c")), "op1-placed")
-    drop(chains, regions)
-    per_doc = placed.groupBy("doc_id").agg(F.collect_list("c").alias("chains"))
+    placed = cut_parts(_placed(chains, docs), "op1-placed")
+    drop(chains)
 
     @task("op1")
     def run(batches):
@@ -508,9 +531,14 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, identity: floa
                 names=["doc_id", "repeats", "cuts", "words_removed"],
             )
 
-    joined = docs.join(per_doc, "doc_id").select("doc_id", "text", "chains")
+    def found() -> Iterator[DataFrame]:
+        for n in range(SLICES):
+            per_doc = _slice(placed, "doc_id", n).groupBy("doc_id").agg(F.collect_list("c").alias("chains"))
+            joined = _slice(docs, "doc_id", n).join(per_doc, "doc_id").select("doc_id", "text", "chains")
+            yield joined.mapInArrow(run, kind).dropDuplicates(["doc_id"])
+
     kind = f"doc_id {ident}, repeats {_FOUND.format(ident)}, cuts array<struct<a:int,b:int>>, words_removed int"
-    out = cut(joined.mapInArrow(run, kind).dropDuplicates(["doc_id"]), "op1-repeats", TEXT_ROWS)
+    out = cut_parts(found(), "op1-repeats", TEXT_ROWS)
     drop(placed)
     return out
 

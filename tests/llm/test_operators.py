@@ -11,9 +11,11 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from paperloom.llm import byte_bpe, near_dedup, packing, queries, repetition, toxicity, warc
+from paperloom.llm import substring_dedup as passages
 from paperloom.llm.bm25_search import Shard, search
 from paperloom.llm.components import components
 from paperloom.llm.license_scan import NOTICES, license_scan
@@ -422,6 +424,40 @@ def test_passages_odd(odd, empty):
     assert substring_dedup(empty).count() == 0
 
 
+def test_passages_in_slices(spark, monkeypatch):
+    docs, _ = passage_docs()
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    got = []
+    for n in (1, 3):
+        monkeypatch.setattr(passages, "SLICES", n)
+        got.append(sorted(map(repr, find_repeats(df).collect())))
+    assert got[0] == got[1] and len(got[0]) == 4
+
+
+def test_passages_disk_of_one_write(spark, monkeypatch, tmp_path):
+    """No write of a table leaves shuffle files as large as the texts beside those tables."""
+    rng = np.random.default_rng(17)
+    texts = [[f"t{x}" for x in rng.integers(0, 50_000, 600)] for _ in range(1500)]
+    for i in range(1, 1500, 2):
+        texts[i][100:200] = texts[i - 1][300:400]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "docs"))
+    sc, write, moved = spark.sparkContext._jsc.sc(), DataFrameWriter.parquet, []
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    def measured(self, *args, **kw):
+        before = shuffled()
+        write(self, *args, **kw)
+        moved.append(shuffled() - before)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", measured)
+    assert find_repeats(spark.read.parquet(str(tmp_path / "docs"))).count() == 750
+    assert 0 < max(moved) < 0.6 * sum(len(t) for _, t in rows)
+
+
 def test_chain_and_align():
     rng = np.random.default_rng(7)
     for _ in range(30):
