@@ -1,17 +1,19 @@
 """Exact top-k BM25 search with block-max pruning, per shard (operator 9).
 
 Document frequencies, the number of documents and their mean length are computed over the whole corpus first, so scores do not depend on the
-sharding.  Documents are dealt into shards of about ``words_per_shard`` words, one task each.  A task turns its documents, some two million words at
-a time, into inverted indexes: per term the postings (document, frequency) in two small integers each, cut into blocks of 64 documents with the greatest
-impact of each.  Documents are numbered by their most frequent word and length, so that blocks hold similar documents.
+sharding.  Documents are dealt into shards of about ``words_per_shard`` words, one task each, which turns them, some two million words at a time, into one
+inverted index: per term the postings (document and impact).  Documents are numbered by their most frequent word and length, so that blocks of 64 hold similar documents.
+Terms that more than one document in 20 has (of these the most frequent, as far as ``TILE_CELLS`` goes) have a dense row of impacts instead, with the greatest impact in each block.
 
-Queries run as block-max WAND does, a block at a time: the maxima of a query's lists in a block add up to a bound for all its documents, and a block is a
-pivot only if that bound reaches the threshold, the k-th best score so far.  The blocks with the greatest bounds are scored first and raise
-the threshold, which is carried from one index of a task to the next; postings of all other blocks are never read.  Lists that more than
-one document in 20 has are scored for many queries at a time, as products with the block's impacts.  The shards' lists of k are merged by (score, doc_id).
+Queries run as block-max WAND does, a block at a time, in two steps.  The lists of usual terms are short and are added up for all their documents.  What a block's
+documents reach by them, and the maxima of the dense rows in the block, add up to a bound for the block, which is a pivot only if that bound reaches the threshold, the k-th
+best score so far.  The blocks with the greatest bounds are scored first and raise the threshold; the dense rows are never read in other blocks.  Dense rows are
+multiplied in single precision for many queries at a time, which only chooses documents, with a margin for its error; the chosen ones are scored in double precision.
+Shards' lists of k are merged by (score, doc_id).
 
 Index rows and queries of a shard reach its task as one sorted stream: first the shard's documents, which become the indexes, then all queries in batches.
-A task holds its shard's indexes, about 13 bytes a posting, and one batch of queries, however many queries there are; nothing is broadcast or collected.
+A task holds its shard's index (about ten bytes a posting and 48 MB of dense rows at most) and scores of some queries at a time (``SCORE_CELLS``), however many
+queries there are; nothing is broadcast or collected.
 
 A document's words are the lower-cased (A-Z) runs outside white space, hashed to 64 bits (two words with one hash would count as one); a query is the
 set of its words, of all rows where several share a doc_id.  Score: the sum over shared words of
@@ -23,6 +25,7 @@ but are neither found nor asked.  Other columns are ignored.  An empty table giv
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +33,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._store import cut, drop
+from ._store import TEXT_ROWS, cut, drop
+from ._worker import task
 
 K1, B = 1.2, 0.75
 BLOCK = 64
 WORDS_PER_SHARD = 16_000_000
-WORDS_PER_INDEX = 2_000_000
-BATCH = 128
+WORDS_PER_INDEX = 24_000_000
+WORDS_PER_PART = 2_000_000
+BATCH = 512
+#: Cells of an index's dense rows, and of the scores of the queries that are taken at once.
+TILE_CELLS = 12_000_000
+SCORE_CELLS = 4_000_000
 LONG_LIST = 0.05
 DECIMALS = 6
 _DF, _DOCS, _WORDS = 0, 1, 2
@@ -110,15 +118,11 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32)
 
 
-class Shard:
-    """The inverted index of some documents and its exact top-k.
-
-    Postings lie by term and document; ``e_*`` are their runs within one term and block: where a run starts, its block and its greatest impact.
-    """
+class Part:
+    """The postings of some documents by term and document: vocabulary, first (bounds by term), doc and tf."""
 
-    def __init__(self, texts: list[pa.Array], ids: list[pa.Array], mean_length: float):
-        self.ids = pa.concat_arrays(ids)
-        parts, lengths, base = [], [], 0
+    def __init__(self, texts: list[pa.Array]):
+        parts, lengths, base = [], [np.zeros(0, np.int64)], 0
         for column in texts:
             for i, j, buf, offs in V.chunks(column):
                 term, first = _hashed_words(buf, offs)
@@ -129,103 +133,160 @@ class Shard:
                 at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))) if len(term) else np.zeros(0, np.int64)
                 parts.append((term[at], doc[at].astype(np.int32), np.diff(np.append(at, len(term))).astype(np.int32)))
                 base += j - i
-        length = np.concatenate(lengths)
-        term, doc, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.length = np.concatenate(lengths)
+        term, doc, tf = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
         del parts
+        by = np.argsort(term, kind="stable")
+        term, doc, tf = term[by], doc[by], tf[by]
+        at = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+        self.vocabulary, self.first = term[at], np.append(at, len(term))
+        best = np.full(len(self.length), -1, np.int64)
+        np.maximum.at(best, doc, tf * np.int64(1 << 32) + np.repeat(np.arange(len(at)), np.diff(self.first)))
+        #: Each document's most frequent word; documents without words have one for themselves.
+        self.top = np.append(self.vocabulary, np.uint64(0))[np.where(best < 0, len(at), best & 0xFFFFFFFF)]
+        self.doc, self.tf = _small(doc), _small(tf)
+
+
+class Shard:
+    """The inverted index of some documents and its exact top-k.
+
+    Lists of usual terms lie in ``doc`` and ``impact``, a term's between ``first``.  The terms of long lists have a row each: ``tiles`` holds their impacts on the
+    64 documents of every block in single precision, ``ceiling`` the greatest of them, and ``l_row`` and ``l_tf`` by document, between ``l_first``, what exact scores are made of.
+    """
+
+    def __init__(self, texts: Iterable[pa.Array | Part], ids: list[pa.Array], mean_length: float):
+        parts = [x if isinstance(x, Part) else Part([x]) for x in texts]
+        length = np.concatenate([p.length for p in parts])
         n = self.n = len(length)
-        self.vocabulary, number = np.unique(term, return_inverse=True)
-        del term
-        top = np.full(n, -1, np.int64)
-        np.maximum.at(top, doc, tf * np.int64(1 << 32) + number)
-        order = np.lexsort((length, top & 0xFFFFFFFF))
+        order = np.lexsort((length, np.concatenate([p.top for p in parts])))
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        self.ids = self.ids.take(pa.array(order))
-        self.norm = K1 * (1 - B + B * length[order] / mean_length)
-        key = number * np.int64(max(1, n)) + place[doc]
-        by = np.argsort(key)
-        key, tf = key[by], tf[by]
-        number, doc = key // max(1, n), key % max(1, n)
-        self.doc, self.tf = _small(doc), _small(tf)
-        self.blocks = -(-n // BLOCK)
-        impact = self._impact(doc, tf)
-        run = number * self.blocks + doc // BLOCK
-        at = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
-        self.e_start = np.append(at, len(run)).astype(np.int32)
-        self.e_block = _small(doc[at] // BLOCK)
-        self.e_max = np.nextafter(np.maximum.reduceat(impact, at).astype(np.float32), np.float32(np.inf)) if len(at) else np.zeros(0, np.float32)
-        self.first = np.searchsorted(number[at], np.arange(len(self.vocabulary) + 1)).astype(np.int32)
-        size = self.e_start[self.first[1:]] - self.e_start[self.first[:-1]]
-        self.long = np.flatnonzero(size > max(BLOCK, LONG_LIST * n))
+        self.ids = pa.concat_arrays(ids).take(pa.array(order))
+        self.blocks = max(1, -(-n // BLOCK))
+        self.norm = np.ones(self.blocks * BLOCK)
+        self.norm[:n] = K1 * (1 - B + B * length[order] / mean_length)
+        self.vocabulary = np.unique(np.concatenate([p.vocabulary for p in parts]))
+        at = [np.searchsorted(self.vocabulary, p.vocabulary).astype(np.int32) for p in parts]
+        size = np.zeros(len(self.vocabulary), np.int64)
+        for p, own in zip(parts, at, strict=True):
+            size[own] += np.diff(p.first)
+        long = np.flatnonzero(size > max(BLOCK, LONG_LIST * n))
+        room = TILE_CELLS // (self.blocks * BLOCK)
+        self.long = np.sort(long[np.argsort(-size[long], kind="stable")[:room]])
         self.row = np.full(len(size), -1, np.int32)
         self.row[self.long] = np.arange(len(self.long))
+        size[self.long] = 0
+        self.first = np.append(0, np.cumsum(size))
+        self.tiles = np.zeros((self.blocks, len(self.long), BLOCK), np.float32)
+        rows = []
+        self.doc, self.impact = np.zeros(self.first[-1], np.uint16 if n <= 1 << 16 else np.uint32), np.zeros(self.first[-1])
+        free, base = self.first[:-1].copy(), 0
+        while parts:
+            p, own = parts.pop(0), at.pop(0)
+            count = np.diff(p.first)
+            doc, tf = place[p.doc.astype(np.int64) + base], p.tf
+            row = np.repeat(self.row[own], count)
+            dense = row >= 0
+            rows.append((doc[dense], row[dense], tf[dense]))
+            self.tiles[doc[dense] // BLOCK, row[dense], doc[dense] % BLOCK] = self._impact(doc[dense], tf[dense])
+            to = (np.repeat(free[own] - p.first[:-1], count) + np.arange(len(doc)))[~dense]
+            doc, tf = doc[~dense], tf[~dense]
+            self.doc[to], self.impact[to] = doc, self._impact(doc, tf)
+            free[own] += count
+            base += len(p.length)
+        self.ceiling = self.tiles.max(axis=2).T.copy()
+        doc, row, tf = (np.concatenate(x) for x in zip(*rows, strict=True))
+        by = np.argsort(doc, kind="stable")
+        self.l_first = np.searchsorted(doc[by], np.arange(n + 1))
+        self.l_row, self.l_tf = _small(row[by]), _small(tf[by])
         self.scored_blocks = 0
 
     def _impact(self, doc: np.ndarray, tf: np.ndarray) -> np.ndarray:
         return tf * (K1 + 1) / (tf + self.norm[doc])
 
-    def _runs(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each of the terms' runs: which term (its place in ``terms``) and the run's number."""
-        count = self.first[terms + 1] - self.first[terms]
-        return np.repeat(np.arange(len(terms)), count), V.ranges(self.first[terms].astype(np.int64), count.astype(np.int64))
+    def _usual(self, at: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
+        """Scores by the terms of usual lists."""
+        low, high = self.first[at], self.first[at + 1]
+        ends = list(zip(low.tolist(), high.tolist(), strict=True))
+        if ends:
+            value = np.concatenate([self.impact[i:j] for i, j in ends])
+            value *= np.repeat(weight, high - low)
+            out[:] = np.bincount(np.concatenate([self.doc[i:j] for i, j in ends]), value, len(out))
 
     def top(self, terms: list[np.ndarray], weights: list[np.ndarray], k: int, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(document numbers, scores) of the k best for each query, ties included; what scores below ``least`` may be left out."""
+        step = max(1, SCORE_CELLS // (self.blocks * BLOCK))
+        out = []
+        for i in range(0, len(terms), step):
+            out += self._top(terms[i : i + step], weights[i : i + step], k, None if least is None else least[i : i + step])
+        return out
+
+    def _top(self, terms: list[np.ndarray], weights: list[np.ndarray], k: int, least: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
         b, width = len(terms), self.blocks * BLOCK
-        owner = np.repeat(np.arange(b), [len(t) for t in terms])
-        term, weight = np.concatenate([*terms, np.zeros(0, np.uint64)]), np.concatenate([*weights, np.zeros(0)])
-        at = np.searchsorted(self.vocabulary, term)
-        at[at == len(self.vocabulary)] = 0
-        hit = self.vocabulary[at] == term if len(self.vocabulary) else np.zeros(len(at), bool)
-        owner, weight, at = owner[hit], weight[hit], at[hit]
-        dense = self.row[at] >= 0
-        query = np.zeros((b, len(self.long)))
-        query[owner[dense], self.row[at[dense]]] = weight[dense]
-        tile, ceiling = np.zeros((len(self.long), width)), np.zeros((len(self.long), self.blocks))
-        row, run = self._runs(self.long)
-        ceiling[row, self.e_block[run]] = self.e_max[run]
-        size = (self.e_start[run + 1] - self.e_start[run]).astype(np.int64)
-        post = V.ranges(self.e_start[run].astype(np.int64), size)
-        tile[np.repeat(row, size), self.doc[post]] = self._impact(self.doc[post], self.tf[post])
-        owner, weight, at = owner[~dense], weight[~dense], at[~dense]
-        which, run = self._runs(at)
-        owner, weight, block = owner[which], weight[which], self.e_block[run].astype(np.int64)
-        bound = query @ ceiling + np.bincount(owner * self.blocks + block, weight * self.e_max[run], b * self.blocks).reshape(b, self.blocks)
-
-        score = np.full((b, width), -1.0)
+        query, usual = np.zeros((b, len(self.long))), np.zeros((b, width))
+        for q, (term, weight) in enumerate(zip(terms, weights, strict=True)):
+            at = np.searchsorted(self.vocabulary, term)
+            at[at == len(self.vocabulary)] = 0
+            hit = self.vocabulary[at] == term if len(self.vocabulary) else np.zeros(len(at), bool)
+            at, weight = at[hit], weight[hit]
+            row = self.row[at]
+            query[q, row[row >= 0]] = weight[row >= 0]
+            self._usual(at[row < 0], weight[row < 0], usual[q])
+        #: Single precision serves the choice of documents alone: sums of so many terms are off by less than ``slack`` times themselves.
+        slack = 4 * (len(self.long) + 16) * float(np.finfo(np.float32).eps)
+        rough = np.nextafter(query.astype(np.float32), np.float32(np.inf)) * (query > 0)
+        most = usual.reshape(b, self.blocks, BLOCK).max(axis=2)
+        bound = (most + rough @ self.ceiling) * (1 + slack)
+        score, peak = np.full((b, width), -1.0, np.float32), np.full((b, self.blocks), -1.0)
 
         def evaluate(wanted: np.ndarray) -> None:
-            take = wanted[owner, block]
-            size = (self.e_start[run[take] + 1] - self.e_start[run[take]]).astype(np.int64)
-            post = V.ranges(self.e_start[run[take]].astype(np.int64), size)
-            doc = self.doc[post].astype(np.int64)
-            value = np.repeat(weight[take], size) * self._impact(doc, self.tf[post])
-            part = np.bincount(np.repeat(owner[take], size) * width + doc, value, b * width).reshape(b, width)
-            for k_ in np.flatnonzero(wanted.any(axis=0)).tolist():
-                span, rows = slice(k_ * BLOCK, (k_ + 1) * BLOCK), np.flatnonzero(wanted[:, k_])
-                score[rows, span] = part[rows, span] + query[rows] @ tile[:, span]
+            for block in np.flatnonzero(wanted.any(axis=0)).tolist():
+                span, rows = slice(block * BLOCK, (block + 1) * BLOCK), np.flatnonzero(wanted[:, block])
+                value = rough[rows] @ self.tiles[block] + usual[rows, span]
+                score[rows, span] = value
+                peak[rows, block] = value.max(axis=1)
             self.scored_blocks += int(wanted.sum())
 
+        def threshold() -> np.ndarray:
+            """What a document needs: k others, of other blocks or of the leading ones, have as much at least."""
+            at = max(0, self.blocks - k)
+            kth = np.partition(peak, at, axis=1)[:, at] if self.blocks >= k else np.full(b, -1.0)
+            return np.maximum(np.maximum(kth, floor), low) * (1 - slack) - 1e-6
+
+        low = np.full(b, -1.0) if least is None else least
+        if self.blocks >= k:
+            low = np.maximum(low, np.partition(most, self.blocks - k, axis=1)[:, self.blocks - k])
         lead = min(self.blocks, 1 + -(-k // BLOCK))
-        first = np.zeros((b, self.blocks), bool)
-        np.put_along_axis(first, np.argpartition(-bound, lead - 1, axis=1)[:, :lead], True, axis=1)
-        first &= bound > 0
-        if least is not None:
-            first &= bound >= least[:, None] - 1e-6
-        evaluate(first)
-        kth = np.partition(score, width - min(k, width), axis=1)[:, width - min(k, width)]
-        if least is not None:
-            kth = np.maximum(kth, least)
-        rest = (bound >= kth[:, None] - 1e-6) & (bound > 0) & ~first
-        if rest.any():
-            evaluate(rest)
-        out = []
-        score = np.round(score[:, : self.n], DECIMALS)
-        for q in range(b):
-            good = np.flatnonzero(score[q] > 0)
-            if len(good) > k:
-                good = good[score[q, good] >= np.partition(score[q, good], -k)[-k]]
-            out.append((good, score[q, good]))
+        ahead = np.argpartition(-bound, lead - 1, axis=1)[:, :lead]
+        left = np.zeros((b, self.blocks), bool)
+        np.put_along_axis(left, ahead, True, axis=1)
+        floor = np.full(b, -1.0)
+        left &= (bound > 0) & (bound >= low[:, None] - 1e-6)
+        evaluate(left)
+        own = np.take_along_axis(score.reshape(b, self.blocks, BLOCK), ahead[:, :, None], axis=1).reshape(b, -1)
+        if own.shape[1] >= k:
+            floor = np.partition(own, own.shape[1] - k, axis=1)[:, own.shape[1] - k].astype(np.float64)
+        evaluate((bound >= threshold()[:, None]) & (bound > 0) & ~left)
+        need = threshold()
+        q, block = np.nonzero((peak >= need[:, None]) & (peak > 0))
+        near = score.reshape(b, self.blocks, BLOCK)[q, block]
+        which, col = np.nonzero((near >= need[q][:, None]) & (near > 0))
+        q, block = q[which], block[which]
+        doc = block * BLOCK + col
+        exact = usual[q, doc]
+        for i in range(0, len(q), 4096):
+            part = slice(i, i + 4096)
+            size = self.l_first[doc[part] + 1] - self.l_first[doc[part]]
+            at, of = V.ranges(self.l_first[doc[part]], size), np.repeat(np.arange(len(size)), size)
+            exact[part] += np.bincount(of, query[q[part][of], self.l_row[at]] * self._impact(doc[part][of], self.l_tf[at]), len(size))
+        exact = np.round(exact, DECIMALS)
+        out, bounds = [], np.searchsorted(q, np.arange(b + 1))
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            found, value = doc[i:j], exact[i:j]
+            good = value > 0
+            if good.sum() > k:
+                good &= value >= np.partition(value, -k)[-k]
+            out.append((found[good], value[good]))
         return out
 
 
@@ -272,31 +333,43 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, words_per_shard: in
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), none.cast("string").alias("text"), F.col("ts.term").alias("terms"), F.col("ts.w").alias("weights")
     )
 
+    @task("op9")
     def run(batches):
-        texts, ids, held, shards = [], [], 0, []
+        texts, parts, ids, held, size, shards = [], [], [], 0, 0, []
 
-        def build():
+        def part():
+            nonlocal texts, held
             if texts:
-                shards.append(Shard(texts, ids, mean_length))
+                parts.append(Part(texts))
+            texts, held = [], 0
+
+        def build():
+            nonlocal ids, size
+            part()
+            if parts:
+                # Each part is free as soon as its postings are in the index.
+                shards.append(Shard((parts.pop(0) for _ in range(len(parts))), ids, mean_length))
+            ids, size = [], 0
 
         for batch in batches:
             n_index = int(np.searchsorted(batch.column(1).to_numpy(), 1))
             for at in range(0, n_index, 256):
-                part = batch.slice(at, min(256, n_index - at))
-                texts.append(part.column(3))
-                ids.append(part.column(2))
-                held += part.column(3).nbytes
-                if held >= 6 * WORDS_PER_INDEX:
+                rows = batch.slice(at, min(256, n_index - at))
+                texts.append(rows.column(3))
+                ids.append(rows.column(2))
+                held += rows.column(3).nbytes
+                size += rows.column(3).nbytes
+                if held >= 6 * WORDS_PER_PART:
+                    part()
+                if size >= 6 * WORDS_PER_INDEX:
                     build()
-                    texts, ids, held = [], [], 0
             for at in range(n_index, batch.num_rows, BATCH):
                 build()
-                texts, ids = [], []
                 if shards:
                     yield _answers(shards, batch.slice(at, BATCH), k)
 
     stream = index_rows.unionByName(query_rows).repartitionById(shards, "shard").sortWithinPartitions("kind", "id")
-    best = cut(stream.mapInArrow(run, f"query_id {ident}, doc_id {ident}, score double"), "op9-best")
+    best = cut(stream.mapInArrow(run, f"query_id {ident}, doc_id {ident}, score double"), "op9-best", TEXT_ROWS)
     drop(asked)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

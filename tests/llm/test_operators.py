@@ -728,6 +728,43 @@ def test_search_skips_blocks():
     assert 0 < shard.scored_blocks <= shard.blocks // 4
 
 
+def test_search_whole_shard():
+    """One index of several parts: exact scores and ties with dense and usual lists, in bounded memory for many queries on many documents."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from paperloom.llm.bm25_search import _hashed_words
+    from paperloom.llm._vec import chunks
+
+    rng = np.random.default_rng(4)
+    words_of = [sorted({f"c{x}" for x in rng.integers(0, 12, 3)} | {f"r{x}" for x in rng.integers(0, 3000, 3)}) for _ in range(60_000)]
+    texts = [pa.array([" ".join(w) for w in words_of[i : i + 20_000]]) for i in range(0, 60_000, 20_000)]
+    shard = Shard(texts, [pa.array(np.arange(60_000))], 6.0)
+    _, _, buf, offs = next(chunks(texts[0].slice(0, 256), 1 << 40))
+    term, first = _hashed_words(buf, offs)
+    terms = [np.unique(term[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    tracemalloc.start()
+    found = shard.top(terms, [1 + (t % np.uint64(7)).astype(float) for t in terms], 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 110e6
+    value = {w: 1.0 + int(h % 7) for t, ws in zip(np.split(term, first[1:-1]), words_of, strict=False) for h, w in zip(t.tolist(), ws, strict=True)}
+    holders = defaultdict(list)
+    for i, ws in enumerate(words_of):
+        for w in ws:
+            holders[w].append(i)
+    for q in range(0, 256, 16):
+        score = Counter()
+        for w in words_of[q]:
+            for i in holders[w]:
+                score[i] += value[w] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(words_of[i]) / 6))
+        kth = sorted(score.values())[-10]
+        want = {i: x for i, x in score.items() if x >= kth - 1e-9}
+        ids = shard.ids.take(pa.array(found[q][0])).to_pylist()
+        assert set(ids) == set(want) and max(abs(want[i] - x) for i, x in zip(ids, found[q][1], strict=True)) < 1e-6
+
+
 def test_search_odd(odd, empty):
     got = search(odd, odd, k=3).collect()
     assert {r["query_id"] for r in got} == {4, 5, 6, 7, 8} and all(r["doc_id"] is not None for r in got)
