@@ -95,7 +95,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's alignment of two tokenizers, and how frequent its links are in the corpus."""
-    aligned = align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    aligned = align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN, packed=True)
     groups = F.coalesce(F.sha2("groups", 256), F.lit("")).alias("groups_sha256")
     return rate_links(aligned.select("doc_id", "n_a", "n_b", "n_groups", groups, "pairs"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _vec as V
 from ._store import TEXT_ROWS, cut, drop
-from ._worker import memo, task
+from ._worker import memo, task, trim
 
 #: Bytes of text encoded at once, and bytes that owner arrays span.
 BLOCK_BYTES = 1 << 18
@@ -36,6 +36,8 @@ OWNER_BYTES = 1 << 20
 #: A block of documents for the corpus counts holds up to so many link pairs (of several documents) and so many documents.
 BLOCK_PAIRS = 1 << 19
 BLOCK_DOCUMENTS = 1 << 13
+#: Documents of a block lie in rows of up to so many link pairs (of several documents), as executors hold many rows at a time.
+ROW_PAIRS = 1 << 15
 #: Bits of a token id in a pair of ids.
 ID_BITS = 24
 
@@ -215,6 +217,18 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
             yield at, min(j, at + BLOCK_DOCUMENTS)
 
 
+def _bytes(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Runs of integers as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _from_bytes(column: pa.ChunkedArray, sizes: list[int]) -> np.ndarray:
+    """The integers of binary values, so many in each."""
+    # An integer has one, two or four bytes.
+    parts = [np.frombuffer(x.as_py(), f"u{len(x.as_buffer()) // n}").astype(np.int64) for x, n in zip(column, sizes, strict=True) if n]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
 def _list(bounds: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
 
@@ -223,13 +237,14 @@ def _ints(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.int32), pa.int32())
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, pattern: str, spans: bool = False) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, pattern: str, spans: bool = False, packed: bool = False) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups (``a1,a2|b1;a3|b2,b3``) and pairs (linked A and B ids with the number of links) of each row of docs.
 
+    With ``packed``, pairs are binary, three integers of four bytes each, which rate_links() takes as well and executors carry in a third of the memory.
     With ``spans`` also a_ids and b_ids, the tokens; a_cuts and b_cuts, the first token of each group; link_a and link_b, the links as token numbers.
     """
     ident = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {ident}, n_a bigint, n_b bigint, n_groups bigint, groups string, pairs {PAIRS}"
+    schema = f"doc_id {ident}, n_a bigint, n_b bigint, n_groups bigint, groups string, pairs {'binary' if packed else PAIRS}"
     arrays = ("a_ids", "b_ids", "a_cuts", "b_cuts", "link_a", "link_b") if spans else ()
     schema += "".join(f", {name} array<int>" for name in arrays)
 
@@ -244,7 +259,10 @@ def align(docs: DataFrame, path_a: str, path_b: str, pattern: str, spans: bool =
             for i, j in _blocks(batch.column(1)):
                 x = aligner.align([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
                 bounds, a, b, times = aligner.pairs(x)
-                pairs = _list(bounds, pa.StructArray.from_arrays([_ints(a), _ints(b), _ints(times)], names=["a", "b", "times"]))
+                if packed:
+                    pairs = _bytes(3 * bounds, np.stack([a, b, times], axis=1).astype(np.int32).ravel())
+                else:
+                    pairs = _list(bounds, pa.StructArray.from_arrays([_ints(a), _ints(b), _ints(times)], names=["a", "b", "times"]))
                 out = [batch.column(0).slice(i, j - i), *(pa.array(np.diff(x[c]), pa.int64()) for c in ("first_a", "first_b", "cuts")), pa.array(aligner.texts(x), pa.string()), pairs]
                 if spans:
                     sides = (("a", "first_a", None), ("b", "first_b", None), ("cut_a", "cuts", "first_a"), ("cut_b", "cuts", "first_b"), ("link_a", "links", "first_a"), ("link_b", "links", "first_b"))
@@ -257,7 +275,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, pattern: str, spans: bool =
 
 
 def _pack_blocks(aligned: DataFrame, others: list[str]) -> DataFrame:
-    """block, rows (the other columns of its rows), first, pair, times (each row's pairs as numbers among the block's) and keys, held (the block's distinct pairs)."""
+    """block, rows (the other columns of some of its rows), sizes, pair, times (each row's pairs as numbers among the block's), and once a block keys, held (its distinct pairs)."""
     kinds = {f.name: f.dataType.simpleString() for f in aligned.schema}
     row = ",".join(f"`{c}`:{kinds[c]}" for c in others)
 
@@ -266,22 +284,36 @@ def _pack_blocks(aligned: DataFrame, others: list[str]) -> DataFrame:
         prefix, number = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
             pairs = batch.column(0)
-            offs = pairs.offsets.to_numpy()
+            packed = pa.types.is_binary(pairs.type)
+            if packed:
+                offs = np.frombuffer(pairs.buffers()[1], np.int32)[pairs.offset : pairs.offset + len(pairs) + 1] if len(pairs) else np.zeros(1, np.int32)
+                table = np.frombuffer(pairs.buffers()[2] or b"", np.uint8)[: offs[-1]].view(np.int32).reshape(-1, 3)
+                offs = offs // 12
+            else:
+                offs = pairs.offsets.to_numpy()
             at = 0
             while at < batch.num_rows:
                 stop = int(np.searchsorted(offs, offs[at] + BLOCK_PAIRS, side="right")) - 1
                 stop = min(batch.num_rows, max(at + 1, stop), at + BLOCK_DOCUMENTS)
-                part = pairs.values.slice(offs[at], offs[stop] - offs[at])
-                a, b, times = (part.field(i).to_numpy() for i in range(3))
+                if packed:
+                    a, b, times = table[offs[at] : offs[stop]].T
+                else:
+                    part = pairs.values.slice(offs[at], offs[stop] - offs[at])
+                    a, b, times = (part.field(i).to_numpy() for i in range(3))
                 keys, pair, held = np.unique((a.astype(np.int64) << ID_BITS) | b, return_inverse=True, return_counts=True)
+                first, cuts = (offs[at : stop + 1] - offs[at]).astype(np.int64), [0]
+                while cuts[-1] < stop - at:
+                    cuts.append(max(cuts[-1] + 1, int(np.searchsorted(first, first[cuts[-1]] + ROW_PAIRS, side="right")) - 1))
+                cuts = np.array(cuts)
+                once = np.minimum(np.arange(len(cuts)), 1)
                 rows = pa.StructArray.from_arrays([c.slice(at, stop - at) for c in batch.columns[1:]], names=others)
-                one = [pa.array([prefix | number]), _list([0, stop - at], rows)]
-                one += [_list([0, len(v)], _ints(v)) for v in (offs[at : stop + 1] - offs[at], pair, times)]
-                one += [_list([0, len(keys)], pa.array(keys)), _list([0, len(held)], _ints(held))]
-                yield pa.RecordBatch.from_arrays(one, names=["block", "rows", "first", "pair", "times", "keys", "held"])
+                one = [pa.array(np.full(len(cuts) - 1, prefix | number)), _list(cuts, rows), _list(cuts, _ints(np.diff(first)))]
+                one += [_bytes(first[cuts], v.astype(np.min_scalar_type(v.max(initial=0)))) for v in (pair, times)]
+                one += [_list(once * len(keys), pa.array(keys)), _list(once * len(held), _ints(held))]
+                yield pa.RecordBatch.from_arrays(one, names=["block", "rows", "sizes", "pair", "times", "keys", "held"])
                 at, number = stop, number + 1
 
-    kind = f"block bigint, rows array<struct<{row}>>, first array<int>, pair array<int>, times array<int>, keys array<bigint>, held array<int>"
+    kind = f"block bigint, rows array<struct<{row}>>, sizes array<int>, pair binary, times binary, keys array<bigint>, held array<int>"
     return aligned.select("pairs", *others).mapInArrow(run, kind)
 
 
@@ -299,26 +331,25 @@ def rate_links(aligned: DataFrame) -> DataFrame:
     added = [c for c in ("n_links", "n_best", "count_sum") if c not in others]
     if len(added) < 3:
         raise ValueError("aligned has columns of the names n_links, n_best or count_sum already")
-    blocks = cut(_pack_blocks(aligned, others), "op11-blocks", TEXT_ROWS)
-    rated = cut(link_counts(blocks), "op11-counts")
-    own = blocks.select("block", F.explode("keys").alias("key")).join(rated, "key")
-    own = own.groupBy("block").agg(F.collect_list(F.struct("key", "n", "best")).alias("rates"))
+    blocks = cut(_pack_blocks(aligned, others), "op11-blocks", TEXT_ROWS, wide=True)
+    rated = cut(link_counts(blocks), "op11-counts", wide=True)
+    own = blocks.select(F.col("block").alias("of"), F.explode("keys").alias("key")).join(rated.hint("merge"), "key")
     kinds = ", ".join(f"`{c}` {aligned.schema[c].dataType.simpleString()}" for c in others)
 
-    @task("op11")
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                rows, first, pair, times, rates = (c.slice(r, 1).flatten() for c in batch.columns)
-                first, pair, times = (v.to_numpy() for v in (first, pair, times))
-                key, n, best = (v.to_numpy(zero_copy_only=False) for v in rates.flatten()) if len(rates) else np.zeros((3, 0), np.int64)
-                order = np.argsort(key)
-                n, best = n[order][pair] * times, best[order][pair] * times
-                sums = [np.diff(np.concatenate(([0], np.cumsum(v.astype(np.int64))))[first]) for v in (times, best, n)]
-                yield pa.RecordBatch.from_arrays([*rows.flatten(), *(pa.array(v) for v in sums)], names=[*others, *added])
-
-    whole = blocks.select("block", "rows", "first", "pair", "times").join(own, "block", "left")
-    none = F.array().cast("array<struct<key:bigint,n:bigint,best:boolean>>")
-    out = cut(whole.select("rows", "first", "pair", "times", F.coalesce("rates", none).alias("rates")).mapInArrow(run, f"{kinds}, n_links bigint, n_best bigint, count_sum bigint"), "op11-result", 64)
+    def rate(block: pa.Table, rates: pa.Table) -> pa.Table:
+        if memo("op11"):
+            memo("op11").clear()
+            trim()
+        sizes = [x.values.to_numpy() for x in block["sizes"]]
+        pair, times = (_from_bytes(block[c], [int(x.sum()) for x in sizes]) for c in ("pair", "times"))
+        key, n, best = (rates[c].to_numpy() for c in ("key", "n", "best"))
+        order = np.argsort(key)
+        first = np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int64)
+        n, best = n[order][pair] * times, best[order][pair] * times
+        sums = [np.diff(np.append(0, np.cumsum(v.astype(np.int64)))[first]) for v in (times, best, n)]
+        return pa.table([*block["rows"].combine_chunks().flatten().flatten(), *(pa.array(v) for v in sums)], names=[*others, *added])
+
+    whole = blocks.select("block", "rows", "sizes", "pair", "times").groupBy("block").cogroup(own.groupBy("of"))
+    out = cut(whole.applyInArrow(rate, f"{kinds}, n_links bigint, n_best bigint, count_sum bigint"), "op11-result", wide=True)
     drop(blocks, rated)
     return out

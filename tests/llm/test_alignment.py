@@ -85,6 +85,19 @@ def test_many_small_blocks(spark, libraries, monkeypatch):
     assert sorted((str(r["doc_id"]), *r[1:]) for r in got) == expected(rows, libraries)
 
 
+def test_rows_of_blocks_are_small(spark, libraries, monkeypatch):
+    """A block of many documents lies in rows of bounded size, whose pairs may need two bytes for their numbers."""
+    monkeypatch.setattr(T, "ROW_PAIRS", 64, raising=False)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"{x:x}" for x in rng.integers(0, 5000, 15)) if i % 9 else None) for i in range(120)]
+    aligned = T.align(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), *PATHS).withColumn("h", F.coalesce(F.sha2("groups", 256), F.lit("")))
+    aligned = aligned.select("doc_id", "n_a", "n_b", "n_groups", "h", "pairs")
+    packed = T._pack_blocks(aligned, ["doc_id"]).collect()
+    assert len({r["block"] for r in packed}) == 1 and sum(len(r["keys"]) > 0 for r in packed) == 1 and max(len(r["keys"]) for r in packed) > 256
+    assert sum(len(r["rows"]) for r in packed) == 120 and all(len(r["rows"]) == 1 or len(r["pair"]) <= 64 * 2 for r in packed)
+    assert sorted((str(r["doc_id"]), *r[1:]) for r in T.rate_links(aligned).collect()) == expected(rows, libraries)
+
+
 def test_owner_windows():
     rng = np.random.default_rng(5)
     for _ in range(200):
